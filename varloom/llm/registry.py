@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import chat, line_dedup, mixing
+from varloom.llm import chat, license_scan, line_dedup, mixing, quality, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1,
+        "op2_secret_scan": secret_scan.op2,
         "op5_mixing": mixing.op5,
+        "op6_license_scan": license_scan.op6,
+        "op8_quality_rules": quality.op8,
         "op10_chat_formatting": chat.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op10_chat_formatting": chat.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op6_license_scan": license_scan.SQL, "op10_chat_formatting": chat.SQL}
