@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import chat, license_scan, line_dedup, mixing, quality, secret_scan
+from varloom.llm import chat, decontam, html_text, license_scan, line_dedup, mixing, quality, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1,
         "op2_secret_scan": secret_scan.op2,
+        "op3_html_text": html_text.op3,
         "op5_mixing": mixing.op5,
         "op6_license_scan": license_scan.op6,
+        "op7_decontamination": decontam.op7,
         "op8_quality_rules": quality.op8,
         "op10_chat_formatting": chat.op10,
     }
