@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import chat, decontam, html_text, license_scan, line_dedup, mixing, quality, secret_scan
+from varloom.llm import chat, decontam, html_text, jaccard_join, license_scan, line_dedup, mixing, quality, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_scan": license_scan.op6,
         "op7_decontamination": decontam.op7,
         "op8_quality_rules": quality.op8,
+        "op9_jaccard_join": jaccard_join.op9,
         "op10_chat_formatting": chat.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op6_license_scan": license_scan.SQL, "op10_chat_formatting": chat.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_mixing": mixing.SQL, "op6_license_scan": license_scan.SQL, "op9_jaccard_join": jaccard_join.SQL, "op10_chat_formatting": chat.SQL}
