@@ -121,22 +121,28 @@ class Index:
                     yield d, k, matched, len(got)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for each document and item that covers: id_col, item_col, item_words, matched_words, coverage, n_tiles."""
-    spark = docs.sparkSession
+def indexes(benchmark: DataFrame, seed: int, block_words: int, item_col: str, item_text_col: str) -> Iterator[Index]:
+    """The benchmark's items as one index, or in blocks of about block_words words."""
     items = benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t"))
     words = F.size(F.split(F.coalesce("t", F.lit("")), "[\\x20\\x09-\\x0D]+")) + 1
     total = items.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(2 * total / block_words)) if total > block_words else 1
+    blocks = math.ceil(2 * total / block_words) if total > block_words else 1
+    for b in range(blocks):
+        rows = items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect()
+        yield Index([r["k"] for r in rows], [r["t"] for r in rows], seed)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row for each document and item that covers: id_col, item_col, item_words, matched_words, coverage, n_tiles."""
     id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {id_type.simpleString()}, `{item_col}` {item_type.simpleString()}, item_words long, matched_words long, coverage double, n_tiles long"
     narrow = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
 
-    def of_block(rows: list) -> DataFrame:
-        index = spark.sparkContext.broadcast(Index([r["k"] for r in rows], [r["t"] for r in rows], seed))
+    def of_block(index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ix = index.value
+            ix = shared.value
             for whole in batches:
                 for at in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(at, ROWS)
@@ -149,8 +155,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
         return narrow.mapInArrow(run, schema)
 
-    block = F.pmod(F.xxhash64("k", "t"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [of_block(items.filter(block == b).collect()) for b in range(blocks)])
+    return reduce(DataFrame.unionByName, map(of_block, indexes(benchmark, seed, block_words, item_col, item_text_col)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_words: int = BLOCK_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that no item contaminates, with docs' own columns. No shuffle: each block of items is one filter."""
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
+
+    def without(rest: DataFrame, index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(at, ROWS)
+                    ok = np.ones(batch.num_rows, dtype=bool)
+                    ok[[f[0] for f in shared.value.found(batch.column(batch.schema.names.index(text_col)).to_pylist(), coverage)]] = False
+                    yield batch.filter(pa.array(ok))
+
+        return rest.mapInArrow(run, fields)
+
+    return reduce(without, indexes(benchmark, seed, block_words, item_col, item_text_col), docs)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

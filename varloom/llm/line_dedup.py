@@ -87,8 +87,8 @@ class LineRuns:
         return self._merged(known).filter(F.col("_ld_docs") >= self.min_docs).select(*HASH, "_ld_keeper")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 4, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with kept_text, n_lines and n_dropped. A key of min_chars code points or more that is in min_docs documents or more
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 4, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with kept_text, n_lines and n_dropped (after prefix; columns of docs that have these names are replaced). A key of min_chars code points or more that is in min_docs documents or more
     stays only in the document of the largest id that holds it, there with all its lines."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
@@ -122,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         .join(drops, "_ld_doc", "left")
         .withColumn("_ld_lines", lines(F.col(text_col)))
         .withColumn("_ld_kept", F.when(F.col("_ld_drops").isNull(), ls).otherwise(kept))
-        .withColumns({"kept_text": F.array_join("_ld_kept", "\n"), "n_lines": F.size(ls).cast("long"), "n_dropped": (F.size(ls) - F.size("_ld_kept")).cast("long")})
+        .withColumns({f"{prefix}kept_text": F.array_join("_ld_kept", "\n"), f"{prefix}n_lines": F.size(ls).cast("long"), f"{prefix}n_dropped": (F.size(ls) - F.size("_ld_kept")).cast("long")})
         .drop("_ld_doc", "_ld_drops", "_ld_lines", "_ld_kept")
     )
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,6 +55,11 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     )
 
 
+def digest(seed: str, doc_id: Column, source: Column, size: Column) -> Column:
+    """The place of a document in its source's shuffled order."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(source.cast("string"), F.lit("")), size.cast("string")))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row for each copy that could be taken, narrow (no text): the id, _mx_row (its document's digest key), size, source_size,
     target, virtual_finish, copy, taken (boolean: the copy is in the mix) and running_words."""
@@ -62,8 +67,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     folder = shared_folder(spark)
     src = F.col(source_col).cast("string")
     narrow = docs.select(F.col(id_col).alias("_mx_id"), F.coalesce(src, F.lit("")).alias("_mx_source"), src.isNull().alias("_mx_null"), words_in(F.col(text_col)).cast("long").alias("size"))
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_mx_id").cast("string"), F.lit("null")), F.col("_mx_source"), F.col("size").cast("string")))
-    rows = narrow.withColumn("_mx_key", digest).withColumn("_mx_slice", F.substring("_mx_key", 1, SLICE_DIGITS))
+    rows = narrow.withColumn("_mx_key", digest(seed, F.col("_mx_id"), F.col("_mx_source"), F.col("size"))).withColumn("_mx_slice", F.substring("_mx_key", 1, SLICE_DIGITS))
     rows = written(rows, f"{folder}/rows")
     slices = rows.groupBy(*SAME, "_mx_slice").agg(F.sum("size").alias("_mx_words"))
     slices = written(slices, f"{folder}/slices")
@@ -115,6 +119,23 @@ def taken_counts(copies: DataFrame) -> DataFrame:
     )
 
 
+def mixed_rows(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
+    """The mix itself: a row of docs for each copy taken, with copy, virtual_finish and running_words, range-sorted by virtual finish
+    time. Equal documents (id, source and size) share a digest; they are numbered on both sides."""
+    copies = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **parameters)
+    nth = F.row_number().over(W.partitionBy("_mx_key", "copy").orderBy("virtual_finish", "running_words"))
+    one = F.struct("copy", "virtual_finish", "running_words")
+    taken = copies.withColumn("_mx_nth", nth).filter("taken").groupBy("_mx_key", "_mx_nth").agg(F.sort_array(F.collect_list(one)).alias("c"))
+    taken = taken.groupBy("_mx_key").agg(F.map_from_entries(F.collect_list(F.struct("_mx_nth", "c"))).alias("_mx_copies"))
+    key = digest(seed, F.col(id_col), F.col(source_col), words_in(F.col(text_col)).cast("long"))
+    row = F.row_number().over(W.partitionBy("_mx_key").orderBy(F.xxhash64(text_col), text_col))
+    joined = docs.withColumn("_mx_key", key).join(taken, "_mx_key").withColumn("_mx_nth", row)
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "virtual_finish", "running_words")]
+    out = joined.select(*own, F.explode(F.element_at("_mx_copies", F.col("_mx_nth"))).alias("_mx_c")).select(*own, "_mx_c.*")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionByRange(parts, "virtual_finish", "running_words").sortWithinPartitions("virtual_finish", "running_words")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     done = taken_counts(mix(docs))

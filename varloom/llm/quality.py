@@ -172,6 +172,24 @@ def rules(docs: DataFrame, folder: str = VOCABULARIES, vocabulary: str = VOCABUL
     return docs.mapInArrow(run, ", ".join(fields))
 
 
+def keep(docs: DataFrame, folder: str = VOCABULARIES, vocabulary: str = VOCABULARY, bands=BANDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that the rules keep, with docs' own columns only."""
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fertility = None
+        for whole in batches:
+            fertility = fertility or Fertility(folder, vocabulary)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                names = batch.schema.names
+                texts = batch.column(names.index(text_col)).to_pylist()
+                langs = batch.column(names.index(lang_col)).to_pylist() if lang_col in names else [None] * len(texts)
+                yield batch.filter(pa.array(measured(texts, langs, fertility, bands)["kept"], type=pa.bool_()))
+
+    return docs.mapInArrow(run, ", ".join(fields))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return rules(docs).drop("text", "lang")
