@@ -225,14 +225,15 @@ def _inversion(w: np.ndarray, x: float) -> float:
         size = 0.25 * np.log1p(wt**2).sum(axis=0) + np.log(t.reshape(-1))
         total += step * float((np.sin(phase) * np.exp(-size)).reshape(batch, -1).sum(axis=0) @ mass)
         at += step * batch
-        if math.exp(-0.25 * float(np.log1p((w * at) ** 2).sum())) / max(at * x, 1.0) < 1e-13:
+        size = math.exp(-0.25 * float(np.log1p((w * at) ** 2).sum())) / at
+        slope = 0.5 * float((w / (1.0 + (w * at) ** 2)).sum()) - 0.5 * x
+        # What is left is size cos(phase) / -slope and terms smaller by (1 + n / 2) / (at slope) squared.
+        if at > 4.0 / float(w.max()) and size * (1.0 + 0.5 * len(w)) ** 2 / (at * abs(slope)) ** 2 < 1e-11 * abs(slope):
+            phase = 0.5 * float(np.arctan(w * at).sum()) - 0.5 * x * at
+            total += size * math.cos(phase) / slope
             break
         if at * w.max() > 50.0:  # the phase is linear by now: longer panels, a fixed number of turns each
             step = min(step * 1.5, math.pi / x)
-    rest = math.exp(-0.25 * float(np.log1p((w * at) ** 2).sum()))
-    if rest > 1e-13:  # first terms of the tail, whose phase is theta_inf - x t / 2 and whose amplitude falls as a power
-        phase = 0.5 * float(np.arctan(w * at).sum()) - 0.5 * x * at
-        total += rest / at * 2.0 / x * math.cos(phase)
     return min(1.0, max(0.0, 0.5 - total / math.pi))
 
 

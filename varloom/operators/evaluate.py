@@ -9,6 +9,7 @@ weight vector, the points broadcast if their size is within a checked bound.
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -21,6 +22,8 @@ from varloom.operators.statistics import Algebraic
 
 #: Bytes of points that a refit task may hold.
 POINTS_LIMIT = 512 * 1024 * 1024
+#: Seconds of refits from which a batch becomes a Spark job.
+JOB_S = 5.0
 
 
 def forward_step(eta: float) -> float:
@@ -77,20 +80,20 @@ def difference(p: float, delta: float, evaluate: Callable[[float], np.ndarray],
 def spark_batch(stat: Algebraic, points: DataFrame, x: Sequence[str], group: str, delta: float) -> DataFrame:
     """The evaluations at the means of all groups of a column (cells, leaves, children): group, n and the outputs. One aggregation
     with partial sums on the map side; the totals are sums of its few rows."""
-    sums = stat.sums(points.filter(F.col(group).isNotNull()), x, [group])
+    sums = stat.sums(points.filter(F.col(group).isNotNull()), x, [group]).withColumnRenamed("_n", "_c")
     k = len([c for c in sums.columns if c.startswith("_s")])
-    total = sums.agg(F.sum("_n").alias("_N"), *[F.sum(f"_s{i}").alias(f"_t{i}") for i in range(k)])
-    n, all_n = F.col("_n").cast("double"), F.col("_N").cast("double")
+    total = sums.agg(F.sum("_c").alias("_all"), *[F.sum(f"_s{i}").alias(f"_t{i}") for i in range(k)])
+    n, all_n = F.col("_c").cast("double"), F.col("_all").cast("double")
     # u = 1 / n on the group: N u - sum u is N / n - 1 there and -1 elsewhere.
-    t = F.lit(float(delta)) / F.when(F.col("_n") < F.col("_N"), F.greatest(all_n / n - 1.0, F.lit(1.0))).otherwise(F.lit(1.0))
+    t = F.lit(float(delta)) / F.when(F.col("_c") < F.col("_all"), F.greatest(all_n / n - 1.0, F.lit(1.0))).otherwise(F.lit(1.0))
     moved = sums.join(F.broadcast(total)).withColumn("_t", t)
-    moved = moved.select(group, "_n", "_N", "_t", *[((1.0 - F.col("_t")) * F.col(f"_t{i}") + F.col("_t") * F.col("_N") / F.col("_n") * F.col(f"_s{i}")).alias(f"_s{i}") for i in range(k)], *[F.col(f"_t{i}") for i in range(k)])
+    moved = moved.select(group, "_c", "_all", "_t", *[((1.0 - F.col("_t")) * F.col(f"_t{i}") + F.col("_t") * F.col("_all") / F.col("_c") * F.col(f"_s{i}")).alias(f"_s{i}") for i in range(k)], *[F.col(f"_t{i}") for i in range(k)])
     of_sums, names, field_type = stat.of_sums, stat.outputs, points.schema[group].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = pdf[[group]].copy()
-            out["n"] = pdf["_n"]
+            out["n"] = pdf["_c"]
             if len(pdf):
                 moved_to = of_sums(pdf[[f"_s{i}" for i in range(k)]].to_numpy(dtype=float))
                 base = of_sums(pdf[[f"_t{i}" for i in range(k)]].to_numpy(dtype=float))
@@ -203,7 +206,9 @@ class Evaluator:
             return
         prep = self.T.prepare(self.x) if hasattr(self.T, "prepare") else None
         self.prep = prep
+        began = time.perf_counter()
         self.theta = call(self.T, self.x, np.ones(self.n), None, self.T.eta, prep)
+        self.fit_s = time.perf_counter() - began
         if not np.isfinite(self.theta).all():
             raise RuntimeError("the fit at unit weights failed")
         self.eta, spent, _ = measure_eta(self.T, self.x, self.theta)
@@ -233,7 +238,9 @@ class Evaluator:
             # The base goes through the same sums, so that both round alike.
             base = self.T.of_sums(self.total)[0]
         else:
-            fits = refits(self.spark, self.T, self.x, us, self.delta, self.theta, self.eta) if self.spark is not None else self._here(us, t)
+            # A batch of short fits is done before a job would have started; the results are the same.
+            apart = self.spark is not None and self.fit_s * len(us) > JOB_S
+            fits = refits(self.spark, self.T, self.x, us, self.delta, self.theta, self.eta) if apart else self._here(us, t)
             base = self.theta
         self.counter.add(len(us), self.n * len(us), int((~np.isfinite(fits)).any(axis=1).sum()))
         if not np.isfinite(fits).all():

@@ -12,7 +12,7 @@ import numpy as np
 from varloom.functions.numerics import pivoted_cholesky
 
 #: Entries of a temporary kernel block; tolerances of the two rules and of the reproduction of constraints.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 SPAN_TOL = KERNEL_TOL = REPRODUCTION_TOL = 1e-8
 JITTER = 1e-10
 
@@ -124,10 +124,10 @@ class Interpolant:
         np.negative(d2, out=d2)
         np.exp(d2, out=d2)
         np.divide(self.scale[i][:, None] * self.scale[None, low:high], s, out=s)
-        if self.d == 2:
+        for _ in range(self.d // 2):  # s ** (d / 2) without a general power
             d2 *= s
-        else:
-            d2 *= s ** (0.5 * self.d)
+        if self.d % 2:
+            d2 *= np.sqrt(s, out=s)
         return d2
 
     def column(self, index: np.ndarray, weight: np.ndarray) -> np.ndarray:

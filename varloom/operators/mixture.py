@@ -203,6 +203,27 @@ def penalty_gradient(data: Data, u: np.ndarray, k: int, thread: bool) -> np.ndar
     return out
 
 
+def penalty_sensitivity(data: Data, u: np.ndarray, k: int, thread: bool) -> np.ndarray:
+    """(N, parameters): how the penalty's gradient moves with each weight at a constant sum, through the data's covariance."""
+    def traces(v: np.ndarray) -> np.ndarray:
+        """The inverse covariances' sum: coefficients of the entries 11, 12, 22 of the data's covariance."""
+        c = from_free(v, k, thread).cov
+        det = c[:, 0, 0] * c[:, 1, 1] - c[:, 0, 1] ** 2
+        return np.array([(c[:, 1, 1] / det).sum(), (-2.0 * c[:, 0, 1] / det).sum(), (c[:, 0, 0] / det).sum()])
+
+    slope = np.zeros((len(u), 3))
+    free = k if thread else k - 1
+    for i in range(free + 2 * k, free + 5 * k):
+        h = 1e-5 * max(1.0, abs(u[i]))
+        up, down = u.copy(), u.copy()
+        up[i] += h
+        down[i] -= h
+        slope[i] = (traces(up) - traces(down)) / (2 * h)
+    y = data.x - data.w @ data.x / data.total
+    moved = np.column_stack([y[:, 0] ** 2 - data.cov[0, 0], y[:, 0] * y[:, 1] - data.cov[0, 1], y[:, 1] ** 2 - data.cov[1, 1]])
+    return -data.a / data.total * moved @ slope.T
+
+
 def gradient(data: Data, u: np.ndarray, k: int, thread: bool) -> np.ndarray:
     return data.w @ scores(data.x, data.phi, from_free(u, k, thread)) + penalty_gradient(data, u, k, thread)
 
@@ -231,7 +252,7 @@ def trust_step(g: np.ndarray, h: np.ndarray, radius: float) -> np.ndarray:
     near = lam + low
     if low > 0 and np.linalg.norm(np.where(near > 1e-12 * max(1.0, abs(lam[-1])), b / np.maximum(near, 1e-300), 0.0)) < radius:
         d = np.where(near > 1e-12 * max(1.0, abs(lam[-1])), b / np.maximum(near, 1e-300), 0.0)  # the hard case: along the lowest curvature
-        d[0] += math.sqrt(max(radius**2 - float(d @ d), 0.0))
+        d[0] += math.copysign(math.sqrt(max(radius**2 - float(d @ d), 0.0)), b[0])
         return vec @ d
     for _ in range(100):
         mid = 0.5 * (low + high)
@@ -270,7 +291,7 @@ def accelerated(data: Data, p: Parameters, eta: float, cap: int) -> tuple[Parame
     return p, value
 
 
-def finished(data: Data, p: Parameters, eta: float, steps: int = 25) -> tuple[Parameters, float, str]:
+def finished(data: Data, p: Parameters, eta: float, steps: int = 40) -> tuple[Parameters, float, str]:
     """Newton steps in a trust region until the step's predicted gain is below eta."""
     k, thread = p.k, p.thread is not None
     u, value, radius = to_free(p), data.log_likelihood(p), 1.0
@@ -281,10 +302,17 @@ def finished(data: Data, p: Parameters, eta: float, steps: int = 25) -> tuple[Pa
         d = trust_step(g, h, radius)
         gain = float(g @ d + 0.5 * d @ h @ d)
         if gain <= eta * 1e-3 * max(abs(value), 1.0):
+            if np.linalg.eigvalsh(h)[-1] >= 0.0:
+                return from_free(u, k, thread), value, "saddle"
             q = from_free(u + d, k, thread)
             return (q if q.feasible() and data.log_likelihood(q) >= value - 1e-12 * abs(value) else from_free(u, k, thread)), value, "converged"
-        q = from_free(u + d, k, thread)
-        new = data.log_likelihood(q) if q.feasible() else -math.inf
+        new = -math.inf
+        for way in (d, -d):  # where the curvature is upward, either side may rise
+            q = from_free(u + way, k, thread)
+            new = data.log_likelihood(q) if q.feasible() else -math.inf
+            if new > value or float(g @ d) > 1e-3 * gain and float(d @ h @ d) < 0:
+                break
+        d = way
         if new > value:
             if new - value > 0.75 * gain:
                 radius *= 2.0
@@ -485,7 +513,7 @@ class Mixture:
         h = hessian(data, u, self.k, self.thread)
         if np.linalg.cond(h) > CONDITION_LIMIT:
             return nothing
-        s = scores(x, data.phi, p)
+        s = scores(x, data.phi, p) + penalty_sensitivity(data, u, self.k, self.thread)
         psi_u = -np.linalg.solve(h, (s - w @ s / data.total).T).T * data.total
         return psi_u @ self.jacobian(u).T
 

@@ -241,8 +241,8 @@ class MvtAll:
 
     def __call__(self, x, w, prep=None) -> np.ndarray:
         r2 = self.prepare(x) if prep is None else prep
-        nu = self.nu(x, w, prep=r2)[0]
-        out = np.array([nu, float(w @ (r2 > self.c**2)) / float(np.sum(w))])
+        nu, total = self.nu(x, w, prep=r2)[0], float(np.sum(w))
+        out = np.array([nu, float(w @ (r2 > self.c**2)) / total if total > 0 else math.nan])
         return out if np.isfinite(out).all() else np.full(2, np.nan)
 
     def influence(self, x, w=None) -> np.ndarray:

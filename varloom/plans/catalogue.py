@@ -1,22 +1,606 @@
-"""The registered queries of the engine itself, with the SQL that each must agree with."""
+"""The registered queries of the engine itself, with the SQL that each must agree with.
+
+Tables stand in for draws: order prices as a Pareto-like sample, event values as positive masses, order lines as a plane, embeddings as
+points in ten dimensions. Floating-point sums depend on the order of addition, so results are rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from varloom.functions import expressions as fx
+from varloom.functions.numerics import norm_ppf, wchi2_cdf, wchi2_quantile
+from varloom.operators import evaluate, intervals, mixture, qij, quantize, resample
+from varloom.operators import statistics as st
+from varloom.sources import draws, products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Thresholds and steps of the queries: the sample's lower end and tail, a finite step, a level.
+PRICE_MIN, PRICE_TAIL, STEP, LEVEL = 1000.0, 400_000.0, 0.01, 0.95
+Z = norm_ppf(0.5 * (1.0 + LEVEL))
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
+    return dict(ORACLES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def rounded(df: DataFrame, digits: int = 9, **own: int) -> DataFrame:
+    """Doubles rounded; own: other digits by column."""
+    return df.select(*[F.round(c, own.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def prices(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", *more)
+
+
+def lcg(key: Column, c: int) -> Column:
+    """Whole numbers that any engine makes alike."""
+    return (key * F.lit(1103515245) + F.lit(c)) % F.lit(2147483647)
+
+
+def ten_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    return df.select("vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * 8.0).alias("x"))
+
+
+HILL = "count(*) / sum(ln(o_totalprice / 1000.0))"
+TAIL = "avg(CASE WHEN o_totalprice > 400000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+
+# Statistics ---------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT round({HILL}, 9) AS alpha FROM orders")
+def hill_shape(spark, sf_dir):
+    return rounded(st.pareto_shape(PRICE_MIN).by(prices(spark, sf_dir), ["o_totalprice"]))
+
+
+@query("SELECT round(sum(w) / sum(w * ln(o_totalprice / 1000.0)), 9) AS alpha FROM (SELECT o_totalprice, 1 + (o_orderkey * 1103515245 + 12345) % 2147483647 % 5 AS w FROM orders)")
+def hill_weighted(spark, sf_dir):
+    weight = (F.lit(1) + lcg(F.col("o_orderkey"), 12345) % 5).cast("double")
+    return rounded(st.pareto_shape(PRICE_MIN).by(prices(spark, sf_dir), ["o_totalprice"], weight=weight))
+
+
+@query(f"SELECT o_orderpriority, round({HILL}, 9) AS alpha FROM orders GROUP BY 1")
+def hill_by_priority(spark, sf_dir):
+    return rounded(st.pareto_shape(PRICE_MIN).by(prices(spark, sf_dir, "o_orderpriority"), ["o_totalprice"], ["o_orderpriority"]))
+
+
+@query(f'SELECT round({TAIL}, 9) AS "P_tail" FROM orders')
+def tail_prob(spark, sf_dir):
+    return rounded(st.pareto_tail(PRICE_TAIL).by(prices(spark, sf_dir), ["o_totalprice"]))
+
+
+@query(f'SELECT o_orderstatus, round({TAIL}, 9) AS "P_tail" FROM orders GROUP BY 1')
+def tail_by_status(spark, sf_dir):
+    return rounded(st.pareto_tail(PRICE_TAIL).by(prices(spark, sf_dir, "o_orderstatus"), ["o_totalprice"], ["o_orderstatus"]))
+
+
+@query(f'SELECT round({HILL}, 9) AS alpha, round({TAIL}, 9) AS "P_tail" FROM orders')
+def pareto_all(spark, sf_dir):
+    return rounded(st.pareto_all(PRICE_MIN, PRICE_TAIL).by(prices(spark, sf_dir), ["o_totalprice"]))
+
+
+def with_influence(spark, sf_dir) -> DataFrame:
+    """psi of both statistics for each order: the estimates are one row, joined by broadcast."""
+    df = prices(spark, sf_dir, "o_orderpriority", "o_orderstatus")
+    theta = st.pareto_all(PRICE_MIN, PRICE_TAIL).by(df, ["o_totalprice"]).withColumnsRenamed({"alpha": "_a", "P_tail": "_p"})
+    a = F.col("_a")
+    out = df.join(F.broadcast(theta))
+    return out.withColumns({"psi_alpha": a - a * a * fx.log_ratio("o_totalprice", PRICE_MIN), "psi_P_tail": fx.tail_indicator("o_totalprice", PRICE_TAIL) - F.col("_p")})
+
+
+PSI = f"(SELECT o_orderkey, o_totalprice, o_orderpriority, o_orderstatus, a - a * a * ln(o_totalprice / 1000.0) AS psi_alpha, CASE WHEN o_totalprice > 400000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - p AS psi_tail, a, p FROM orders, (SELECT {HILL} AS a, {TAIL} AS p FROM orders))"
+
+
+@query(f"SELECT o_orderkey, round(psi_alpha, 9) AS psi_alpha FROM {PSI}")
+def hill_influence(spark, sf_dir):
+    return rounded(with_influence(spark, sf_dir).select("o_orderkey", "psi_alpha"))
+
+
+@query(f'SELECT o_orderkey, round(psi_tail, 9) AS "psi_P_tail" FROM {PSI}')
+def tail_influence(spark, sf_dir):
+    return rounded(with_influence(spark, sf_dir).select("o_orderkey", "psi_P_tail"))
+
+
+@query(f'SELECT count(*) AS "N", round(avg(psi_alpha * psi_alpha) / count(*) * 1e6, 9) AS "V_ij_alpha", round(avg(psi_tail * psi_tail) / count(*) * 1e6, 9) AS "V_ij_P_tail" FROM {PSI}')
+def ij_variance(spark, sf_dir):
+    """In millionths."""
+    psi = with_influence(spark, sf_dir)
+    return rounded(psi.agg(F.count("*").alias("N"), *[(F.avg(F.col(c) * F.col(c)) / F.count("*") * 1e6).alias(f"V_ij_{c[4:]}") for c in ("psi_alpha", "psi_P_tail")]))
+
+
+@query(f"SELECT round(a, 9) AS alpha, round(a - {Z!r} * sqrt(v), 9) AS low, round(a + {Z!r} * sqrt(v), 9) AS high FROM (SELECT max(a) AS a, avg(psi_alpha * psi_alpha) / count(*) AS v FROM {PSI})")
+def normal_interval(spark, sf_dir):
+    psi = with_influence(spark, sf_dir).agg(F.max("_a").alias("alpha"), (F.avg(F.col("psi_alpha") * F.col("psi_alpha")) / F.count("*")).alias("v"))
+    low, high = intervals.normal_columns("alpha", "v", LEVEL)
+    return rounded(psi.select("alpha", low.alias("low"), high.alias("high")))
+
+
+@query("SELECT l_orderkey, round((l_quantity - qm) / qs, 7) AS l_quantity_z, round((l_extendedprice - pm) / ps, 7) AS l_extendedprice_z FROM lineitem, (SELECT avg(l_quantity) AS qm, stddev_pop(l_quantity) AS qs, avg(l_extendedprice) AS pm, stddev_pop(l_extendedprice) AS ps FROM lineitem)")
+def standardize(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", "l_extendedprice")
+    return rounded(fx.standardized(df, ["l_quantity", "l_extendedprice"]).select("l_orderkey", "l_quantity_z", "l_extendedprice_z"), 7)
+
+
+X10 = "list_transform(embedding[1:10], lambda v: v::DOUBLE * 8.0)"
+R2 = f"list_sum(list_transform({X10}, lambda v: v * v))"
+
+
+@query(f"SELECT vec_id, round({R2}, 9) AS r2 FROM embeddings")
+def radius_sq(spark, sf_dir):
+    return rounded(ten_dimensions(spark, sf_dir).select("vec_id", fx.radius_sq("x").alias("r2")))
+
+
+@query(f'SELECT round(avg(CASE WHEN sqrt({R2}) > 3.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS "P_tail" FROM embeddings')
+def mvt_tail(spark, sf_dir):
+    return rounded(st.mvt_tail(3.5).by(ten_dimensions(spark, sf_dir), ["x"]))
+
+
+PLANE = ["l_quantity", "_price", "l_discount"]
+
+
+def plane(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem", "l_quantity", "l_extendedprice", "l_discount").withColumn("_price", F.col("l_extendedprice") / 1000.0)
+
+
+@query('SELECT count(*) AS n, round(avg(x), 7) AS m0, round(avg(y), 7) AS m1, round(avg(z), 7) AS m2, round(var_pop(x), 6) AS s00, round(covar_pop(x, y), 6) AS s01, round(covar_pop(x, z), 6) AS s02, round(var_pop(y), 6) AS s11, round(covar_pop(y, z), 6) AS s12, round(var_pop(z), 6) AS s22 FROM (SELECT l_quantity AS x, l_extendedprice / 1000.0 AS y, l_discount AS z FROM lineitem)')
+def fp_moments(spark, sf_dir):
+    s = st.fundamental_plane().sums(plane(spark, sf_dir), PLANE)
+    mean = [F.col(f"_s{i + 1}") / F.col("_s0") for i in range(3)]
+    upper = [(i, j) for i in range(3) for j in range(i, 3)]
+    out = s.select(F.col("_n").alias("n"), *[mean[i].alias(f"m{i}") for i in range(3)], *[(F.col(f"_s{k + 4}") / F.col("_s0") - mean[i] * mean[j]).alias(f"s{i}{j}") for k, (i, j) in enumerate(upper)])
+    return rounded(out, 6, m0=7, m1=7, m2=7)
+
+
+@query()
+def fp_plane(spark, sf_dir):
+    return rounded(st.fundamental_plane().by(plane(spark, sf_dir), PLANE))
+
+
+@query("SELECT count(*) AS n, round(sum(low), 6) AS s1, round(sum(low * u), 6) AS s2, round(sum(low * u * u), 6) AS s3, round(sum(1 - low), 6) AS s4, round(sum((1 - low) * u), 6) AS s5 FROM (SELECT CASE WHEN value <= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS low, log10(value) AS u FROM events)")
+def chabrier_sums(spark, sf_dir):
+    s = st.MassFunction().sums(table(spark, sf_dir, "events", "value"), ["value"])
+    return rounded(s.select(F.col("_n").alias("n"), *[F.col(f"_s{i}").alias(f"s{i}") for i in range(1, 6)]), 6)
+
+
+@query()
+def chabrier_fit(spark, sf_dir):
+    """On a generated sample of the mass law."""
+    return st.MassFunction().by(draws.points(spark, "imf", 10_000), ["x0"])
+
+
+NU = 5.0
+_SCORE = st.DegreesOfFreedom(10)
+
+
+@query(f"SELECT round(avg({_SCORE.common(NU)!r} + 0.5 * ({NU + 10} * r2 / ({NU} * ({NU} + r2)) - ln(1 + r2 / {NU}))), 9) AS score FROM (SELECT {R2} AS r2 FROM embeddings)")
+def nu_score(spark, sf_dir):
+    r2 = fx.radius_sq("x")
+    return rounded(ten_dimensions(spark, sf_dir).agg(F.avg(F.lit(_SCORE.common(NU)) + _SCORE.score_column(r2, NU)).alias("score")))
+
+
+@query()
+def mvt_nu(spark, sf_dir):
+    x = draws.draw("mvt", 10_000, 0)
+    T = st.MvtAll()
+    theta, psi = T(x, np.ones(len(x))), T.influence(x)
+    return spark.createDataFrame([(len(x), *map(float, theta), *map(float, (psi**2).mean(axis=0)))], "N long, nu double, P_tail double, V_nu double, V_P_tail double")
+
+
+# Cells --------------------------------------------------------------------------------------------------------------------------
+
+
+def cells(spark, sf_dir) -> DataFrame:
+    return with_influence(spark, sf_dir).withColumn("cell", F.floor(F.col("o_totalprice") / 50000.0).cast("int"))
+
+
+CELLS = f"(SELECT *, CAST(floor(o_totalprice / 50000.0) AS INTEGER) AS cell FROM {PSI})"
+
+
+@query(f"SELECT cell, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(median(o_totalprice), 4) AS middle, round(var_pop(psi_alpha), 9) AS var_psi FROM {CELLS} GROUP BY cell")
+def cell_stats(spark, sf_dir):
+    return rounded(cells(spark, sf_dir).groupBy("cell").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.percentile("o_totalprice", F.lit(0.5)).alias("middle"), F.var_pop("psi_alpha").alias("var_psi")), 9, total=2, middle=4)
+
+
+@query(f'SELECT cell, count(*) AS n, round(avg(psi_alpha), 9) AS alpha, round(avg(psi_tail), 9) AS "P_tail" FROM {CELLS} GROUP BY cell')
+def cell_means(spark, sf_dir):
+    return rounded(cells(spark, sf_dir).groupBy("cell").agg(F.count("*").alias("n"), F.avg("psi_alpha").alias("alpha"), F.avg("psi_P_tail").alias("P_tail")))
+
+
+@query(f"SELECT cell, count(*) AS n, round(count(*) * var_pop(psi_alpha) / (SELECT count(*) FROM orders), 9) AS within_psi_alpha FROM {CELLS} GROUP BY cell")
+def within_leaf_var(spark, sf_dir):
+    return rounded(quantize.within_variance(cells(spark, sf_dir), "cell", ["psi_alpha"]))
+
+
+@query(f"SELECT round(sum(n * m * m) / sum(q), 9) AS share FROM (SELECT count(*) AS n, avg(psi_alpha) AS m, sum(psi_alpha * psi_alpha) AS q FROM {CELLS} GROUP BY cell)")
+def between_share(spark, sf_dir):
+    psi = F.col("psi_alpha")
+    own = cells(spark, sf_dir).groupBy("cell").agg(F.count("*").alias("n"), F.avg(psi).alias("m"), F.sum(psi * psi).alias("q"))
+    return rounded(own.agg((F.sum(F.col("n") * F.col("m") * F.col("m")) / F.sum("q")).alias("share")))
+
+
+@query("SELECT event_id, dense_rank() OVER (ORDER BY CAST(floor(value / 7.3) AS INTEGER)) - 1 AS cell FROM events")
+def relabel_cells(spark, sf_dir):
+    df = table(spark, sf_dir, "events", "event_id", "value").withColumn("_old", F.floor(F.col("value") / 7.3).cast("int"))
+    return quantize.relabelled(df, "_old", "cell").select("event_id", F.col("cell").cast("long").alias("cell"))
+
+
+def prototypes(spark, sf_dir) -> list[tuple[int, list[float]]]:
+    """The means by label: ten rows."""
+    e = [F.avg(F.col("x")[i]).alias(f"e{i}") for i in range(10)]
+    rows = ten_dimensions(spark, sf_dir).groupBy("label").agg(*e).collect()
+    return sorted((r["label"], [r[f"e{i}"] for i in range(10)]) for r in rows)
+
+
+PROTO = f"""
+proto AS (SELECT label AS cell, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x[i]) AS m FROM (SELECT label, {X10} AS x FROM embeddings), range(1, 11) t(i) GROUP BY label, i) GROUP BY label),
+dist AS (SELECT vec_id, cell, list_sum(list_transform(range(1, 11), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d FROM (SELECT vec_id, {X10} AS x FROM embeddings), proto),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cell) AS r FROM dist),
+near AS (SELECT vec_id, max(CASE WHEN r = 1 THEN cell END) AS first, max(CASE WHEN r = 1 THEN d END) AS d1, max(CASE WHEN r = 2 THEN cell END) AS second, max(CASE WHEN r = 2 THEN d END) AS d2 FROM ranked WHERE r <= 2 GROUP BY vec_id),
+edges AS (SELECT j, k, count(*) AS cnt FROM (SELECT first AS j, second AS k FROM near UNION ALL SELECT second, first FROM near) GROUP BY j, k)
+"""
+
+
+def near(spark, sf_dir) -> DataFrame:
+    return quantize.nearest_two(ten_dimensions(spark, sf_dir), "vec_id", F.col("x"), prototypes(spark, sf_dir))
+
+
+@query(f"WITH {PROTO} SELECT vec_id, first, round(d1, 8) AS d1, second, round(d2, 8) AS d2 FROM near")
+def nearest_two(spark, sf_dir):
+    return rounded(near(spark, sf_dir), 8)
+
+
+@query(f"WITH {PROTO} SELECT j, k, CAST(cnt AS BIGINT) AS cnt FROM edges")
+def conn_edges(spark, sf_dir):
+    return quantize.boundary_edges(near(spark, sf_dir))
+
+
+@query(f"WITH {PROTO}, apart AS (SELECT a.cell AS j, b.cell AS k, sqrt(list_sum(list_transform(range(1, 11), lambda i: (a.c[i] - b.c[i]) * (a.c[i] - b.c[i])))) AS d FROM proto a, proto b) SELECT j AS cell, round(sum(cnt * d) / sum(cnt), 8) AS scale FROM edges JOIN apart USING (j, k) GROUP BY j")
+def cell_scales(spark, sf_dir):
+    proto = prototypes(spark, sf_dir)
+    apart = [(j, k, math.dist(a, b)) for j, a in proto for k, b in proto]
+    edges = quantize.boundary_edges(near(spark, sf_dir)).join(F.broadcast(spark.createDataFrame(apart, "j int, k int, d double")), ["j", "k"])
+    return rounded(edges.groupBy(F.col("j").alias("cell")).agg((F.sum(F.col("cnt") * F.col("d")) / F.sum("cnt")).alias("scale")), 8)
+
+
+# Evaluations --------------------------------------------------------------------------------------------------------------------
+
+
+def _moved(total: str, own: str) -> str:
+    return f"((1 - t) * {total} + t * nn / n * {own})"
+
+
+EVAL = f"(SELECT cell, n, nn, s, ss, k, kk, {STEP} / CASE WHEN n < nn THEN greatest(nn / n - 1.0, 1.0) ELSE 1.0 END AS t FROM (SELECT cell, count(*)::DOUBLE AS n, sum(ln(o_totalprice / 1000.0)) AS s, sum(CASE WHEN o_totalprice > 400000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS k FROM {CELLS} GROUP BY cell), (SELECT count(*)::DOUBLE AS nn, sum(ln(o_totalprice / 1000.0)) AS ss, sum(CASE WHEN o_totalprice > 400000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS kk FROM orders))"
+
+
+@query(f"SELECT cell, CAST(n AS BIGINT) AS n, round((nn / {_moved('ss', 's')} - nn / ss) / t, 8) AS alpha FROM {EVAL}")
+def eval_cells_hill(spark, sf_dir):
+    return rounded(evaluate.spark_batch(st.pareto_shape(PRICE_MIN), cells(spark, sf_dir), ["o_totalprice"], "cell", STEP), 8)
+
+
+@query(f'SELECT cell, CAST(n AS BIGINT) AS n, round(({_moved("kk", "k")} / nn - kk / nn) / t, 8) AS "P_tail" FROM {EVAL}')
+def eval_cells_tail(spark, sf_dir):
+    return rounded(evaluate.spark_batch(st.pareto_tail(PRICE_TAIL), cells(spark, sf_dir), ["o_totalprice"], "cell", STEP), 8)
+
+
+@query(f"SELECT leaf, na, nb, round(ma, 9) AS mean_a, round((n * m - na * ma) / nb, 9) AS mean_b FROM (SELECT CAST(floor(o_totalprice / 100000.0) AS INTEGER) AS leaf, count(*) AS n, avg(psi_alpha) AS m, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS na, avg(psi_alpha) FILTER (WHERE o_orderkey % 3 = 0) AS ma, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS nb FROM {PSI} GROUP BY 1)")
+def sibling_means(spark, sf_dir):
+    """The mean of a leaf's other child, from the leaf's own and one child's."""
+    df = with_influence(spark, sf_dir).withColumn("leaf", F.floor(F.col("o_totalprice") / 100000.0).cast("int"))
+    a = F.when(F.col("o_orderkey") % 3 == 0, F.col("psi_alpha"))
+    g = df.groupBy("leaf").agg(F.count("*").alias("n"), F.avg("psi_alpha").alias("m"), F.count(a).alias("na"), F.avg(a).alias("mean_a")).withColumn("nb", F.col("n") - F.col("na"))
+    return rounded(g.select("leaf", "na", "nb", "mean_a", ((F.col("n") * F.col("m") - F.col("na") * F.col("mean_a")) / F.col("nb")).alias("mean_b")))
+
+
+@query(f"SELECT round(sum(n * m * m) / sum(n), 9) AS between, round(sum(q) / sum(n) / 1.21, 9) AS model, round(greatest(sum(n * m * m) / sum(n), sum(q) / sum(n) / 1.21), 9) AS v_lb, round(sum(n * b * b) / sum(n), 12) AS omega FROM (SELECT count(*)::DOUBLE AS n, avg(psi_alpha) AS m, sum(psi_alpha * psi_alpha) AS q, 1e-3 * (1 + cell % 3) AS b FROM {CELLS} GROUP BY cell)")
+def offset_vlb(spark, sf_dir):
+    """The lower bound of the variance at eps = .01, and the offset of leaves with given bounds."""
+    psi = F.col("psi_alpha")
+    g = cells(spark, sf_dir).groupBy("cell").agg(F.count("*").cast("double").alias("n"), F.avg(psi).alias("m"), F.sum(psi * psi).alias("q")).withColumn("b", F.lit(1e-3) * (1 + F.col("cell") % 3))
+    between, model = F.sum(F.col("n") * F.col("m") * F.col("m")) / F.sum("n"), F.sum("q") / F.sum("n") / F.lit(1.21)
+    return rounded(g.agg(between.alias("between"), model.alias("model"), F.greatest(between, model).alias("v_lb"), (F.sum(F.col("n") * F.col("b") * F.col("b")) / F.sum("n")).alias("omega")), 9, omega=12)
+
+
+@query(f"SELECT round((up - down) / (2 * t), 7) AS first, round((up - 2 * mid + down) / (t * t), 5) AS second FROM (SELECT t, nn / ss AS mid, nn / ((1 - t) * ss + t * nn / n * s) AS up, nn / ((1 + t) * ss - t * nn / n * s) AS down FROM (SELECT count(*)::DOUBLE AS nn, sum(l) AS ss, sum(l) FILTER (WHERE o_orderstatus = 'F') AS s, (count(*) FILTER (WHERE o_orderstatus = 'F'))::DOUBLE AS n, {STEP} * (n / nn) / (1 - n / nn) AS t FROM (SELECT o_orderstatus, ln(o_totalprice / 1000.0) AS l FROM orders)))")
+def stencil_hill(spark, sf_dir):
+    """First and second difference along the orders of one status, from three sums."""
+    in_group = F.col("o_orderstatus") == "F"
+    ratio = fx.log_ratio("o_totalprice", PRICE_MIN)
+    s = prices(spark, sf_dir, "o_orderstatus").agg(F.count("*").cast("double").alias("nn"), F.sum(ratio).alias("ss"), F.sum(F.when(in_group, ratio)).alias("s"), F.count(F.when(in_group, 1)).cast("double").alias("n"))
+    p = F.col("n") / F.col("nn")
+    s = s.withColumn("t", F.lit(STEP) * p / (1.0 - p))
+    at = lambda sign: F.col("nn") / ((1.0 - sign * F.col("t")) * F.col("ss") + sign * F.col("t") * F.col("nn") / F.col("n") * F.col("s"))
+    up, mid, down, t = at(1.0), F.col("nn") / F.col("ss"), at(-1.0), F.col("t")
+    return rounded(s.select(((up - down) / (2.0 * t)).alias("first"), ((up - 2.0 * mid + down) / (t * t)).alias("second")), 7, second=5)
+
+
+# Bootstrap and intervals ----------------------------------------------------------------------------------------------------------
+
+B = 40
+
+
+def replicates(spark, sf_dir) -> DataFrame:
+    """b and alpha under whole-number weights 0, 1, 2 that key and replicate fix."""
+    df = prices(spark, sf_dir).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
+    df = df.withColumn("_w", (lcg(F.col("o_orderkey") + F.col("b") * 7919, 12345) % 3).cast("double"))
+    return st.pareto_shape(PRICE_MIN).by(df, ["o_totalprice"], ["b"], "_w")
+
+
+REPLICATES = f"(SELECT b, sum(w) / sum(w * ln(o_totalprice / 1000.0)) AS alpha FROM (SELECT b, o_totalprice, ((o_orderkey + b * 7919) * 1103515245 + 12345) % 2147483647 % 3 AS w FROM orders, range({B}) t(b)) GROUP BY b)"
+
+
+@query(f"SELECT CAST(b AS INTEGER) AS b, round(alpha, 9) AS alpha FROM {REPLICATES}")
+def boot_hill(spark, sf_dir):
+    return rounded(replicates(spark, sf_dir))
+
+
+@query(f"SELECT round(var_samp(alpha) * 1e6, 7) AS var_alpha, CAST(0 AS BIGINT) AS n_degenerate FROM {REPLICATES}")
+def boot_variance(spark, sf_dir):
+    out = intervals.replicate_summary(replicates(spark, sf_dir), ["alpha"], LEVEL)
+    return rounded(out.select((F.col("var_alpha") * 1e6).alias("var_alpha"), "n_degenerate"), 7)
+
+
+@query(f"SELECT round(quantile_cont(alpha, {0.5 * (1 - LEVEL)!r}), 9) AS lo_alpha, round(quantile_cont(alpha, {0.5 * (1 + LEVEL)!r}), 9) AS hi_alpha FROM {REPLICATES}")
+def boot_percentile(spark, sf_dir):
+    return rounded(intervals.replicate_summary(replicates(spark, sf_dir), ["alpha"], LEVEL).select("lo_alpha", "hi_alpha"))
+
+
+@query(f"SELECT CAST(count(*) FILTER (WHERE alpha < (SELECT {HILL} FROM orders)) AS BIGINT) AS below, count(*) AS n FROM {REPLICATES}")
+def boot_bc_z0(spark, sf_dir):
+    """What the bias correction rests on: the replicates below the estimate."""
+    theta = st.pareto_shape(PRICE_MIN).by(prices(spark, sf_dir), ["o_totalprice"]).withColumnRenamed("alpha", "_a")
+    return replicates(spark, sf_dir).join(F.broadcast(theta)).agg(F.sum((F.col("alpha") < F.col("_a")).cast("long")).alias("below"), F.count("*").alias("n"))
+
+
+@query()
+def boot_intervals(spark, sf_dir):
+    """Percentile, bias-corrected and accelerated intervals of a bootstrap on a generated draw."""
+    T, x = st.pareto_all(), draws.draw("pareto", 2000, 0)
+    r = resample.bootstrap(T, x, 1000, 0)
+    psi = T.influence(x)
+    a = (psi**3).sum(axis=0) / (6.0 * (psi**2).sum(axis=0) ** 1.5)
+    rows = [(k, o, *map(float, r.interval(k, LEVEL, a)[j])) for k in ("percentile", "bc", "bca", "normal") for j, o in enumerate(T.outputs)]
+    return spark.createDataFrame(rows, "kind string, output string, low double, high double")
+
+
+@query()
+def boot_poisson(spark, sf_dir):
+    """A bootstrap of any size of table by status: weights from keys, all replicates in one aggregation."""
+    return resample.poisson_bootstrap(st.pareto_all(PRICE_MIN, PRICE_TAIL), prices(spark, sf_dir, "o_orderstatus"), ["o_totalprice"], "o_orderkey", 50, ["o_orderstatus"])
+
+
+ABC = [(1, 2.0, 0.05, 0.01, 0.0005, 0.02), (2, 0.01, 0.002, 0.08, 0.0001, -0.03), (3, -1.5, 0.3, 0.0, 0.0, 0.0)]
+
+
+def _abc(z: float) -> str:
+    w = f"(a + c - b / s + {z!r})"
+    lam = f"({w} / ((1 - a * {w}) * (1 - a * {w})))"
+    return f"round(theta + s * ({lam} + c * {lam} * {lam}), 9)"
+
+
+@query(f"SELECT id, {_abc(-Z)} AS low, {_abc(Z)} AS high FROM (VALUES {', '.join(f'({i}, {t}::DOUBLE, {s}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)' for i, t, s, a, b, c in ABC)}) v(id, theta, s, a, b, c)")
+def abc_endpoints(spark, sf_dir):
+    v = np.array([r[1:] for r in ABC])
+    ends = intervals.abc_interval(*v.T, LEVEL)
+    return rounded(spark.createDataFrame([(r[0], *map(float, e)) for r, e in zip(ABC, ends, strict=True)], "id int, low double, high double"))
+
+
+# Least squares and mixtures -----------------------------------------------------------------------------------------------------
+
+
+@query("WITH r AS (SELECT l_orderkey, abs(l_extendedprice - 1500.0 * l_quantity) AS e, percent_rank() OVER (ORDER BY abs(l_extendedprice - 1500.0 * l_quantity)) AS p, l_quantity AS x, l_extendedprice AS y FROM lineitem) SELECT count(*) AS n, round(covar_pop(x, y) / var_pop(x), 6) AS slope, round(avg(y) - covar_pop(x, y) / var_pop(x) * avg(x), 4) AS level FROM r WHERE e <= (SELECT quantile_cont(e, 0.4) FROM r)")
+def trimmed_ls_step(spark, sf_dir):
+    """A least-squares step on the two fifths of the lines of smallest residual: the cut is an exact percentile, not a global sort."""
+    df = table(spark, sf_dir, "lineitem", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")).withColumn("e", F.abs(F.col("y") - 1500.0 * F.col("x")))
+    cut = df.agg(F.percentile("e", F.lit(0.4)).alias("_c"))
+    kept = df.join(F.broadcast(cut)).filter("e <= _c")
+    slope = F.covar_pop("x", "y") / F.var_pop("x")
+    return rounded(kept.agg(F.count("*").alias("n"), slope.alias("slope"), (F.avg("y") - slope * F.avg("x")).alias("level")), 6, level=4)
+
+
+OM = repr(fx.OMEGA)
+
+
+@query(f"SELECT round(sum(w), 4) AS b00, round(sum(w * s), 4) AS b01, round(sum(w * c), 4) AS b02, round(sum(w * s * s), 4) AS b11, round(sum(w * s * c), 4) AS b12, round(sum(w * c * c), 4) AS b22, round(sum(w * y), 4) AS y0, round(sum(w * s * y), 4) AS y1, round(sum(w * c * y), 4) AS y2 FROM (SELECT l_quantity AS w, sin({OM} * l_discount * 100) AS s, cos({OM} * l_discount * 100) AS c, l_tax AS y FROM lineitem)")
+def wls_sin_basis(spark, sf_dir):
+    """The nine sums of weighted least squares on (1, sin, cos)."""
+    df = table(spark, sf_dir, "lineitem", F.col("l_quantity").alias("w"), F.col("l_tax").alias("y"), fx.sheared_basis(F.col("l_discount") * 100).alias("p"))
+    p = [F.col("p")[i] for i in range(3)]
+    sums = [F.sum(F.col("w") * p[i] * p[j]).alias(f"b{i}{j}") for i in range(3) for j in range(i, 3)] + [F.sum(F.col("w") * p[i] * F.col("y")).alias(f"y{i}") for i in range(3)]
+    return rounded(df.agg(*sums), 4)
+
+
+#: A mixture of two round Gaussians over (log value, sine of the key): weight, centre, variance.
+TWO = ((0.6, 3.0, 0.0, 1.2), (0.4, 5.0, 0.2, 0.8))
+
+
+def two_parts(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "events", "event_id", F.log("value").alias("x"), ((F.col("event_id") % 200 - 100) / 100.0).alias("y"))
+    logs = F.array(*[F.lit(math.log(w) - math.log(2 * math.pi * v)) - ((F.col("x") - a) * (F.col("x") - a) + (F.col("y") - b) * (F.col("y") - b)) / F.lit(2.0 * v) for w, a, b, v in TWO])
+    return df.withColumn("_l", logs)
+
+
+_L = [f"({math.log(w) - math.log(2 * math.pi * v)!r} - ((x - {a}) * (x - {a}) + (y - {b}) * (y - {b})) / {2.0 * v!r})" for w, a, b, v in TWO]
+PARTS = f"(SELECT event_id, x, y, exp({_L[0]}) AS f0, exp({_L[1]}) AS f1 FROM (SELECT event_id, ln(value) AS x, (event_id % 200 - 100) / 100.0::DOUBLE AS y FROM events))"
+
+
+@query(f"SELECT event_id, round(f0 / (f0 + f1), 8) AS r0, round(f1 / (f0 + f1), 8) AS r1 FROM {PARTS}")
+def mix_estep(spark, sf_dir):
+    r = fx.softmax("_l")
+    return rounded(two_parts(spark, sf_dir).withColumn("_r", r).select("event_id", F.col("_r")[0].alias("r0"), F.col("_r")[1].alias("r1")), 8)
+
+
+@query("SELECT k, round(sum(r), 6) AS n, round(sum(r * x) / sum(r), 8) AS mx, round(sum(r * y) / sum(r), 8) AS my, round(sum(r * x * x) / sum(r) - (sum(r * x) / sum(r)) * (sum(r * x) / sum(r)), 7) AS c11 FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, x, y, f{k} / (f0 + f1) AS r FROM {PARTS}" for k in range(2)) + ") GROUP BY k")
+def mix_mstep(spark, sf_dir):
+    each = two_parts(spark, sf_dir).select("x", "y", F.posexplode(fx.softmax("_l")).alias("k", "r"))
+    m = lambda v: F.sum(F.col("r") * v) / F.sum("r")
+    x = F.col("x")
+    return rounded(each.groupBy("k").agg(F.sum("r").alias("n"), m(x).alias("mx"), m(F.col("y")).alias("my"), (m(x * x) - m(x) * m(x)).alias("c11")), 8, n=6, c11=7)
+
+
+@query(f"SELECT count(*) AS n, round(sum(ln(f0 + f1)), 5) AS loglik FROM {PARTS}")
+def mix_loglik(spark, sf_dir):
+    return rounded(two_parts(spark, sf_dir).agg(F.count("*").alias("n"), F.sum(fx.log_sum_exp("_l")).alias("loglik")), 5)
+
+
+# Functions and products -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, round((d + 1.5 * 1.0) - floor((d + 1.5) / 3.0) * 3.0 - 1.5, 8) AS wrapped FROM (SELECT o_orderkey, o_totalprice / 1000.0 - 200.0 AS d FROM orders)")
+def periodic_wrap(spark, sf_dir):
+    return rounded(prices(spark, sf_dir).select("o_orderkey", fx.wrap_periodic(F.col("o_totalprice") / 1000.0 - 200.0, 3.0).alias("wrapped")), 8)
+
+
+@query("SELECT o_orderkey, CAST(power(10, ceil(log10(o_totalprice) - 1e-9)) AS DOUBLE) AS up, o_totalprice - 1013 <= 1e-4 * 498987 OR 500000 - o_totalprice <= 1e-4 * 498987 AS bound FROM orders")
+def scalar_functions(spark, sf_dir):
+    return prices(spark, sf_dir).select("o_orderkey", fx.round_up_pow10("o_totalprice").alias("up"), fx.at_bound("o_totalprice", 1013.0, 500000.0).alias("bound"))
+
+
+@query("SELECT o_orderpriority, min(k) AS first, max(k) AS last, count(*) AS n FROM (SELECT o_orderpriority, k, k - row_number() OVER (PARTITION BY o_orderpriority ORDER BY k) AS g FROM (SELECT DISTINCT o_orderpriority, o_orderkey AS k FROM orders)) GROUP BY o_orderpriority, g")
+def draw_ranges(spark, sf_dir):
+    return products.draw_ranges(prices(spark, sf_dir, "o_orderpriority"), "o_orderkey", ["o_orderpriority"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT event_id FROM events)")
+def resume_pending(spark, sf_dir):
+    done = table(spark, sf_dir, "events", F.col("event_id").alias("o_orderkey"))
+    return prices(spark, sf_dir).select("o_orderkey").join(done, "o_orderkey", "left_anti")
+
+
+@query()
+def collect_products(spark, sf_dir):
+    """The estimates of five draws of one data set, each made in its own task."""
+    return st.pareto_all().by(draws.points(spark, "pareto", 2000, 0, 0, 5), ["x0"], ["s"])
+
+
+@query()
+def resampled_pool(spark, sf_dir):
+    """A draw with replacement from an indexed pool."""
+    pool = table(spark, sf_dir, "events", F.col("event_id").alias("i"), "value")
+    pool = quantize.relabelled(pool, "i", "_i").select(F.col("_i").cast("long").alias("i"), "value")
+    return draws.resample(pool, 5000, 7).groupBy().agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@query()
+def case_catalogue(spark, sf_dir):
+    return draws.catalogue(spark)
+
+
+# Quantization, limits and methods ---------------------------------------------------------------------------------------------------
+
+
+@query()
+def pilot_budget(spark, sf_dir):
+    return spark.createDataFrame([(r, e, quantize.pilot_budget(e, r, r)) for r in (1, 2, 3, 4) for e in (0.005, 0.01, 0.02)], "r int, eps double, cells int")
+
+
+@query()
+def kmeans_cells(spark, sf_dir):
+    x = draws.draw("cloudfil_u", 5000, 0)
+    p = quantize.build_cells(x, None, 0.01, 2)
+    return spark.createDataFrame([(c, int(n), float(s)) for c, (n, s) in enumerate(zip(p.size, p.scale, strict=True))], "cell int, n int, scale double")
+
+
+@query()
+def two_means_leaf(spark, sf_dir):
+    """Leaves cut side by side: each leaf is one group of the cells' influences."""
+    def cut(pdf):
+        import pandas as pd
+
+        rows = pdf.sort_values("o_orderkey")
+        got = quantize.two_means(rows[["psi_alpha", "psi_P_tail"]].to_numpy(), np.arange(len(rows)))
+        a, b = (0, len(rows)) if got is None else (len(got[0]), len(got[1]))
+        return pd.DataFrame({"cell": [int(rows["cell"].iloc[0])], "na": [a], "nb": [b]})
+
+    return cells(spark, sf_dir).select("cell", "o_orderkey", "psi_alpha", "psi_P_tail").groupBy("cell").applyInPandas(cut, "cell int, na long, nb long")
+
+
+@query()
+def wchi2_limit(spark, sf_dir):
+    rows = []
+    for k, w in enumerate(([1.0], [1.0] * 7, [5.0, 1.0], [1.0, 0.5, 0.25, 0.1])):
+        q = wchi2_quantile(w, 0.16)
+        rows.append((k, float(q), float(wchi2_cdf(w, q))))
+    return spark.createDataFrame(rows, "id int, quantile double, cdf double")
+
+
+def certified(spark, T, x, **options) -> DataFrame:
+    r = qij.run(T, x, spark=spark, **options)
+    rows = [(o, r.cells, r.leaves, r.rounds, r.evaluations, r.passed, float(r.v_hat[j]), float(r.u[j]), float(r.delta[j]), float(r.v_lb[j])) for j, o in enumerate(r.outputs)]
+    return spark.createDataFrame(rows, "output string, M int, K int, rounds int, E int, passed boolean, Vhat double, U double, delta double, V_lb double")
+
+
+@query()
+def qij_hill(spark, sf_dir):
+    """The certified variance on a draw of at most 10,000 points, which is the method's scale: the first by a hash of the key."""
+    df = prices(spark, sf_dir).orderBy(F.xxhash64("o_orderkey")).limit(10_000)
+    x = np.array([r["o_totalprice"] for r in df.select("o_totalprice").collect()])
+    return certified(spark, st.pareto_shape(PRICE_MIN), x)
+
+
+@query()
+def qij_pareto_all(spark, sf_dir):
+    return certified(spark, st.pareto_all(), draws.draw("pareto", 10_000, 0))
+
+
+@query()
+def qij_mvt_nu(spark, sf_dir):
+    return certified(spark, st.DegreesOfFreedom(), draws.draw("mvt", 2000, 0), cells=49)
+
+
+@query()
+def gmm2d_fit(spark, sf_dir):
+    """A continuation from the population's parameters, with the influence variance of each output."""
+    T, x = mixture.Mixture(9), draws.draw("mix11", 2000, 0)
+    theta = T(x, np.ones(len(x)), start=np.array(list(draws.truth("mix11", "gmm").values())))
+    psi = T.influence(x, theta=theta)
+    return spark.createDataFrame([(o, float(t), float(v)) for o, t, v in zip(T.outputs, theta, (psi**2).mean(axis=0), strict=True)], "output string, theta double, V double")
+
+
+@query()
+def shearmix_fit(spark, sf_dir):
+    T, x = draws.case("cloudfil_u", "p2").make(), draws.draw("cloudfil_u", 5000, 0)
+    w, mean, cov = draws.cloud_components(False)
+    t = draws.THREAD
+    start = mixture.Parameters(np.append(w, draws.THREAD_SHARE), mean, cov, np.array([t["m"], t["s2x"], *t["b"], t["s2p"]])).vector()
+    theta = T(x, np.ones(len(x)), start=start)
+    return spark.createDataFrame([(o, float(v)) for o, v in zip(T.outputs, theta, strict=True)], "output string, theta double")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The tail index of the order prices by priority, its variance from the influences, and its normal interval."""
+    T = st.pareto_shape(PRICE_MIN)
+    df = prices(spark, sf_dir, "o_orderpriority")
+    ratio = fx.log_ratio("o_totalprice", PRICE_MIN)
+    theta = T.by(df, ["o_totalprice"], ["o_orderpriority"])
+    psi = F.col("alpha") - F.col("alpha") * F.col("alpha") * ratio
+    out = df.join(F.broadcast(theta), "o_orderpriority").groupBy("o_orderpriority").agg(F.count("*").alias("N"), F.max("alpha").alias("alpha"), (F.avg(psi * psi) / F.count("*")).alias("V_ij"))
+    low, high = intervals.normal_columns("alpha", "V_ij", LEVEL)
+    return out.withColumns({"low": low, "high": high})
+
+
