@@ -82,8 +82,8 @@ def test_tree_finds_every_possible_pair():
     for k in range(0, 150, 3):
         sets[k] = np.unique(np.concatenate([sets[k - k % 30][2:], sets[k][:1]]))
     ids, sizes = np.arange(150), np.array([len(s) for s in sets])
-    a, b = jaccard_join.block_pairs(ids, sizes, [jaccard_join.bitmap(s) for s in sets], np.arange(150), 70)
-    found = set(zip(a.tolist(), b.tolist()))
+    a, b, _ = jaccard_join.block_pairs(ids, sizes, [jaccard_join.bitmap(s) for s in sets], np.arange(150), 70)
+    found = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
     for i in range(150):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))

@@ -11,8 +11,10 @@ or whose largest possible overlap rule out any link, and the exact test on the w
 
 Groups of copies would make the pairs grow with the square of their size, so it is done in two rounds. The first keeps, for each
 member, only its most promising earlier partner; tested links give components. The second traverses again those blocks that still
-span several components, skips node pairs within one component, and keeps every other pair. Chunks of one block meet in the second
-round too: the members outside its largest component against all. So no link between components is lost, at any block size.
+span several components, skips node pairs within one component, and keeps the members that may link to another one. With the texts of
+these a block's remaining pairs are tested where they are, none of them emitted: only links that join components leave the task.
+Chunks of one block meet in the second round too: the members outside its largest component against all. So no link between
+components is lost, at any block size.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing, not even its like; a text of
 fewer than k words has one shingle, the whole sequence; rows with one doc_id are one document with several texts; a null doc_id is
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import NO_ID, release, shared_folder, written
+from varloom.llm.common import NO_ID, delete, release, shared_folder, written
 from varloom.llm.components import components
 from varloom.llm.wordhash import mixed, shingles
 
@@ -93,9 +95,9 @@ def prefix(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
 # Signatures -----------------------------------------------------------------------------------------------------------------
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """2**j >= 4 n bits, 64 at least, by the low bits of the hashes: the map of half the size is the OR of the halves."""
-    bits = max(64, 1 << (4 * len(s) - 1).bit_length())
+def bitmap(s: np.ndarray, each: int = 2) -> np.ndarray:
+    """2**j >= each n bits, 64 at least, by the low bits of the hashes: the map of half the size is the OR of the halves."""
+    bits = max(64, 1 << (each * len(s) - 1).bit_length())
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     out = np.zeros(bits // 64, dtype=np.uint64)
     np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
@@ -165,12 +167,12 @@ def children(i: np.ndarray, n_i: int, down_i: bool, j: np.ndarray, n_j: int, dow
     return a[ok], b[ok]
 
 
-def block_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], comp: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a block to be tested, a < b. Without components (the first round), for each member the earlier one of the
-    largest possible similarity; else all pairs between components that may link."""
+def block_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], comp: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a block's members that may link, as places, with their largest possible overlap. Without components (the first
+    round), for each member the earlier one of the largest possible similarity; else all pairs between components."""
     best = comp is None
     by = np.lexsort((ids, sizes)) if best else np.lexsort((ids, sizes, comp))
-    ids, sizes, maps = ids[by], sizes[by], [maps[k] for k in by]
+    sizes, maps = sizes[by], [maps[k] for k in by]
     comp = np.arange(len(ids)) if best else comp[by]
     widths = np.array([len(m) for m in maps])
     found = []
@@ -188,76 +190,197 @@ def block_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], comp
     if best and len(i):
         i, j = np.minimum(i, j), np.maximum(i, j)
         order = np.lexsort((i, -most / (sizes[i] + sizes[j]), j))
-        first = np.concatenate([[True], np.diff(j[order]) != 0])
-        i, j = i[order][first], j[order][first]
-    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        order = order[np.concatenate([[True], np.diff(j[order]) != 0])]
+        i, j, most = i[order], j[order], most[order]
+    return by[i], by[j], most
 
 
-# The join -------------------------------------------------------------------------------------------------------------------
+def overlap(s: np.ndarray, t: np.ndarray) -> int:
+    s, t = (s, t) if len(s) <= len(t) else (t, s)
+    return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(s) else 0
+
+
+def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = overlap(s, t)
+    return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
+
 
+# A filter of ids ------------------------------------------------------------------------------------------------------------
 
-def candidates(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
-    """blocks: bid, d, n, map, and comp unless best. The pairs a < b to be tested."""
 
-    def of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([r[1] for r in rows], dtype=np.int64)
-        comp = None if best else np.array([r[4] for r in rows], dtype=np.int64)
-        if comp is not None:
-            comp = np.unique(comp, return_inverse=True)[1]
-        return block_pairs(ids, np.array([r[2] for r in rows], dtype=np.int64), [np.frombuffer(r[3], dtype=np.uint64) for r in rows], comp, percent)
+def filtered(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of docs (d, t) whose id may be needed: one bit for each hashed id, 16 bits for each needed id, in a map of 128 KB to
+    64 MB whatever the input, put together on the executors by pieces. It keeps texts that no one needs from being shuffled; an
+    exact join must follow. Beyond 30 million needed ids the map fills up, and lets more texts pass."""
+    count = needed.count()
+    bits = min(29, max(20, (16 * count).bit_length()))
+    part = bits - 6  # 64 pieces
+
+    def hashed(ids: pa.Array) -> np.ndarray:
+        return mixed(ids.to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - bits)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bits of a piece; its rows are together."""
+        maps: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if piece not in maps:
+                    maps[piece] = np.zeros(1 << part, dtype=bool)
+                maps[piece][at] = True
+        if maps:
+            yield pa.RecordBatch.from_arrays([pa.array(list(maps), type=pa.int32()), pa.array([np.packbits(m).tobytes() for m in maps.values()], type=pa.binary())], names=["piece", "map"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = hashed(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(part)).astype(np.int32)), pa.array((at & np.uint64((1 << part) - 1)).astype(np.int32))], names=["piece", "at"])
+
+    pieces = needed.mapInArrow(place, "piece int, at int").distinct().repartition(64, "piece").mapInArrow(mark, "piece int, map binary")
+    whole = np.zeros((64, (1 << part) // 8), dtype=np.uint8)
+    for row in pieces.collect():  # 64 rows of bounded size
+        whole[row["piece"]] = np.frombuffer(bytes(row["map"]), dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = hashed(batch.column(0))
+            on = (shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1)
+            yield batch.filter(pa.array(on.astype(bool)))
+
+    return docs.mapInArrow(keep, "d long, t string")
+
+
+# The join -------------------------------------------------------------------------------------------------------------------
+
+
+def each_block(blocks: DataFrame, columns: list[str], f, fields: str) -> DataFrame:
+    """f on the rows of each block (bid first), giving as many arrays of longs as there are fields."""
+    names = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, a, b, made = [], [], [], 0
+        rows, parts, made = [], [], 0
 
         def close() -> None:
             nonlocal made
             if len(rows) > 1:
-                x, y = of(rows)
-                a.append(x), b.append(y)
-                made += len(x)
+                got = f(rows)
+                if len(got[0]):
+                    parts.append(got)
+                    made += len(got[0])
             rows.clear()
 
         def out() -> pa.RecordBatch:
             nonlocal made
-            got = pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), type=pa.int64()), pa.array(np.concatenate(b), type=pa.int64())], names=["a", "b"])
-            a.clear(), b.clear()
+            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts]), type=pa.int64()) for k in range(len(names))], names=names)
+            parts.clear()
             made = 0
-            return got
+            return batch
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns, strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rows and rows[0][0] != row[0]:
                     close()
                     if made > 20_000:
                         yield out()
                 rows.append(row)
         close()
-        if a:
+        if made:
             yield out()
 
-    columns = ["bid", "d", "n", "map"] + ([] if best else ["comp"])
-    return blocks.select(*columns).repartition("bid").sortWithinPartitions("bid").mapInArrow(run, "a long, b long").filter("a < b").distinct()
+    return blocks.select(*columns).repartition("bid").sortWithinPartitions("bid").mapInArrow(run, fields)
+
+
+def column(rows: list[tuple], k: int) -> np.ndarray:
+    return np.array([r[k] for r in rows], dtype=np.int64)
+
+
+def maps_of(rows: list[tuple], k: int) -> list[np.ndarray]:
+    return [np.frombuffer(r[k], dtype=np.uint64) for r in rows]
+
 
+def best_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+    """The first round's pairs a < b of blocks (bid, d, n, map)."""
 
-def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets have a Jaccard similarity of percent or more."""
+    def f(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        ids = column(rows, 1)
+        i, j, _ = block_pairs(ids, column(rows, 2), maps_of(rows, 3), None, percent)
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+    return each_block(blocks, ["bid", "d", "n", "map"], f, "a long, b long").filter("a < b").distinct()
+
+
+def groups_of(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of n members the smallest member that pairs (i, j) connect it with."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def undecided(blocks: DataFrame, percent: int) -> DataFrame:
+    """The members of blocks (bid, d, n, map, comp) that may link to another component, in blocks of their own: bid, d, comp. Members,
+    not pairs, are the rows. A block falls apart into the groups that its pairs connect; a group is named by its members, so that the
+    same group from many blocks is one."""
+
+    def f(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        ids, comp = column(rows, 1), column(rows, 4)
+        i, j, _ = block_pairs(ids, column(rows, 2), maps_of(rows, 3), np.unique(comp, return_inverse=True)[1], percent)
+        at = np.union1d(i, j)
+        if not len(at):
+            return ids[:0], ids[:0], ids[:0]
+        _, group = np.unique(groups_of(i, j, len(ids))[at], return_inverse=True)
+        name = np.zeros(group.max() + 1, dtype=np.uint64)
+        np.add.at(name, group, mixed(ids[at].view(np.uint64)))
+        return mixed(name)[group].view(np.int64), ids[at], comp[at]
+
+    return each_block(blocks, ["bid", "d", "n", "map", "comp"], f, "bid long, d long, comp long").distinct()
+
+
+def links_between(blocks: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links that join components within blocks (bid, d, comp, t): the tree on finer bitmaps, the exact test on the whole sets, the
+    likeliest pair first, and no pair that earlier links have joined."""
+
+    def f(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        ids, comp, sets = column(rows, 1), np.unique(column(rows, 2), return_inverse=True)[1], [shingles(raw(r[3]), k) for r in rows]
+        sizes = np.array([len(s) for s in sets])
+        i, j, most = block_pairs(ids, sizes, [bitmap(s, 16) if len(s) else np.zeros(1, dtype=np.uint64) for s in sets], comp, percent)
+        root = np.arange(comp.max() + 1)
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        a, b = [], []
+        for p in np.argsort(-most / (sizes[i] + sizes[j] + 1), kind="stable").tolist():
+            x, y = find(comp[i[p]]), find(comp[j[p]])
+            if x != y and linked(sets[i[p]], sets[j[p]], percent):
+                root[max(x, y)] = min(x, y)
+                a.append(min(ids[i[p]], ids[j[p]]))
+                b.append(max(ids[i[p]], ids[j[p]]))
+        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+    return each_block(blocks, ["bid", "d", "comp", "t"], f, "a long, b long").distinct()
+
+
+def tested(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets have a Jaccard similarity of percent or more. Texts travel, not sets: they are half as large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.searchsorted(t, s)
-                both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            keep = [linked(shingles(raw(x.as_py()), k), shingles(raw(y.as_py()), k), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    left = sets.select(F.col("d").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("d").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    left = texts.select(F.col("d").alias("a"), F.col("t").alias("ta"))
+    right = texts.select(F.col("d").alias("b"), F.col("t").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,12 +400,15 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
             own = [prefix(s, order, percent) if len(s) else np.empty(0, dtype=np.int64) for s in sets]
             ends = np.cumsum([0, *(len(x) for x in own)]).astype(np.int32)
             arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.empty(0, dtype=np.int64))))
-            yield pa.RecordBatch.from_arrays(arrays, names=["d", "n", "s1", "s2", "keys"])
+            arrays.append(pa.array([bitmap(s).tobytes() if len(s) else b"" for s in sets], type=pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, names=["d", "n", "s1", "s2", "keys", "map"])
 
-    every = written(narrow.mapInArrow(keys, "d long, n long, s1 long, s2 long, keys array<long>"), f"{folder}/keys")
     same = ["n", "s1", "s2"]
-    reps = every.filter("n > 0").groupBy(*same).agg(F.min(F.struct("d", "keys")).alias("r")).select(*same, "r.*")
+    wide = written(narrow.mapInArrow(keys, "d long, n long, s1 long, s2 long, keys array<long>, map binary"), f"{folder}/wide")
+    every = written(wide.select("d", *same), f"{folder}/every")
+    reps = wide.filter("n > 0").groupBy(*same).agg(F.min(F.struct("d", "keys", "map")).alias("r")).select(*same, "r.*")
     reps = written(reps, f"{folder}/classes")
+    delete(spark, f"{folder}/wide")
     posts = reps.select("d", "n", F.explode("keys").alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     shared = written(shared.filter(f"c > 1 AND lo < hi AND (c > 2 OR 100 * least >= {percent} * most)"), f"{folder}/shared")
@@ -295,50 +421,49 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     lists = more.groupBy("key", chunk.alias("chunk")).agg(F.array_sort(F.array_union(F.collect_set("d"), F.array(F.min("lo")))).alias("m"))
     lists = lists.select("m").unionByName(shared.filter("c = 2").select(F.array("lo", "hi").alias("m"))).filter("size(m) > 1").dropDuplicates(["m"])
     lists = written(lists.select(F.xxhash64("m").alias("bid"), "m"), f"{folder}/blocks")
-    members = lists.select("bid", F.explode("m").alias("d"))
+    members, maps = lists.select("bid", F.explode("m").alias("d")), reps.select("d", "n", "map")
     release(spark)
-    # The whole sets of the documents in any block.
-    needed = members.select("d").distinct()
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(raw(t.as_py()), k) for t in batch.column(1)]
-            arrays = [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary()), pa.array([bitmap(s).tobytes() if len(s) else b"" for s in sets], type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["d", "n", "s", "map"])
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        """The texts of these documents, and no others."""
+        ids = ids.distinct()
+        out = written(filtered(narrow, ids).join(ids, "d", "left_semi").dropDuplicates(["d", "t"]), f"{folder}/texts-{name}")
+        release(spark)
+        return out
 
-    sets = narrow.join(needed, "d", "left_semi").select("d", "t").mapInArrow(whole, "d long, n long, s binary, map binary")
-    sets = written(sets.filter("n > 0").dropDuplicates(["d", "s"]), f"{folder}/sets")
+    pairs = written(best_pairs(members.join(maps, "d"), percent), f"{folder}/pairs")
     release(spark)
-    pairs = written(candidates(members.join(sets.select("d", "n", "map"), "d"), percent, True), f"{folder}/pairs-1")
-    links = written(tested(pairs, sets, percent), f"{folder}/links-1")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("d")), "1")
+    links = written(tested(pairs, texts, k, percent), f"{folder}/links")
+    delete(spark, f"{folder}/texts-1")
     release(spark)
     found = components(links, f"{folder}/components-1")
     # The second round: blocks that span components.
-    labelled = needed.join(found, needed["d"] == found["id"], "left").select("d", F.coalesce("component", "d").alias("comp"))
-    labelled = written(labelled, f"{folder}/labels")
-    inside = members.join(labelled, "d")
+    label = F.coalesce("component", "d").alias("comp")
+    inside = members.join(found, members["d"] == found["id"], "left").select("bid", "d", label)
     several = inside.groupBy("bid").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("m > 2 AND x < y").select("bid")
     rest = inside.join(several, "bid", "left_semi").select("bid", "d", "comp")
-    rest = rest.unionByName(across(big, labelled))
-    pairs = candidates(rest.join(sets.select("d", "n", "map"), "d"), percent, False).join(pairs, ["a", "b"], "left_anti")
-    more_links = written(tested(pairs, sets, percent), f"{folder}/links-2")
+    rest = rest.unionByName(across(big.join(found, big["d"] == found["id"], "left").select("key", "d", "chunks", label)))
+    open_members = written(undecided(rest.join(maps, "d"), percent), f"{folder}/undecided")
+    release(spark)
+    texts = texts_of(open_members.select("d"), "2")
+    more_links = written(links_between(open_members.join(texts, "d"), k, percent), f"{folder}/links-2")
+    delete(spark, f"{folder}/texts-2")
     release(spark)
-    links = links.unionByName(more_links)
-    joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more_links)
-    found = components(joined, f"{folder}/components-2")
+    if not more_links.isEmpty():
+        joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more_links)
+        found = components(joined, f"{folder}/components-2")
     classes_of = reps.select(*same, F.col("d").alias("rep"))
     named = classes_of.join(found, classes_of["rep"] == found["id"], "left").select(*same, F.coalesce("component", "rep").alias("c"))
-    # A document's own rows count too: one doc_id with several texts is one document, in the smallest of its classes' components.
-    out = every.select("d", *same).join(named.hint("merge"), same, "left")
-    null_id = F.lit(None).cast("long")
-    return out.select(
-        F.when(F.col("d") == NO_ID, null_id).otherwise(F.col("d")).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.coalesce("c", "d") == NO_ID, null_id).otherwise(F.coalesce("c", "d")).alias("component_id")
-    )
+    out = every.join(named.hint("merge"), same, "left")
+    component = F.when(F.col("n") == 0, F.col("d")).otherwise(F.col("c"))
+    null_id = lambda c: F.when(c != NO_ID, c)
+    return out.select(null_id(F.col("d")).alias(id_col), F.col("n").alias("n_shingles"), null_id(component).alias("component_id"))
 
 
-def across(big: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks of more than one chunk: the members outside the block's largest component, by chunks, against all, by chunks."""
-    inside = big.select("key", "d", "chunks").join(labels, "d")
+def across(inside: DataFrame) -> DataFrame:
+    """Blocks of more than one chunk (key, d, chunks, comp): the members outside the block's largest component, by chunks, against
+    all, by chunks."""
     counts = inside.groupBy("key", "comp").agg(F.count("*").alias("x"))
     largest = counts.groupBy("key").agg(F.max(F.struct("x", "comp")).alias("top"), F.sum("x").alias("all")).select("key", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.x")) / CHUNK).cast("int").alias("others")).filter("others > 0")
     marked = inside.join(largest, "key")
