@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import chat, decontam, html_text, jaccard_join, license_scan, line_dedup, mixing, quality, secret_scan
+from varloom.llm import chat, decontam, html_text, jaccard_join, license_scan, line_dedup, mixing, pii, quality, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": line_dedup.op1,
         "op2_secret_scan": secret_scan.op2,
         "op3_html_text": html_text.op3,
+        "op4_pii_surrogates": pii.op4,
         "op5_mixing": mixing.op5,
         "op6_license_scan": license_scan.op6,
         "op7_decontamination": decontam.op7,
