@@ -10,8 +10,9 @@ their bitmaps, the range of sizes and the largest number of shingles that bitmap
 or whose largest possible overlap rule out any link, and the exact test on the whole sets follows for the pairs that remain.
 
 Groups of copies would make the pairs grow with the square of their size, so it is done in two rounds. The first keeps, for each
-member, only its most promising earlier partner; tested links give components. The second traverses again those blocks that still
-span several components, skips node pairs within one component, and keeps the members that may link to another one. With the texts of
+member, only its most promising earlier partner; tested links give components. The second traverses again the members of the pairs
+that were left out, where their blocks still span several components, skips node pairs within one component, and keeps the members
+that may link to another one. With the texts of
 these a block's remaining pairs are tested where they are, none of them emitted: only links that join components leave the task.
 Chunks of one block meet in the second round too: the members outside its largest component against all. So no link between
 components is lost, at any block size.
@@ -168,12 +169,11 @@ def children(i: np.ndarray, n_i: int, down_i: bool, j: np.ndarray, n_j: int, dow
 
 
 def block_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], comp: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of a block's members that may link, as places, with their largest possible overlap. Without components (the first
-    round), for each member the earlier one of the largest possible similarity; else all pairs between components."""
-    best = comp is None
-    by = np.lexsort((ids, sizes)) if best else np.lexsort((ids, sizes, comp))
+    """The pairs of a block's members that may link, as places, with their largest possible overlap; with components, only the pairs
+    between them."""
+    by = np.lexsort((ids, sizes)) if comp is None else np.lexsort((ids, sizes, comp))
     sizes, maps = sizes[by], [maps[k] for k in by]
-    comp = np.arange(len(ids)) if best else comp[by]
+    comp = np.arange(len(ids)) if comp is None else comp[by]
     widths = np.array([len(m) for m in maps])
     found = []
     for w in np.unique(widths):
@@ -187,14 +187,20 @@ def block_pairs(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], comp
             i, j, most = traverse(tree, Tree(sizes[up], folded, comp[up]), percent)
             found.append((at[i], up[j], most))
     i, j, most = (np.concatenate([f[k] for f in found]) for k in range(3))
-    if best and len(i):
-        i, j = np.minimum(i, j), np.maximum(i, j)
-        order = np.lexsort((i, -most / (sizes[i] + sizes[j]), j))
-        order = order[np.concatenate([[True], np.diff(j[order]) != 0])]
-        i, j, most = i[order], j[order], most[order]
     return by[i], by[j], most
 
 
+def most_promising(ids: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of a block's pairs, whether it is the one of the largest possible similarity of its later member with an earlier one, by size."""
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[np.lexsort((ids, sizes))] = np.arange(len(ids))
+    early, late = np.minimum(rank[i], rank[j]), np.maximum(rank[i], rank[j])
+    order = np.lexsort((early, -most / (sizes[i] + sizes[j]), late))
+    out = np.zeros(len(i), dtype=bool)
+    out[order] = np.diff(late[order], prepend=-1) != 0
+    return out
+
+
 def overlap(s: np.ndarray, t: np.ndarray) -> int:
     s, t = (s, t) if len(s) <= len(t) else (t, s)
     return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(s) else 0
@@ -299,14 +305,19 @@ def maps_of(rows: list[tuple], k: int) -> list[np.ndarray]:
 
 
 def best_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """The first round's pairs a < b of blocks (bid, d, n, map)."""
+    """The first round on blocks (bid, d, n, map): with open = 0 its pairs x < y; with open = 1 the block x and a member y of pairs that
+    it leaves out. The second round needs no others: every pair but these is ruled out or tested."""
 
     def f(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-        ids = column(rows, 1)
-        i, j, _ = block_pairs(ids, column(rows, 2), maps_of(rows, 3), None, percent)
-        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        ids, sizes = column(rows, 1), column(rows, 2)
+        i, j, most = block_pairs(ids, sizes, maps_of(rows, 3), None, percent)
+        best = most_promising(ids, sizes, i, j, most)
+        out = np.union1d(i[~best], j[~best])
+        i, j = i[best], j[best]
+        block = np.full(len(out), rows[0][0], dtype=np.int64)
+        return np.repeat(np.array([0, 1]), [len(i), len(out)]), np.concatenate([np.minimum(ids[i], ids[j]), block]), np.concatenate([np.maximum(ids[i], ids[j]), ids[out]])
 
-    return each_block(blocks, ["bid", "d", "n", "map"], f, "a long, b long").filter("a < b").distinct()
+    return each_block(blocks, ["bid", "d", "n", "map"], f, "open long, x long, y long")
 
 
 def groups_of(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -431,17 +442,19 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
         release(spark)
         return out
 
-    pairs = written(best_pairs(members.join(maps, "d"), percent), f"{folder}/pairs")
+    first = written(best_pairs(members.join(maps, "d"), percent), f"{folder}/round-1")
+    pairs = written(first.filter("open = 0 AND x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"{folder}/pairs")
     release(spark)
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("d")), "1")
     links = written(tested(pairs, texts, k, percent), f"{folder}/links")
     delete(spark, f"{folder}/texts-1")
     release(spark)
     found = components(links, f"{folder}/components-1")
-    # The second round: blocks that span components.
+    # The second round: the pairs left out, in blocks that span components.
     label = F.coalesce("component", "d").alias("comp")
-    inside = members.join(found, members["d"] == found["id"], "left").select("bid", "d", label)
-    several = inside.groupBy("bid").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("m > 2 AND x < y").select("bid")
+    left = first.filter("open = 1").select(F.col("x").alias("bid"), F.col("y").alias("d"))
+    inside = left.join(found, left["d"] == found["id"], "left").select("bid", "d", label)
+    several = inside.groupBy("bid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bid")
     rest = inside.join(several, "bid", "left_semi").select("bid", "d", "comp")
     rest = rest.unionByName(across(big.join(found, big["d"] == found["id"], "left").select("key", "d", "chunks", label)))
     open_members = written(undecided(rest.join(maps, "d"), percent), f"{folder}/undecided")
