@@ -11,8 +11,10 @@ import numpy as np
 
 from varloom.functions.numerics import pivoted_cholesky
 
-#: Entries of a temporary kernel block; tolerances of the two rules and of the reproduction of constraints.
-BLOCK = 1 << 16
+#: Entries of a temporary kernel block and of a block of rows' products; tolerances of the two rules and of the reproduction of constraints.
+BLOCK, ENTRIES = 1 << 16, 1 << 22
+#: Largest exponent within a group up to which running sums are taken.
+SPREAD = 300.0
 SPAN_TOL = KERNEL_TOL = REPRODUCTION_TOL = 1e-8
 JITTER = 1e-10
 
@@ -48,7 +50,12 @@ class Rows:
         if not len(which):
             return np.zeros((0, f.shape[1]))
         i, w, at = self.flat(which)
-        return np.add.reduceat(f[i] * w[:, None], at, axis=0)
+        out, step = np.empty((len(which), f.shape[1])), max(1, ENTRIES // len(i))
+        for a in range(0, f.shape[1], step):
+            part = np.ascontiguousarray(f[:, a : a + step])[i]
+            part *= w[:, None]
+            out[:, a : a + step] = np.add.reduceat(part, at, axis=0)
+        return out
 
 
 class Span:
@@ -108,6 +115,14 @@ class Interpolant:
         self.jitter = 0.0
         self.alpha = self.inverse = None
         self.pending: dict[int, np.ndarray] = {}
+        if self.d == 1:  # groups of one scale, each sorted by place
+            by = np.lexsort((self.x[:, 0], self.scale))
+            self.groups = np.split(by, np.flatnonzero(np.diff(self.scale[by])) + 1)
+            self.group = np.empty(self.n, dtype=np.int64)
+            self.place = np.empty(self.n, dtype=np.int64)
+            self.place[by] = np.arange(self.n)
+            for g, members in enumerate(self.groups):
+                self.group[members] = g
 
     def kernel(self, i: np.ndarray, low: int, high: int) -> np.ndarray:
         """exp(-sqrt(2 D^2 / S)) (2 s_i s_j / S)^(d/2), S = s_i^2 + s_j^2; a point's distance to itself is exactly 0."""
@@ -130,7 +145,39 @@ class Interpolant:
             d2 *= np.sqrt(s, out=s)
         return d2
 
+    def column_1d(self, index: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """column() in one dimension, without its n^2 kernel entries: between two groups of one scale each, the kernel is
+        c exp(-r |x - y|), whose sum over the points on either side is a running sum over the sorted points."""
+        out = np.zeros(self.n)
+        order = np.argsort(self.place[index])
+        index, weight = index[order], weight[order]
+        for part in np.split(np.arange(len(index)), np.flatnonzero(np.diff(self.group[index])) + 1):
+            i, w = index[part], weight[part]
+            x, s = self.x[i, 0], self.scale[i[0]]
+            for to in self.groups:
+                y, t = self.x[to, 0], self.scale[to[0]]
+                square = 0.5 * (s * s + t * t)
+                r, c = 1.0 / np.sqrt(square), np.sqrt(s * t / square)
+                if y[0] >= x[-1]:
+                    out[to] += c * (w @ np.exp(r * (x - x[-1]))) * np.exp(r * (x[-1] - y))
+                elif y[-1] <= x[0]:
+                    out[to] += c * (w @ np.exp(r * (x[0] - x))) * np.exp(r * (y - x[0]))
+                elif r * (x[-1] - x[0]) <= SPREAD:
+                    at = np.searchsorted(x, y, side="right")
+                    low = np.concatenate([[0.0], np.cumsum(w * np.exp(r * (x - x[-1])))])[at]
+                    high = np.concatenate([np.cumsum((w * np.exp(r * (x[0] - x)))[::-1])[::-1], [0.0]])[at]
+                    some, rest = at > 0, at < len(x)
+                    out[to[some]] += c * low[some] * np.exp(r * (x[-1] - y[some]))
+                    out[to[rest]] += c * high[rest] * np.exp(r * (y[rest] - x[0]))
+                else:  # running sums would leave the range of numbers
+                    step = max(1, BLOCK // len(x))
+                    for a in range(0, len(to), step):
+                        out[to[a : a + step]] += c * (w @ np.exp(-r * np.abs(x[:, None] - y[None, a : a + step])))
+        return out
+
     def column(self, index: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        if self.d == 1 and len(index):
+            return self.column_1d(index, weight)
         out, step = np.empty(self.n), max(1, BLOCK // max(1, len(index)))
         for low in range(0, self.n, step):
             high = min(self.n, low + step)
@@ -199,7 +246,8 @@ class Interpolant:
         for r in [r for r in self.columns if r not in kept]:
             del self.columns[r]
         c = np.array([self.columns[r] for r in ids])
-        gram = rows.apply(np.ascontiguousarray(c.T), ids)
+        self.columns = dict(zip(ids, c, strict=True))  # views: the columns are held once
+        gram = rows.apply(c.T, ids)
         gram = 0.5 * (gram + gram.T)
         if not self.jitter:
             self.jitter = JITTER * max(float(gram.diagonal().max()), 1e-300)
@@ -225,6 +273,10 @@ class Interpolant:
 
     def _columns(self, which: list[int], rows: Rows) -> None:
         """Columns of many rows at once: one kernel block over the union of their supports at a time."""
+        if self.d == 1:
+            for r in which:
+                self.columns[r] = self.column(rows.index[r], rows.weight[r])
+            return
         support = np.unique(np.concatenate([rows.index[r] for r in which]))
         out = np.empty((len(which), self.n))
         step = max(1, BLOCK // len(support))

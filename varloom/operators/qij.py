@@ -137,6 +137,12 @@ class Model:
             self.rows.drop(r)
 
 
+def refuse(n: int, c: int) -> None:
+    """An error if n points in c cells need more than the driver's limit."""
+    if 8 * n * 4 * c > DRIVER_LIMIT:
+        raise ValueError(f"{n} points by about {4 * c} rows are beyond the driver's limit; draw fewer points")
+
+
 def run(T, x: np.ndarray, *, eps: float = 0.01, level: float = 0.84, cells: int | None = None, k: int = 16, seed: int = 0, spark: SparkSession | None = None, exact: Callable | None = None, labels: np.ndarray | None = None, transform=None, scale: np.ndarray | None = None, progress: Callable[[dict], None] | None = None) -> Result:
     """The method on one draw x, (N,) or (N, d). k: most splits in a round, part of the definition of a run. exact: evaluations from known
     influences. labels: the pilot's cells, where they are given."""
@@ -153,8 +159,7 @@ def run(T, x: np.ndarray, *, eps: float = 0.01, level: float = 0.84, cells: int
     at = time.perf_counter()
     pilot = build_cells(x, cells, eps, q, seed, transform, labels)
     c = len(pilot.size)
-    if 8 * n * 4 * c > DRIVER_LIMIT:
-        raise ValueError(f"{n} points by about {4 * c} rows are beyond the driver's limit; draw fewer points")
+    refuse(n, c)
     clock["cells_s"] = time.perf_counter() - at
     at = time.perf_counter()
     measured = ev(pilot.weights())
