@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from varloom.llm import decontam
 from varloom.operators import qij
 from varloom.operators.interpolant import Interpolant
 from varloom.plans import catalogue
@@ -31,3 +32,14 @@ def test_column_of_one_dimension():
         s = scale[index][:, None] ** 2 + scale[None] ** 2
         kernel = np.exp(-np.sqrt(2.0 / s) * np.abs(x[index] - x.T)) * np.sqrt(2.0 * scale[index][:, None] * scale[None] / s)
         assert np.allclose(Interpolant(x, scale).column(index, weight), weight @ kernel, rtol=0, atol=1e-10)
+
+
+def test_short_and_unspaced_items_are_found(spark):
+    passage = "今天天气很好我们一起去公园散步然后回家吃饭"
+    items = [(1, "Paris"), (2, "the red Fox"), (3, passage), (4, "東京"), (5, "the red Fox"), (6, " "), (7, None)]
+    docs = [(1, "we saw THE red fox run"), (2, "the red dog and a fox"), (3, "他说" + passage + "真的"), (4, "a trip to paris"), (5, "the red"), (6, "fox"), (7, "去東京駅"), (8, "Parisian 東の京"), (9, passage[:6]), (10, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (decontam.BLOCK_WORDS, 20):
+        got = decontam.contaminated(d, b, block_words=size).collect()
+        assert sorted((r["doc_id"], r["item_id"], r["item_words"], r["coverage"], r["n_tiles"]) for r in got) == [(1, 2, 3, 1.0, 1), (1, 5, 3, 1.0, 1), (3, 3, 21, 1.0, 1), (4, 1, 1, 1.0, 1), (7, 4, 2, 1.0, 1)]
+        assert sorted(r["doc_id"] for r in decontam.clean(d, b, block_words=size).collect()) == [2, 5, 6, 8, 9, 10]

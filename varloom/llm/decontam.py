@@ -3,13 +3,15 @@
 Documents and benchmark items are joined on shared seeds, runs of five words (A-Z lower-cased). For each pair that meets, running
 Karp-Rabin hashes give the maximal matches of at least five words; the longest match whose words are all unmarked in both texts is
 marked, again and again, and a match that is partly marked is cut to what is left. A document is contaminated by an item if the
-tiles cover at least the given share of the item's words, in whatever order they stand in the document.
+tiles cover at least the given share of the item's words, in whatever order they stand in the document. An item of fewer than five
+words is looked for as it stands: it contaminates the documents that hold all its words as one run. In scripts written without
+spaces (Han, kana, Thai, Lao, Myanmar, Khmer) every character is a word.
 
 The benchmark is broadcast as an index if its number of words is within block_words; beyond it, it is worked off in blocks of that
 size by item, so that memory stays bounded and the result is the same.
 
-Edge cases: a null or empty text or item shares nothing; items of fewer than five words are never reported, for they can't be told
-from chance; repeated items and documents are compared one by one; an empty table on either side gives an empty result; a null
+Edge cases: a null or empty text or item shares nothing; an item of one or two common words contaminates every document that holds
+them; repeated items and documents are compared one by one; an empty table on either side gives an empty result; a null
 doc_id or item_id is carried along.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,6 +33,15 @@ from varloom.llm.wordhash import bounds, runs, word_hashes
 SEED, COVERAGE = 5, 0.5
 BLOCK_WORDS = 2_000_000
 ROWS = 512
+#: Ranges of the scripts that are written without spaces.
+UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+ALONE = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED) + "])")
+
+
+def spaced(text: str | None) -> bytes:
+    """The text as bytes, with spaces around each character of a script that is written without."""
+    text = text or ""
+    return (text if text.isascii() else ALONE.sub(r" \1 ", text)).encode("utf-8", "replace")
 
 
 def maximal(item: np.ndarray, doc: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
@@ -72,32 +84,52 @@ def tiles(matches: list[tuple[int, int, int]], n_item: int, n_doc: int, seed: in
 
 
 class Index:
-    """The items of a block: their windows, and which items and places have a seed."""
+    """The items of a block: their windows, and which items and places have a seed. Items shorter than a seed are one window each, in
+    short by number of words."""
 
     def __init__(self, ids: list, texts: list[str | None], seed: int = SEED):
-        self.seed, self.ids, self.words, self.windows = seed, [], [], []
+        self.seed, self.ids, self.words, self.windows, less = seed, [], [], [], []
         for k, t in zip(ids, texts, strict=True):
-            w = word_hashes((t or "").encode("utf-8", "replace"), lower=True)
+            w = word_hashes(spaced(t), lower=True)
             if len(w) >= seed:
                 self.ids.append(k)
                 self.words.append(len(w))
                 self.windows.append(runs(w, seed))
+            elif len(w):
+                less.append((k, w))
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(w) for _, w in less}):
+            own = [(k, runs(w, n)[0]) for k, w in less if len(w) == n]
+            hashes = np.array([h for _, h in own], dtype=np.uint64)
+            by = np.argsort(hashes, kind="stable")
+            self.short[n] = hashes[by], len(self.ids) + by
+            self.ids += [k for k, _ in own]
+            self.words += [n] * len(own)
         every = np.concatenate(self.windows) if self.windows else np.empty(0, dtype=np.uint64)
-        owner = np.repeat(np.arange(len(self.ids)), [len(w) for w in self.windows])
+        owner = np.repeat(np.arange(len(self.windows)), [len(w) for w in self.windows])
         order = np.argsort(every, kind="stable")
         self.seeds, self.owner = every[order], owner[order]
 
     def found(self, texts: list[str | None], coverage: float) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, matched words, number of tiles) of the pairs at or above the coverage."""
-        raws = [(t or "").encode("utf-8", "replace") for t in texts]
+        raws = [spaced(t) for t in texts]
         raw = b"\n".join(raws)
         first = np.cumsum([0, *(len(r) + 1 for r in raws)])
         _, start, _ = bounds(raw)
         h = word_hashes(raw, lower=True)
+        doc = np.searchsorted(first, start, side="right") - 1
+        for n, (hashes, items) in self.short.items():
+            if len(h) < n:
+                continue
+            run = runs(h, n)
+            at = np.searchsorted(hashes, run)
+            hit = np.flatnonzero((hashes[np.minimum(at, len(hashes) - 1)] == run) & (doc[: len(run)] == doc[n - 1 :]))
+            for d, i in np.unique(np.column_stack([doc[hit], at[hit]]), axis=0).tolist():
+                for k in items[i : np.searchsorted(hashes, hashes[i], "right")].tolist():
+                    yield d, k, n, 1
         m = len(h) - self.seed + 1
         if m <= 0 or not len(self.seeds):
             return
-        doc = np.searchsorted(first, start, side="right") - 1
         window = runs(h, self.seed)
         at = np.searchsorted(self.seeds, window)
         hit = np.flatnonzero((self.seeds[np.minimum(at, len(self.seeds) - 1)] == window) & (doc[:m] == doc[self.seed - 1 :]))
@@ -124,7 +156,8 @@ class Index:
 def indexes(benchmark: DataFrame, seed: int, block_words: int, item_col: str, item_text_col: str) -> Iterator[Index]:
     """The benchmark's items as one index, or in blocks of about block_words words."""
     items = benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t"))
-    words = F.size(F.split(F.coalesce("t", F.lit("")), "[\\x20\\x09-\\x0D]+")) + 1
+    alone = F.regexp_count(F.coalesce("t", F.lit("")), F.lit("[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in UNSPACED) + "]"))
+    words = F.size(F.split(F.coalesce("t", F.lit("")), "[\\x20\\x09-\\x0D]+")) + 1 + 2 * alone
     total = items.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
     blocks = math.ceil(2 * total / block_words) if total > block_words else 1
     for b in range(blocks):
