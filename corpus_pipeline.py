@@ -10,11 +10,10 @@ stays, with an empty text; extra columns are carried along.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varloom.llm import decontam, jaccard_join, line_dedup, mixing, quality
-from varloom.llm.common import NO_ID, shared_folder, written
+from varloom.llm.common import shared_folder, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +30,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five words, a similarity of 0.8: of each group that links join, the document of the smallest id stays; of rows with one id,
-    the first by text."""
-    links = jaccard_join.link(docs, k=5, percent=80)
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
-    stays = links.filter(key("doc_id") == key("component_id")).select(key("doc_id").alias("_nd_id")).distinct()
-    first = F.row_number().over(W.partitionBy("_nd_id").orderBy(F.xxhash64("text"), "text"))
-    kept = docs.withColumn("_nd_id", key("doc_id")).join(stays, "_nd_id", "left_semi").withColumn("_nd_row", first)
-    return kept.filter("_nd_row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Five words, a similarity of 0.8: of each group that links join, the document of the smallest id stays, a null id before all. A
+    document is an id and a text: rows with one id, or none, and different texts are different documents. Repeated rows are one."""
+    docs = docs.withColumn("_nd_key", F.xxhash64("doc_id", "text"))
+    links = jaccard_join.link(docs, k=5, percent=80, id_col="_nd_key").select("_nd_key", "component_id").distinct()
+    members = docs.select("_nd_key", "doc_id").distinct().join(links, "_nd_key")
+    stays = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_nd_key")).alias("_nd_first")).select("_nd_first._nd_key")
+    return docs.dropDuplicates(["_nd_key"]).join(stays, "_nd_key", "left_semi").drop("_nd_key")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

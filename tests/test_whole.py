@@ -2,6 +2,7 @@
 
 import numpy as np
 
+import corpus_pipeline as cp
 from varloom.llm import decontam
 from varloom.operators import qij
 from varloom.operators.interpolant import Interpolant
@@ -43,3 +44,12 @@ def test_short_and_unspaced_items_are_found(spark):
         got = decontam.contaminated(d, b, block_words=size).collect()
         assert sorted((r["doc_id"], r["item_id"], r["item_words"], r["coverage"], r["n_tiles"]) for r in got) == [(1, 2, 3, 1.0, 1), (1, 5, 3, 1.0, 1), (3, 3, 21, 1.0, 1), (4, 1, 1, 1.0, 1), (7, 4, 2, 1.0, 1)]
         assert sorted(r["doc_id"] for r in decontam.clean(d, b, block_words=size).collect()) == [2, 5, 6, 8, 9, 10]
+
+
+def test_near_duplicates_keep_documents_without_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1), "a"), (None, text(2), "b"), (None, text(2) + " end", "b"), (None, text(1), "a"), (5, text(3), "c"), (5, text(4), "d"), (6, text(4) + " end", "d"), (7, text(1) + " end", "a"), (8, "", "e"), (9, None, "f")]
+    out = cp.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, g string"), "").collect()
+    assert sorted(r["g"] for r in out) == ["a", "b", "c", "d", "e", "f"]
+    assert {r["g"]: r["doc_id"] for r in out} == {"a": None, "b": None, "c": 5, "d": 5, "e": 8, "f": 9}
+    assert {(r["doc_id"], r["text"], r["g"]) for r in out} <= set(rows)
