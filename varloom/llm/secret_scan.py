@@ -30,6 +30,10 @@ LEAST = {"assign": 12, "access": 18}
 #: Words that announce a secret.
 ANNOUNCE = re.compile(r"(?i:passw|passphrase|secret|token|api[_ -]?key|credential|private[_ -]?key|access[_ -]?key|auth|bearer|client[_ -]?id|BEGIN [A-Z ]*PRIVATE)", re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+#: What stands between the runs of one secret: dots or line breaks, and shorter runs between them; the borders of a PEM block.
+BETWEEN = re.compile(r"[\x20\t]*+(?:(?:\.|(?:\\[nr]|[\r\n])[\x20\t]*+)[A-Za-z0-9+/_=-]{0,15}+[\x20\t]*+)++")
+BORDER = re.compile(r"-----(BEGIN|END)")
 #: Characters before and after a candidate that count as its surroundings; least marginal bits a character.
 AROUND, MIN_BITS = 200, 4.2
 NEAR = 60
@@ -64,13 +68,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def novel_spans(text: str, novelty: Novelty, min_bits: float = MIN_BITS) -> list[tuple[str, int, int]]:
-    """Incompressible runs near an announcing word. No run is looked at twice, whatever number of words announce it."""
-    out, done = [], 0
+    """Incompressible runs near an announcing word, and the runs that follow these after a dot or a line break; for a PEM block all up to
+    its end. Runs are whole, and none is looked at twice, whatever number of words announce it."""
+    out, done, border = [], 0, BORDER.search(text)
     for a in ANNOUNCE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, a.start() - NEAR)):
-            if m.start() > a.end() + NEAR:
+        limit = a.end() + NEAR
+        if a[0].startswith("BEGIN"):
+            while border and border.start() < a.end():
+                border = BORDER.search(text, border.end())
+            if border and border[1] == "END":
+                limit = max(limit, border.start())
+        start = max(done, a.start() - NEAR)
+        while start > done and text[start - 1] in RUN and text[start] in RUN:
+            start -= 1
+        last = None
+        for m in CANDIDATE.finditer(text, start):
+            if m.start() > limit and not (last and BETWEEN.fullmatch(text, last, m.start())):
                 break
-            done = m.end()
+            done = last = m.end()
             if novelty.bits(text[max(0, m.start() - AROUND) : m.start()], m[0], text[m.end() : m.end() + AROUND]) >= min_bits:
                 out.append(("novel", *m.span()))
     return out
