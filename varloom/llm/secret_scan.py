@@ -30,7 +30,6 @@ LEAST = {"assign": 12, "access": 18}
 #: Words that announce a secret.
 ANNOUNCE = re.compile(r"(?i:passw|passphrase|secret|token|api[_ -]?key|credential|private[_ -]?key|access[_ -]?key|auth|bearer|client[_ -]?id|BEGIN [A-Z ]*PRIVATE)", re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 #: What stands between the runs of one secret: dots or line breaks, and shorter runs between them; the borders of a PEM block.
 BETWEEN = re.compile(r"[\x20\t]*+(?:(?:\.|(?:\\[nr]|[\r\n])[\x20\t]*+)[A-Za-z0-9+/_=-]{0,15}+[\x20\t]*+)++")
 BORDER = re.compile(r"-----(BEGIN|END)")
@@ -67,28 +66,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def novel_spans(text: str, novelty: Novelty, min_bits: float = MIN_BITS) -> list[tuple[str, int, int]]:
-    """Incompressible runs near an announcing word, and the runs that follow these after a dot or a line break; for a PEM block all up to
-    its end. Runs are whole, and none is looked at twice, whatever number of words announce it."""
-    out, done, border = [], 0, BORDER.search(text)
-    for a in ANNOUNCE.finditer(text):
+def announced(text: str) -> Iterator[tuple[int, int]]:
+    """The key-like runs that an announcing word has within NEAR characters, and those that follow one of these after a dot or a line
+    break; for a PEM block all up to its end. Runs are whole. Words and runs are each walked once, in step, so that the time grows with
+    the text's length, whatever number of words announce nothing."""
+    words = ANNOUNCE.finditer(text)
+    first = next(words, None)
+    if first is None:
+        return
+    runs, border, k = [m.span() for m in CANDIDATE.finditer(text)], BORDER.search(text), 0
+    for a in itertools.chain([first], words):
         limit = a.end() + NEAR
         if a[0].startswith("BEGIN"):
             while border and border.start() < a.end():
                 border = BORDER.search(text, border.end())
             if border and border[1] == "END":
                 limit = max(limit, border.start())
-        start = max(done, a.start() - NEAR)
-        while start > done and text[start - 1] in RUN and text[start] in RUN:
-            start -= 1
+        while k < len(runs) and runs[k][1] <= a.start() - NEAR:
+            k += 1
         last = None
-        for m in CANDIDATE.finditer(text, start):
-            if m.start() > limit and not (last and BETWEEN.fullmatch(text, last, m.start())):
-                break
-            done = last = m.end()
-            if novelty.bits(text[max(0, m.start() - AROUND) : m.start()], m[0], text[m.end() : m.end() + AROUND]) >= min_bits:
-                out.append(("novel", *m.span()))
-    return out
+        while k < len(runs) and (runs[k][0] <= limit or last is not None and BETWEEN.fullmatch(text, last, runs[k][0])):
+            yield runs[k]
+            last = runs[k][1]
+            k += 1
+        if k == len(runs):
+            return
+
+
+def novel_spans(text: str, novelty: Novelty, min_bits: float = MIN_BITS) -> list[tuple[str, int, int]]:
+    """The announced runs that are incompressible next to their surroundings."""
+    return [("novel", a, b) for a, b in announced(text) if novelty.bits(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) >= min_bits]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
