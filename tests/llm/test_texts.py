@@ -1,5 +1,6 @@
 """Secrets, pages, benchmark and quality against brute force and planted cases."""
 
+import math
 import random
 import re
 import time
@@ -7,10 +8,30 @@ import time
 import numpy as np
 import pytest
 
-from varloom.llm import decontam, html_text, quality, secret_scan
+from varloom.llm import decontam, html_text, quality, secret_scan, wordhash
 from varloom.llm.wordhash import shingles, word_hashes
 
 
+@pytest.mark.parametrize("piece", [1, 3, 7, 1 << 20])
+def test_pieces_do_not_matter(monkeypatch, piece):
+    rng, want = random.Random(1), {}
+    for _ in range(300):
+        text = bytes(rng.choice(b"abAB\xc3  \n") for _ in range(rng.randint(0, 50)))
+        want[text] = [int(word_hashes(w, True)[0]) for w in text.split()]
+    monkeypatch.setattr(wordhash, "PIECE", piece)
+    assert all(word_hashes(t, True).tolist() == w for t, w in want.items())
+
+
+def test_blocks_are_bounded_by_bytes_and_rows():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (5, 5, 50, 1, 1, 1, 1)] + [None, "é" * 6]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    got = [b.column(0).to_pylist() for b in wordhash.blocks(batch, 0, 12, 3)]
+    assert [x for b in got for x in b] == texts and [len(b) for b in got] == [2, 1, 3, 2, 1]
+    assert list(wordhash.blocks(batch.slice(0, 0), 0)) == []
+
+
 def test_word_hashes_tell_words_apart():
     text = "Ab  ab\tAB\x0b\u00a0x é É\n" + " ".join(str(k) for k in range(5000))
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -52,14 +73,55 @@ def test_quality_verdicts():
     prose = " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(400)) + "."
     symbols = " ".join(w + rng.choice(["###", "***", "$$$", "%%%", "&&&"]) for w in prose.split())
     rows = " | ".join(prose.split())
-    got = quality.measured([prose, symbols, rows, None], ["en", "en", None, None], quality.Fertility())
+    got = quality.measured([prose, symbols, rows, None], ["en", "en", None, None], quality_fertility)
     assert got["kept"].tolist() == [True, False, False, False]
     assert got["chars_per_token"][0] > got["chars_per_token"][1] and got["min_entropy"][0] > got["min_entropy"][2]
 
 
+def brute_verdict(text, lang, words):
+    """The verdict by its definition, token by token. words: a vocabulary's split of one word."""
+    tokens = [t for w in re.findall(r"[^\x20\x09-\x0D]+", text) for t in words[0](" " + w)]
+    second = sum(len(words[1](" " + w)) for w in re.findall(r"[^\x20\x09-\x0D]+", text))
+    n, chars = max(len(tokens), 1), len(re.sub(r"[\x20\x09-\x0D]", "", text))
+    low, high, fallback, entropy, least, low_2 = quality.BANDS[lang]
+    partial = sum(quality_fertility.partial[t] for t in tokens) / n
+    shares = [tokens.count(t) / n for t in set(tokens)]
+    h = -sum(p * math.log2(p) for p in shares) / max(1, math.log2(n))
+    off = 3 / math.sqrt(n)
+    widest = lambda p: p + off * math.sqrt(p * (1 - p))
+    return low - 0.8 * off <= chars / n <= high + 3.2 * off and partial <= widest(fallback) and h >= entropy - 0.5 * off and max(shares, default=0) <= widest(2**-least) and chars / max(second, 1) >= low_2 - 0.8 * off
+
+
+quality_fertility = quality.Fertility()
+
+
+def test_verdicts_are_those_of_the_definition():
+    rng = random.Random(9)
+    pool = ["the", "of", "and", "house", "streets", "|", "###", "***", "x1", "été", "\u00e9t", "123", "...", "qq", "running"]
+    texts = [" ".join(rng.choice(pool[: rng.randint(2, 15)]) + rng.choice(["", "", "%", "\n"]) for _ in range(rng.randint(20, 300))) for _ in range(150)]
+    langs = [rng.choice(["en", "de", "es", "fr", "xx"]) for _ in texts]
+    got = quality.measured(texts, langs, quality_fertility)
+    words = [e.encode_ordinary for e in quality_fertility.encodings]
+    want = [brute_verdict(t, x if x in quality.BANDS else "latin", words) and not f for t, x, f in zip(texts, langs, got["base_failed"], strict=True)]
+    assert got["kept"].tolist() == want and 10 < sum(want) < 140
+
+
+@pytest.mark.parametrize("text,script", [("plain words", "latin"), ("", "latin"), ("123 ...", "latin"), ("été à la plage", "latin"), ("все люди and", "cyrillic"), ("όλοι οι άνθρωποι", "greek"), ("جميع الناس", "arabic"), ("सभी मनुष्यों", "devanagari"), ("人人生而自由", "cjk"), ("모든 인간은", "cjk"), ("すべての", "cjk"), ("มนุษย์ทั้งหลาย", "other")])
+def test_scripts(text, script):
+    raw = (text + "\n" + "x\n").encode()
+    assert quality.scripts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw) - 2])) == [script, "latin"]
+
+
+def test_short_texts_are_judged_too():
+    prose = "The house at the end of the street was sold last spring to a family of four who had come down from the north"
+    rows = " | ".join("the house at end of street was sold last spring to family four who had come down".split() * 2)
+    got = quality.measured([prose, rows + " " + "% & # " * 5], ["en", "en"], quality_fertility)
+    assert got["kept"].tolist() == [True, False] and not got["base_failed"][0]
+
+
 def test_blocks_do_not_matter():
     texts = [f"word{k} " * (k % 30) for k in range(70)]
-    f = quality.Fertility()
+    f = quality_fertility
     whole = quality.measured(texts, ["en"] * 70, f)
     for k in (0, 1, 29, 30, 69):
         one = quality.measured([texts[k]], ["en"], f)

@@ -8,17 +8,35 @@ in every process. Runs of words are hashed from their words' hashes, position by
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 
 _rng = np.random.default_rng(20240607)
 _value = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _value_lower = _value.copy()
 _value_lower[65:91] = _value[97:123]
-_space = np.zeros(256, dtype=bool)
-_space[[32, *range(9, 14)]] = True
+#: The white space of every contract here.
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[32, *range(9, 14)]] = True
 _base = np.uint64(0x9E3779B97F4A7C15)
 _inverse = np.uint64(pow(int(_base), -1, 2**64))
 _position = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
+#: Bytes of a text that are hashed at once; bytes of texts and rows that the operators work on at once.
+PIECE = 1 << 20
+BYTES, ROWS = 4 << 20, 512
+
+
+def blocks(batch, text: int, size: int = BYTES, rows: int = ROWS):
+    """A batch in slices of at most so many bytes of text and rows; a longer text is a slice of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, total = 0, 0
+    for k, n in enumerate(lengths.tolist()):
+        if k > at and (total + n > size or k - at == rows):
+            yield batch.slice(at, k - at)
+            at, total = k, 0
+        total += n
+    if at < len(lengths):
+        yield batch.slice(at)
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
@@ -40,19 +58,42 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def bounds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes as an array, and the first byte and the end of each word."""
     b = np.frombuffer(text, dtype=np.uint8)
-    gap = np.concatenate([[True], _space[b], [True]])
+    gap = np.concatenate([[True], SPACES[b], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     return b, edge[::2], edge[1::2]
 
 
 def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
-    """uint64 of each word. lower: with A-Z lower-cased."""
-    b, start, end = bounds(text)
-    if not len(start):
-        return np.empty(0, dtype=np.uint64)
-    v = (_value_lower if lower else _value)[b]
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(v * _power("up", _base, len(b)), dtype=np.uint64)])
-    return mixed((sums[end] - sums[start]) * _power("down", _inverse, len(b))[start] + (end - start).astype(np.uint64))
+    """uint64 of each word. lower: with A-Z lower-cased. Long texts are taken in pieces, so that memory beyond the result is bounded; a
+    word that goes on from piece to piece is summed up."""
+    value, out, open_sum, open_size = _value_lower if lower else _value, [], 0, 0
+    for at in range(0, len(text), PIECE):
+        b, start, end = bounds(text[at : at + PIECE])
+        size = (end - start).astype(np.uint64)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(value[b] * _power("up", _base, len(b)), dtype=np.uint64)])
+        h = (sums[end] - sums[start]) * _power("down", _inverse, len(b))[start]
+        if open_size:
+            if len(start) and start[0] == 0:
+                open_sum += int(h[0]) * pow(int(_base), open_size, 2**64)
+                open_size += int(size[0])
+                h, size, end = h[1:], size[1:], end[1:]
+                if len(h) or not len(b) or SPACES[b[-1]]:
+                    out.append(_closed(open_sum, open_size))
+                    open_sum = open_size = 0
+            else:
+                out.append(_closed(open_sum, open_size))
+                open_sum = open_size = 0
+        if len(h) and end[-1] == len(b):
+            open_sum, open_size = int(h[-1]), int(size[-1])
+            h, size = h[:-1], size[:-1]
+        out.append(mixed(h + size))
+    if open_size:
+        out.append(_closed(open_sum, open_size))
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+
+
+def _closed(total: int, size: int) -> np.ndarray:
+    return mixed(np.array([(total + size) % 2**64], dtype=np.uint64))
 
 
 def runs(words: np.ndarray, k: int) -> np.ndarray:
