@@ -280,6 +280,28 @@ def test_tiles_are_those_of_the_definition():
         assert sum(n for _, _, n in got) == brute_tiles(item, doc, 3)
 
 
+def test_tiles_without_a_list_of_matches():
+    rng = random.Random(6)
+    for _ in range(300):
+        item, doc = ([rng.choice("ab" if rng.random() < 0.8 else "cd") for _ in range(rng.randint(3, 30))] for _ in range(2))
+        a, b = (decontam.runs(word_hashes(" ".join(t).encode(), True), 3) for t in (item, doc))
+        want = decontam.tiles(decontam.maximal(a, b, 3), len(item), len(doc), 3)
+        assert decontam.tiles_by_length(a, b, len(item), len(doc), 3) == want
+
+
+def test_a_million_equal_words_need_no_pairs():
+    ix, began = decontam.Index([1], ["a " * 1000]), time.perf_counter()
+    (d, k, matched, n), = list(ix.found(["b a " + "a " * 1_000_000], 0.5))
+    assert (d, k, matched, n) == (0, 0, 1000, 1) and time.perf_counter() - began < 30
+
+
+def test_equal_hashes_of_other_words_do_not_count(monkeypatch):
+    monkeypatch.setattr(decontam, "word_hashes", lambda raw, lower: np.zeros(len(raw.split()), dtype=np.uint64))
+    ix = decontam.Index([1, 2], ["one two three four five six", "x y"])
+    assert not list(ix.found(["seven eight nine ten eleven twelve"], 0.5))
+    assert [f[1] for f in ix.found(["q one two three four five six"], 0.5)] == []
+
+
 def test_contamination(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
