@@ -246,6 +246,71 @@ def test_two_sections_are_kept_together():
     assert html_text.main_text(page).count("\n") == 7
 
 
+LONG = "a sentence of the article that goes on for a good number of words, " * 4
+
+
+@pytest.mark.parametrize("page", [
+    "<form><article><p>%s</p></article></form>", "<form id=f><input><div><p>%s</p></div></form>", "<div class='social-science'><article><p>%s</p></article></div><div>foot</div>",
+    "<div class='menu-and-content'><div><p>%s</p></div></div><div class='footer'>foot of the page</div>", "<article class='post comments-open'><h1></h1><p>%s</p></article>", "<div id='no-sidebar'><div><p>%s</p><div style='display: none'>hidden words</div></div></div>",
+    "<main class='alert'><p>%s</p></main>", "<div><p>%s</p></div><div class='comments'><p>" + LONG + LONG + "</p></div>", "<div hidden><p>x</p></div><div><p>%s</p></div><div style='color:red;visibility:hidden'>y</div>",
+    "<div class='cookie-notice'><p>we use cookies and say so</p></div><div role=dialog>sign up</div><div><p>%s</p></div>",
+])
+def test_marks_do_not_take_the_article(page):
+    assert html_text.main_text("<html><body>" + page % LONG + "</body></html>") == LONG.strip()
+
+
+def test_time_grows_with_the_length():
+    began = time.perf_counter()
+    deep = 30_000
+    for page in ("<div class='a b' id=x>" * deep + "<p>text</p>", "<div class=nav>" * deep + "<article><p>text</p></article>", "<b><table><td>" + "<i>" * deep + "text" + "</b>" * deep, "<ul>" + "<li><span>" * deep + "text"):
+        assert "text" in html_text.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
+def brute_best(root):
+    """The composite text density of every node by its definition, from scratch; the node whose children's sum is the largest."""
+    kids = lambda n: [k for k in n.kids if isinstance(k, html_text.Node) and not k.gone]
+    below = lambda n: [x for k in kids(n) for x in [k, *below(k)]]
+    letters = lambda n: sum(len(k.replace(" ", "")) if isinstance(k, str) and k.strip() else letters(k) if not isinstance(k, str) and not k.gone else 0 for k in n.kids)
+    linked = lambda n: sum(letters(k) if k.tag == "a" else linked(k) for k in kids(n))
+
+    def density(n):
+        c, t, lc, lt = letters(n), len(below(n)), linked(n), sum(x.tag == "a" for x in below(n))
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + linked(root) / letters(root) * c + math.e)
+        return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / max(math.log(base), 0.1)
+
+    return {id(n): sum(density(k) for k in kids(n)) for n in [root, *below(root)]}
+
+
+def test_densities_are_those_of_the_definition():
+    rng = random.Random(8)
+
+    def page(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["some words of text ", "<a href=x>a link</a> ", "a much longer piece of text that has no link in it at all ", "<br>"])
+        tag = rng.choice(["div", "p", "section", "span", "ul"])
+        return f"<{tag}>" + "".join(page(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(200):
+        root = html_text.tree("<body>" + "".join(page(4) for _ in range(3)) + "</body>")
+        chosen = html_text.article(root)
+        want = brute_best(root)
+        if chosen and max(want.values()) > 0:
+            nodes = html_text.in_order(root)
+            assert all(n.total == pytest.approx(want[id(n)], rel=1e-9) for n in nodes)
+            best = max(nodes, key=lambda n: want[id(n)])
+            inside = set()
+            for n in chosen:
+                todo = [n]
+                while todo:
+                    x = todo.pop()
+                    inside.add(id(x))
+                    todo += [k for k in x.kids if isinstance(k, html_text.Node)]
+            assert id(best) in inside
+
+
 # Benchmark ----------------------------------------------------------------------------------------------------------------------------
 
 

@@ -1,20 +1,25 @@
 """Main text of web pages by composite text density.
 
-Each page becomes a tree. Subtrees that a tag, role, class or id marks as menu, header, footer, sidebar, notice, advert, form or
-reader comments are taken out, scripts and styles with them. Every node gets its composite text density: characters per tag,
-scaled down by the share of linked characters and tags, the page's own link ratio setting the scale. The subtree whose children's
-densities have the largest sum is the article, widened to the article or main element around it; subtrees beside the path from body
-to it join in if they are at least as dense as the least dense node of that path, and headings before them.
+Each page becomes a tree. Scripts, styles, hidden elements, menus, asides and footers are no part of an article. Other elements that a
+role, class or id marks as notice, advert, form, share bar and the like are only suspected: they go unless they hold the page's article
+or main element or most of its plain (unlinked) text, so that no word of a class can take the article away. Reader comments
+go unless they hold the article or the page's first heading.
+
+Every node gets its composite text density: characters per tag, scaled down by the share of linked characters and tags, the page's own
+link ratio setting the scale. The subtree whose children's densities have the largest sum is the article, widened to the article or
+main element around it; subtrees beside the path from body to it join in if they are at least as dense as the least dense node of that
+path, and headings before them.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order.
 
 Edge cases: null, empty or text-free html gives an empty text; unclosed, crossed or truncated markup is repaired as browsers do for
-paragraphs and list items, or closed at the end; nothing recurses, so depth is no limit; repeated rows are read one by one; an empty
-table gives an empty result.
+paragraphs and list items, or closed at the end; nothing recurses or walks back over the open elements, so that depth is no limit and
+time grows with the page's length; repeated rows are read one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import math
 import re
@@ -33,47 +38,99 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an element closes when it starts while one of these is open, up to the given container.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 
-#: Elements, roles and words of class or id that are no part of an article.
-NOISE_TAGS = frozenset("head script style noscript template iframe object embed svg canvas audio video form button input select textarea label fieldset nav aside footer menu dialog title".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription popup modal overlay widget toolbar pagination pager login signup register copyright disclaimer skip".split())
+#: Elements, roles and words of class or id that are no part of an article. CUT go in any case; SUSPECT, by element, role or
+#: word, unless they hold the article.
+CUT_TAGS = frozenset("head script style noscript template iframe object embed svg canvas audio video button input select textarea nav aside footer menu dialog title".split())
+SUSPECT_TAGS = frozenset("form fieldset label".split())
+SUSPECT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+SUSPECT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended newsletter subscribe subscription popup modal overlay widget toolbar pagination pager login signup register copyright disclaimer skip".split())
 COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
 CONTAINERS = frozenset(("article", "main"))
+KEPT, SUSPECT, COMMENTS, CUT = range(4)
+#: The share of the page's plain text beyond which a suspect stays: on pages without and with an article or main element.
+MOST, MOST_BESIDE = 0.5, 0.9
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z|(?=['\"]))|[^<]+|<", re.S)
-MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+MARKS = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 WORDS = re.compile(r"[a-z0-9]+")
+#: Inline end tags do not close these.
+WALLS = CONTAINERS | {"td", "th", "table"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "mark", "inside", "holds", "heads", "gone", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise, self.kids = tag, parent, noise, []
+    def __init__(self, tag: str, parent: Node | None, mark: int = KEPT):
+        self.tag, self.parent, self.mark, self.kids = tag, parent, mark, []
+        #: Whether it stands in an article or main element.
+        self.inside = parent is not None and (parent.inside or parent.tag in CONTAINERS)
+        self.holds = self.heads = self.gone = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_noise(tag: str, attributes: str, inside: set[str]) -> bool:
-    if tag in NOISE_TAGS:
-        return True
-    if tag == "header":
-        return not inside & CONTAINERS
-    if not attributes or tag in ("html", "body", "main"):
-        return False
+def mark_of(tag: str, attributes: str, inside: bool) -> int:
+    """inside: whether the element stands in an article or main element, whose header is a part of it."""
+    if tag in CUT_TAGS:
+        return CUT
+    out = SUSPECT if tag in SUSPECT_TAGS or tag == "header" and not inside else KEPT
+    if not attributes or tag in ("html", "body"):
+        return out
     for m in MARKS.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
+            return CUT
+        if name == "role" and value in SUSPECT_ROLES:
+            out = max(out, SUSPECT)
         if name in ("class", "id"):
             words = set(WORDS.findall(value))
-            if words & (COMMENT_WORDS if tag == "article" else NOISE_WORDS) or "header" in words and not inside & CONTAINERS and tag not in HEADINGS:
-                return True
-    return False
+            if words & COMMENT_WORDS:
+                out = max(out, COMMENTS)
+            elif tag not in CONTAINERS and (words & SUSPECT_WORDS or "header" in words and not inside and tag not in HEADINGS):
+                out = max(out, SUSPECT)
+    return out if tag != "main" else KEPT
+
+
+class Open:
+    """The open elements: a stack, with the places of each tag and of the blocks in it."""
+
+    def __init__(self, root: Node):
+        self.stack, self.blocks = [root], []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, n: Node) -> None:
+        self.places.setdefault(n.tag, []).append(len(self.stack))
+        if n.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(n)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and all within it."""
+        while len(self.stack) > place:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these; 0 without."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def outermost(self, tags, after: int) -> int:
+        """The place of the outermost open element of these after a place; 0 without."""
+        found = []
+        for t in tags:
+            at = self.places.get(t, ())
+            k = bisect.bisect_right(at, after)
+            if k < len(at):
+                found.append(at[k])
+        return min(found, default=0)
 
 
 def tree(page: str) -> Node:
-    root = node = Node("#root", None)
+    root = Node("#root", None)
+    now = Open(root)
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -82,75 +139,71 @@ def tree(page: str) -> Node:
         if tag is None:
             text = m[0]
             if text[0] != "<" or text == "<":
-                node.kids.append(text)
+                now.stack[-1].kids.append(text)
             continue
         tag = tag.lower()
         if not m[0].endswith(">") and at >= end:
             break  # cut off inside a tag
         if close:
-            up = node
-            while up.parent is not None and up.tag != tag:
-                if up.tag in CONTAINERS | {"td", "th", "table"} and tag not in BLOCK:
-                    break  # a stray inline end tag does not close these
-                up = up.parent
-            if up.parent is not None and up.tag == tag:
-                node = up.parent
-            elif tag == "p":
-                node.kids.append(Node("p", node))
+            place = now.last((tag,))
+            if place and (tag in BLOCK or tag in WALLS or now.last(WALLS) < place):
+                now.cut(place)
+            elif tag == "p" and not place:
+                now.stack[-1].kids.append(Node("p", now.stack[-1]))
             continue
-        if tag in ENDS_P:
-            up = node
-            while up.parent is not None and up.tag not in BLOCK:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if tag in ENDS_P and now.blocks and now.stack[now.blocks[-1]].tag == "p":
+            now.cut(now.blocks[-1])
         if tag in CLOSES:
             closed, within = CLOSES[tag]
-            up, last = node, None
-            while up.parent is not None and up.tag not in within:
-                if up.tag in closed:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
-        inside, up = set(), node
-        if attributes or tag == "header":
-            while up.parent is not None:
-                inside.add(up.tag)
-                up = up.parent
-        new = Node(tag, node, is_noise(tag, attributes, inside))
-        node.kids.append(new)
+            place = now.outermost(closed, now.last(within))
+            if place:
+                now.cut(place)
+        parent = now.stack[-1]
+        new = Node(tag, parent)
+        new.mark = mark_of(tag, attributes, new.inside)
+        parent.kids.append(new)
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I).search(page, at)
             at = page.find(">", stop.end())
             at = end if at < 0 or stop.start() == end else at + 1
         elif tag not in VOID and not attributes.endswith("/") or tag not in VOID and tag in BLOCK:
-            node = new
+            now.push(new)
     return root
 
 
 def in_order(root: Node) -> list[Node]:
-    """Nodes that are no noise, parents before children. An element that holds the page's article is never noise."""
+    """The nodes that may belong to an article, parents before children; those that go are marked as gone."""
+    nodes, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        nodes.append(n)
+        todo.extend(k for k in reversed(n.kids) if isinstance(k, Node) and k.mark != CUT)
+    plain, first = {}, next((n for n in nodes if n.tag == "h1"), None)
+    for n in reversed(nodes):  # unlinked characters, without those of comments
+        own = sum(len(k) - k.count(" ") for k in n.kids if isinstance(k, str) and not k.isspace())
+        plain[id(n)] = plain.get(id(n), 0) + own
+        up = n.parent
+        if up is None:
+            continue
+        if n.tag in CONTAINERS and n.mark == KEPT or n.holds:
+            up.holds = True
+        if n is first or n.heads:
+            up.heads = True
+        if n.tag != "a" and n.mark != COMMENTS:
+            plain[id(up)] = plain.get(id(up), 0) + plain[id(n)]
+    most = (MOST_BESIDE if root.holds else MOST) * plain[id(root)]
     out, todo = [], [root]
     while todo:
         n = todo.pop()
         out.append(n)
-        todo.extend(k for k in reversed(n.kids) if isinstance(k, Node) and not (k.noise and not holds_article(k)))
+        for k in reversed(n.kids):
+            if isinstance(k, Node):
+                k.gone = k.mark == CUT or k.mark == SUSPECT and not k.holds and plain[id(k)] <= most or k.mark == COMMENTS and not (k.holds or k.heads)
+                if not k.gone:
+                    todo.append(k)
     return out
 
 
-def holds_article(node: Node) -> bool:
-    if node.tag in NOISE_TAGS or node.tag in CONTAINERS:
-        return False
-    todo = [k for k in node.kids if isinstance(k, Node)]
-    while todo:
-        n = todo.pop()
-        if n.tag in CONTAINERS and not n.noise:
-            return True
-        todo.extend(k for k in n.kids if isinstance(k, Node))
-    return False
-
-
 def composite(n: Node, ratio: float) -> float:
     """Composite text density; ratio: the body's linked share of its characters."""
     if not n.chars:
@@ -233,7 +286,7 @@ def text_of(roots: list[Node]) -> str:
                 cut()
             elif x.tag == "br":
                 now.append(" ")
-            elif not x.noise or x is root or holds_article(x):
+            elif not x.gone:
                 if x.tag in BLOCK:
                     cut()
                     todo.append(None)
