@@ -69,11 +69,51 @@ def test_join(spark, monkeypatch, seed, k, percent, chunk):
     assert got == brute(rows, k, percent)
 
 
+def linked(spark, rows):
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    return sorted(((r["doc_id"], r["component_id"]) for r in got.collect()), key=str)
+
+
 def test_no_id_and_repeated_rows(spark):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(None, text), (None, "x y z u v"), (5, text), (5, text), (6, "other words altogether in here")]
-    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
-    assert got == sorted([(None, None), (None, None), (5, None), (5, None), (6, 6)], key=str)
+    assert linked(spark, rows) == sorted([(None, 5), (None, None), (5, 5), (5, 5), (6, 6)], key=str)
+
+
+def test_rows_without_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(None, a), (None, b), (None, c), (20, a), (21, b), (None, a + " end"), (None, None), (None, "")]
+    assert linked(spark, rows) == sorted([(None, 20), (None, 21), (None, None), (20, 20), (21, 21), (None, 20), (None, None), (None, None)], key=str)
+
+
+def test_texts_of_one_id_are_linked(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (5, a + " end"), (5, b), (9, b), (7, c), (7, ""), (8, None), (3, "lone words of a text"), (7, None), (4, c)]
+    assert linked(spark, rows) == sorted([(1, 1), (5, 1), (5, 1), (9, 1), (7, 4), (7, 4), (8, 8), (3, 3), (7, 4), (4, 4)], key=str)
+
+
+def test_two_keys_that_link_share(spark):
+    """The filter of blocks beyond one chunk: two sets that link share two of their prefixes' keys."""
+    rng = np.random.default_rng(3)
+    order, met = np.zeros(1 << jaccard_join.SKETCH_BITS, dtype=np.uint8), 0
+    for _ in range(3000):
+        n = rng.integers(1, 40)
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        t = np.unique(np.concatenate([s[rng.random(len(s)) < 0.93], rng.integers(0, 2**63, rng.integers(0, 4)).astype(np.uint64)]))
+        for percent in (80, 85):
+            if len(t) and (len(s) != len(t) or (s != t).any()) and jaccard_join.linked(s, t, percent):
+                met += 1
+                assert len(np.intersect1d(jaccard_join.prefix(s, order, percent), jaccard_join.prefix(t, order, percent))) >= 2
+    assert met > 100
+
+
+def test_one_frequent_shingle_makes_no_pairs(spark, tmp_path):
+    """Texts with nothing but one shingle in common, many more than a chunk: no block of the second round holds them."""
+    rng = random.Random(1)
+    texts = ["all these share " + " ".join(str(rng.randrange(10**9)) for _ in range(12)) for _ in range(1500)]
+    rows = [(d, "lead in words " + t if d % 2 else t) for d, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert jaccard_join.link(df, 3, 80).filter("component_id != doc_id").count() == 0
 
 
 def test_tree_finds_every_possible_pair():

@@ -3,7 +3,7 @@
 A document's set holds the hashes of its k-word shingles. Documents with equal sets are one class, which its smallest id stands
 for. Two sets whose Jaccard similarity is p percent or more share one of the first n - ceil(p n / 100) + 1 shingles in any order
 common to all sets (prefix filter); the order puts shingles last that a count sketch of fixed size shows to be frequent. Classes
-that share such a shingle make a block; a block beyond CHUNK members is dealt into chunks by a hash.
+that share such a shingle make a block. A block beyond CHUNK members is dealt into chunks by a hash.
 
 Within a block a signature tree is built over the members by size: leaves hold a bitmap of the set's shingles, inner nodes the OR of
 their bitmaps, the range of sizes and the largest number of shingles that bitmaps hide. A dual traversal drops node pairs whose sizes
@@ -14,12 +14,14 @@ member, only its most promising earlier partner; tested links give components. T
 that were left out, where their blocks still span several components, skips node pairs within one component, and keeps the members
 that may link to another one. With the texts of
 these a block's remaining pairs are tested where they are, none of them emitted: only links that join components leave the task.
-Chunks of one block meet in the second round too: the members outside its largest component against all. So no link between
-components is lost, at any block size.
+Chunks of one block meet in the second round too: the members outside its largest component against all, where they share a second
+shingle of their prefixes one longer, which two sets that link must (2-prefix filter). So members that have nothing but one shingle
+in common don't meet, and no link between components is lost, at any block size.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing, not even its like; a text of
-fewer than k words has one shingle, the whole sequence; rows with one doc_id are one document with several texts; a null doc_id is
-one document below all others (its component_id is null); an empty table gives an empty result.
+fewer than k words has one shingle, the whole sequence; rows with one doc_id are one document, whose texts' classes are linked with
+each other; each row with a null doc_id is a document of its own, which may join others (its component_id is the smallest doc_id
+reachable, null if there is none); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import NO_ID, delete, release, shared_folder, written
+from varloom.llm.common import delete, release, shared_folder, written
 from varloom.llm.components import components
+from varloom.llm.wordhash import blocks as slices
 from varloom.llm.wordhash import mixed, shingles
 
 #: Counters of the frequency sketch (a power of two), and the pieces in which they are summed.
@@ -48,16 +51,16 @@ def raw(text) -> bytes:
 # The frequency sketch -------------------------------------------------------------------------------------------------------
 
 
-def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """For each counter, the order class of the shingles that fall on it: 0 up to twice the mean, one more for each doubling. The
+def sketch(texts: DataFrame, k: int) -> np.ndarray:
+    """texts: one column. For each counter, the order class of the shingles that fall on it: 0 up to twice the mean, one more for each doubling. The
     counters are of fixed number, summed by pieces on the executors; one byte for each comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
-            got = [shingles(raw(t.as_py()), k) for t in batch.column(1)]
-            if got:
-                np.add.at(counts, (np.concatenate(got) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            for part in slices(batch, 0):
+                got = np.concatenate([shingles(raw(t.as_py()), k) for t in part.column(0)])
+                counts += np.bincount((got >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
         if counts.any():
             yield pieces(counts.reshape(PIECES, -1))
 
@@ -76,7 +79,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
             yield pieces(np.array(list(sums.values())), sums)
 
     schema = "piece int, counts binary"
-    done = docs.mapInArrow(count, schema).repartition(PIECES, "piece").mapInArrow(add, schema)
+    done = texts.mapInArrow(count, schema).repartition(PIECES, "piece").mapInArrow(add, schema)
     out, size = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), dtype=np.int64), (1 << SKETCH_BITS) // PIECES
     for row in done.collect():  # PIECES rows, whatever the input
         c = bytes(row["counts"])
@@ -86,11 +89,16 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles in the common order, as int64 keys: order class, then hash."""
+    """The first shingles in the common order, as int64 keys: order class, then hash. One more than the prefix filter needs, last."""
     n = len(s)
     order = (classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-    p = n + (-percent * n // 100) + 1
-    return (np.partition(order, p - 1)[:p] if p < n else order).view(np.int64)
+    p = min(n, n + (-percent * n // 100) + 2)
+    return np.sort(np.partition(order, p - 1)[:p] if p < n else order).view(np.int64)
+
+
+def prefix_size(percent: int) -> Column:
+    """The prefix filter's number of keys, of n."""
+    return (F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1).cast("int")
 
 
 # Signatures -----------------------------------------------------------------------------------------------------------------
@@ -215,9 +223,9 @@ def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 
 def filtered(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """The rows of docs (d, t) whose id may be needed: one bit for each hashed id, 16 bits for each needed id, in a map of 128 KB to
+    """The rows of docs (h, h2, t) whose hash h may be needed: one bit for each hash, 16 bits for each needed one, in a map of 128 KB to
     64 MB whatever the input, put together on the executors by pieces. It keeps texts that no one needs from being shuffled; an
-    exact join must follow. Beyond 30 million needed ids the map fills up, and lets more texts pass."""
+    exact join must follow. Beyond 30 million needed rows the map fills up, and lets more texts pass."""
     count = needed.count()
     bits = min(29, max(20, (16 * count).bit_length()))
     part = bits - 6  # 64 pieces
@@ -241,7 +249,7 @@ def filtered(docs: DataFrame, needed: DataFrame) -> DataFrame:
             at = hashed(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(part)).astype(np.int32)), pa.array((at & np.uint64((1 << part) - 1)).astype(np.int32))], names=["piece", "at"])
 
-    pieces = needed.mapInArrow(place, "piece int, at int").distinct().repartition(64, "piece").mapInArrow(mark, "piece int, map binary")
+    pieces = needed.select("h").mapInArrow(place, "piece int, at int").distinct().repartition(64, "piece").mapInArrow(mark, "piece int, map binary")
     whole = np.zeros((64, (1 << part) // 8), dtype=np.uint8)
     for row in pieces.collect():  # 64 rows of bounded size
         whole[row["piece"]] = np.frombuffer(bytes(row["map"]), dtype=np.uint8)
@@ -253,7 +261,7 @@ def filtered(docs: DataFrame, needed: DataFrame) -> DataFrame:
             on = (shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1)
             yield batch.filter(pa.array(on.astype(bool)))
 
-    return docs.mapInArrow(keep, "d long, t string")
+    return docs.mapInArrow(keep, "h long, h2 long, t string")
 
 
 # The join -------------------------------------------------------------------------------------------------------------------
@@ -394,33 +402,79 @@ def tested(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document row: id_col, n_shingles, component_id (the smallest id reachable by links)."""
+#: What tells a row from others: two hashes of its id and text. What tells a class from others: its set's size and two sums of hashes.
+ROW, SAME = ["h", "h2"], ["n", "s1", "s2"]
+
+
+def row_hashes(id_col: str, text_col: str) -> list[Column]:
+    own = [F.col(f"`{id_col}`"), F.col(f"`{text_col}`")]
+    return [F.xxhash64(*own).alias("h"), F.xxhash64(F.lit(0x0DD), *own, F.isnull(own[0])).alias("h2")]
+
+
+def grouped(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", one_id: bool = True) -> DataFrame:
+    """A row for each document row: d (its id), h and h2 (which tell id and text), n (its set's size), grp (a number for each group of
+    rows that links join; null for an empty set), least (the group's smallest id). one_id: whether rows with one id are linked."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text_col).alias("t"))
-    classes = spark.sparkContext.broadcast(sketch(narrow, k))
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), *row_hashes(id_col, text_col), F.col(f"`{text_col}`").alias("t"))
+    classes = spark.sparkContext.broadcast(sketch(narrow.select("t"), k))
     salt = np.uint64(0xD6E8FEB86659FD93)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = classes.value
-        for batch in batches:
-            sets = [shingles(raw(t.as_py()), k) for t in batch.column(1)]
-            arrays = [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64())]
-            arrays += [pa.array(np.array([mixed(s ^ x).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)) for x in (np.uint64(0), salt)]
-            own = [prefix(s, order, percent) if len(s) else np.empty(0, dtype=np.int64) for s in sets]
-            ends = np.cumsum([0, *(len(x) for x in own)]).astype(np.int32)
-            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.empty(0, dtype=np.int64))))
-            arrays.append(pa.array([bitmap(s).tobytes() if len(s) else b"" for s in sets], type=pa.binary()))
-            yield pa.RecordBatch.from_arrays(arrays, names=["d", "n", "s1", "s2", "keys", "map"])
-
-    same = ["n", "s1", "s2"]
-    wide = written(narrow.mapInArrow(keys, "d long, n long, s1 long, s2 long, keys array<long>, map binary"), f"{folder}/wide")
-    every = written(wide.select("d", *same), f"{folder}/every")
-    reps = wide.filter("n > 0").groupBy(*same).agg(F.min(F.struct("d", "keys", "map")).alias("r")).select(*same, "r.*")
-    reps = written(reps, f"{folder}/classes")
+        for whole in batches:
+            for batch in slices(whole, 3):
+                sets = [shingles(raw(t.as_py()), k) for t in batch.column(3)]
+                arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array([len(s) for s in sets], type=pa.int64())]
+                arrays += [pa.array(np.array([mixed(s ^ x).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)) for x in (np.uint64(0), salt)]
+                own = [prefix(s, order, percent) if len(s) else np.empty(0, dtype=np.int64) for s in sets]
+                ends = np.cumsum([0, *(len(x) for x in own)]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own))))
+                arrays.append(pa.array([bitmap(s).tobytes() if len(s) else b"" for s in sets], type=pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, names=["d", "h", "h2", "n", "s1", "s2", "keys", "map"])
+
+    wide = written(narrow.mapInArrow(keys, "d long, h long, h2 long, n long, s1 long, s2 long, keys array<long>, map binary"), f"{folder}/wide")
+    every = written(wide.select("d", *ROW, *SAME), f"{folder}/every")
+    # A class is numbered as it is written; a row of it stands for its text.
+    reps = wide.filter("n > 0").groupBy(*SAME).agg(F.min("d").alias("least"), F.min(F.struct(*ROW, "keys", "map")).alias("r")).select(*SAME, "least", "r.*")
+    reps = written(reps.withColumn("d", F.monotonically_increasing_id()), f"{folder}/classes")
     delete(spark, f"{folder}/wide")
-    posts = reps.select("d", "n", F.explode("keys").alias("key"))
+    release(spark)
+    found = linked_classes(narrow.select(*ROW, "t"), reps, folder, k, percent)
+    numbers = reps.select(*SAME, "d", "least")
+    odd = None
+    if one_id:  # ids of several texts: rare, so that one narrow sum finds them
+        own = F.when(F.col("n") > 0, F.struct(*SAME))
+        odd = every.filter("d IS NOT NULL").groupBy(F.col("d").alias("i")).agg(F.min(own).alias("x"), F.max(own).alias("y"), F.min("n").alias("fewest"))
+        odd = written(odd.filter("x != y OR fewest = 0 AND y IS NOT NULL").select("i", F.expr("x != y").alias("several"), F.expr("fewest = 0").alias("empty")), f"{folder}/ids-of-several-texts")
+        odd = None if odd.isEmpty() else odd
+    if odd is not None:
+        found = joined_by_id(every, numbers, odd.filter("several").select("i"), found, folder)
+    group = F.coalesce("component", "d")
+    named = numbers.join(found, numbers["d"] == found["id"], "left").select(*SAME, "least", group.alias("grp"))
+    least = named.groupBy("grp").agg(F.min("least").alias("least"))
+    named = named.drop("least").join(least, "grp")
+    out = every.join(named.hint("merge"), SAME, "left")
+    if odd is not None:  # an empty text shares the group of its id's other texts
+        ids = odd.filter("empty").select(F.col("i").alias("d"))
+        others = every.join(ids, "d", "left_semi").filter("n > 0").join(named, SAME).groupBy("d").agg(F.min("least").alias("of_id"))
+        out = out.join(others, "d", "left").withColumn("least", F.coalesce("least", "of_id"))
+    return out.select("d", *ROW, "n", "grp", F.coalesce("least", F.when(F.col("n") == 0, F.col("d"))).alias("least"))
+
+
+def joined_by_id(every: DataFrame, numbers: DataFrame, several: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+    """found (id, component) with links between the classes of one id's texts. several: the ids (i) that have some."""
+    pairs = every.filter("n > 0").join(several, every["d"] == several["i"], "left_semi").select(F.col("d").alias("i"), *SAME).distinct().join(numbers.select(*SAME, "d"), SAME).select("i", "d")
+    pairs = written(pairs, f"{folder}/of-one-id")
+    links = pairs.join(pairs.groupBy("i").agg(F.min("d").alias("a")), "i").filter("a < d").select("a", F.col("d").alias("b"))
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links), f"{folder}/components-3")
+
+
+def linked_classes(narrow: DataFrame, reps: DataFrame, folder: str, k: int, percent: int) -> DataFrame:
+    """id and component (classes' numbers) of each class that links join with a smaller one. narrow: h, h2, t of all rows; reps: a row
+    for each class, d its number."""
+    spark = narrow.sparkSession
+    posts = reps.select("d", "n", F.explode(F.slice("keys", F.lit(1), F.least(F.size("keys"), prefix_size(percent)))).alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     shared = written(shared.filter(f"c > 1 AND lo < hi AND (c > 2 OR 100 * least >= {percent} * most)"), f"{folder}/shared")
     release(spark)
@@ -436,9 +490,9 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     release(spark)
 
     def texts_of(ids: DataFrame, name: str) -> DataFrame:
-        """The texts of these documents, and no others."""
-        ids = ids.distinct()
-        out = written(filtered(narrow, ids).join(ids, "d", "left_semi").dropDuplicates(["d", "t"]), f"{folder}/texts-{name}")
+        """The texts of these classes, and no others."""
+        rows = written(reps.select("d", *ROW).join(ids.distinct(), "d", "left_semi"), f"{folder}/rows-{name}")
+        out = written(filtered(narrow, rows).join(rows, ROW).select("d", "t").dropDuplicates(["d"]), f"{folder}/texts-{name}")
         release(spark)
         return out
 
@@ -456,7 +510,8 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     inside = left.join(found, left["d"] == found["id"], "left").select("bid", "d", label)
     several = inside.groupBy("bid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bid")
     rest = inside.join(several, "bid", "left_semi").select("bid", "d", "comp")
-    rest = rest.unionByName(across(big.join(found, big["d"] == found["id"], "left").select("key", "d", "chunks", label)))
+    if not shared.filter(F.col("c") > CHUNK).isEmpty():
+        rest = rest.unionByName(across(big.join(found, big["d"] == found["id"], "left").select("key", "d", label), reps, folder))
     open_members = written(undecided(rest.join(maps, "d"), percent), f"{folder}/undecided")
     release(spark)
     texts = texts_of(open_members.select("d"), "2")
@@ -466,24 +521,39 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id",
     if not more_links.isEmpty():
         joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more_links)
         found = components(joined, f"{folder}/components-2")
-    classes_of = reps.select(*same, F.col("d").alias("rep"))
-    named = classes_of.join(found, classes_of["rep"] == found["id"], "left").select(*same, F.coalesce("component", "rep").alias("c"))
-    out = every.join(named.hint("merge"), same, "left")
-    component = F.when(F.col("n") == 0, F.col("d")).otherwise(F.col("c"))
-    null_id = lambda c: F.when(c != NO_ID, c)
-    return out.select(null_id(F.col("d")).alias(id_col), F.col("n").alias("n_shingles"), null_id(component).alias("component_id"))
-
-
-def across(inside: DataFrame) -> DataFrame:
-    """Blocks of more than one chunk (key, d, chunks, comp): the members outside the block's largest component, by chunks, against
-    all, by chunks."""
-    counts = inside.groupBy("key", "comp").agg(F.count("*").alias("x"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("x", "comp")).alias("top"), F.sum("x").alias("all")).select("key", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.x")) / CHUNK).cast("int").alias("others")).filter("others > 0")
-    marked = inside.join(largest, "key")
-    hashed = F.xxhash64("d")
-    other = marked.filter("comp != main").select("key", "d", "comp", F.pmod(hashed, F.col("others").cast("long")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
-    every = marked.select("key", "d", "comp", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), F.pmod(hashed, F.col("chunks").cast("long")).cast("int").alias("j"))
-    return other.unionByName(every).select(F.xxhash64("key", "i", "j").alias("bid"), "d", "comp").distinct()
+    return found
+
+
+def outsiders(inside: DataFrame, by: list[str]) -> DataFrame:
+    """inside (by, d, comp) with out: whether a member is outside its block's largest component. Blocks of one component go."""
+    counts = inside.groupBy(*by, "comp").agg(F.count("*").alias("x"))
+    largest = counts.groupBy(*by).agg(F.max(F.struct("x", "comp")).alias("top"), F.count("*").alias("c")).filter("c > 1").select(*by, F.col("top.comp").alias("main"))
+    return inside.join(largest, by).withColumn("out", F.col("comp") != F.col("main")).drop("main")
+
+
+def across(big: DataFrame, reps: DataFrame, folder: str) -> DataFrame:
+    """The second round's blocks (bid, d, comp) of blocks (key, d, comp) beyond one chunk: the members outside the largest component
+    against all that share a second key with them. These are blocks of their own, and so is each dealt into chunks if it is beyond one:
+    its outsiders, by chunks, against all, by chunks."""
+    first = outsiders(big, ["key"])
+    keyed = first.join(reps.select("d", F.col("keys").alias("second")), "d").select("key", "d", "comp", "out", F.explode("second").alias("key2")).filter("key != key2")
+    keyed = written(keyed.groupBy("d", "comp", F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("key2")).agg(F.max("out").alias("out")), f"{folder}/second-keys")
+    met = keyed.groupBy("key", "key2").agg(F.count("*").alias("c"), F.max("out").alias("out")).filter("c > 1 AND out").select("key", "key2")
+    marked = outsiders(keyed.drop("out").join(met, ["key", "key2"]), ["key", "key2"])
+    sizes = marked.groupBy("key", "key2").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.ceil(F.sum(F.col("out").cast("int")) / CHUNK).cast("int").alias("others"))
+    marked, hashed = marked.join(sizes, ["key", "key2"]), F.xxhash64("d")
+    deal = lambda x: F.pmod(hashed, F.col(x).cast("long")).cast("int")
+    name = F.xxhash64("key", "key2", "i", "j").alias("bid")
+    small = marked.filter("chunks = 1").select(F.xxhash64("key", "key2").alias("bid"), "d", "comp")
+    large = marked.filter("chunks > 1")
+    other = large.filter("out").withColumn("i", deal("others")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(name, "d", "comp")
+    every = large.withColumn("j", deal("chunks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(name, "d", "comp")
+    return small.unionByName(other).unionByName(every).distinct()
+
+
+def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document row: id_col, n_shingles, component_id (the smallest id reachable by links)."""
+    return grouped(docs, k, percent, id_col, text_col).select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,18 +561,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH RECURSIVE words AS MATERIALIZED (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+WITH RECURSIVE numbered AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text FROM documents
+), words AS MATERIALIZED (
+  SELECT rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM numbered
 ), shingles AS MATERIALIZED (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM words)
-), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+  SELECT DISTINCT rid, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM words)
+), sizes AS MATERIALIZED (SELECT rid, count(*) AS n FROM shingles GROUP BY rid
 ), links AS MATERIALIZED (
-  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL)
-  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)
+  SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM shingles x JOIN shingles y USING (s) WHERE x.rid <> y.rid GROUP BY ALL)
+  JOIN sizes p ON p.rid = a JOIN sizes q ON q.rid = b WHERE 100 * c >= 85 * (p.n + q.n - c)
+  UNION SELECT x.rid, y.rid FROM words x JOIN words y USING (doc_id) WHERE x.rid <> y.rid
 ), reach AS (
-  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+  SELECT rid AS a, rid AS b FROM words UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
 )
 SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id
-FROM words w LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = w.doc_id
+FROM words w LEFT JOIN sizes s USING (rid) JOIN (SELECT a, min(doc_id) AS c FROM reach JOIN words ON b = rid GROUP BY a) r ON r.a = w.rid
 """
