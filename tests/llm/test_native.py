@@ -17,16 +17,15 @@ def brute_lines(rows, min_chars=20, min_docs=3):
     lower = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
     key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
     held = defaultdict(set)
-    for d, t in rows:
+    for k, (d, t) in enumerate(rows):
         for line in (t or "").split("\n"):
             if len(key(line)) >= min_chars:
-                held[key(line)].add(-(2**63) if d is None else d)
-    drop = {k: max(v) for k, v in held.items() if len(v) >= min_docs}
+                held[key(line)].add((d is not None, k if d is None else d))
+    drop = {k: max(v)[1] for k, v in held.items() if len(v) >= min_docs and max(v)[0]}
     out = []
     for d, t in rows:
         lines = (t or "").split("\n")
-        own = -(2**63) if d is None else d
-        kept = [x for x in lines if not (key(x) in drop and own < drop[key(x)])]
+        kept = [x for x in lines if not (key(x) in drop and (d is None or d < drop[key(x)]))]
         out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return sorted(out, key=str)
 
@@ -36,7 +35,9 @@ def test_line_dedup(spark, batches, fanout):
     rng = random.Random(batches)
     pool = [f"this line is number {k} of a pool that repeats" for k in range(12)] + ["short", "", "  ", "ÄÖ line with non-ascii letters in it"]
     rows = [(d, "\n".join(rng.choice(pool).upper() if rng.random() < 0.3 else rng.choice(pool) for _ in range(rng.randint(0, 9)))) for d in range(60)]
-    rows += [(None, pool[0]), (7, pool[1] + "\n" + pool[1]), (7, pool[1]), (99, None)]
+    rows += [(None, pool[0]), (None, pool[0]), (None, "another line that has no number of its own"), (None, "another line that has no number of its own"), (None, "x\nanother line that has no number of its own"), (7, pool[1] + "\n" + pool[1]), (7, pool[1]), (99, None)]
+    many = [f"a line that two more long texts hold as well, number {k}" for k in range(300)]
+    rows += [(200, "\n".join(many)), (201, "\n".join(many[::2])), (202, "\n".join(many[::3]))]
     df = spark.createDataFrame([(d, t, "kept", 5) for d, t in rows], "doc_id long, text string, kept_text string, _extra int")
     got = line_dedup.dedup_lines(df, batches=batches, fanout=fanout)
     assert "_extra" in got.columns
@@ -44,9 +45,10 @@ def test_line_dedup(spark, batches, fanout):
     assert out == brute_lines(rows)
 
 
-def test_runs_level_and_compact(spark, tmp_path):
+@pytest.mark.parametrize("order", [(4, 3, 2, 1), (1, 2, 3, 4), (2, 4, 1, 3)])
+def test_runs_level_and_compact_in_any_order(spark, tmp_path, order):
     runs = line_dedup.LineRuns(spark, str(tmp_path), min_docs=2, fanout=2)
-    for b in range(4, 0, -1):
+    for b in order:
         runs.add(spark.createDataFrame([(b * 10 + k, 1, k % 3) for k in range(3)], "_ld_doc long, _ld_h1 long, _ld_h2 long"))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     assert {tuple(r) for r in runs.repeated().collect()} == {(1, 0, 40), (1, 1, 41), (1, 2, 42)}

@@ -1,13 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A line's key is the line without the white space around it, A-Z lower-cased. Runs are Parquet tables, sorted by the 128-bit
-hash of the key, with the number of documents that hold the key and the largest of their ids. A batch of documents becomes a
-run of its own: its keys are merge-anti-joined with the runs' settled keys (those already known in min_docs documents, whose
-keeper is fixed because batches come by falling doc_id), and what remains is added as a run of level 0. fanout runs of a level
-are compacted into one run of the next.
+hash of the key, with the number of documents that hold the key and the largest of their ids, its keeper. A batch of documents becomes a
+run of its own: its keys are merge-anti-joined with the runs' settled keys, those already known in min_docs documents with a keeper no
+smaller than the batch's, and what remains is added as a run of level 0. fanout runs of a level are compacted into one run of the next.
+Batches may come in any order, of larger ids too, whenever they arrive; by falling doc_id most of their lines are settled.
 
 Edge cases: a null or empty text is one empty line; rows with one doc_id are one document when documents are counted, and each
-is rewritten by itself; a null doc_id counts as one document, below all others; an empty table gives an empty result.
+is rewritten by itself; each row with a null doc_id is a document of its own, below all others, and lines that only such rows hold stay
+in all of them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """The runs. Batches must come by falling doc_id: then the first run to hold a key holds its keeper."""
+    """The runs, which any number of batches may be added to."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, min_docs: int = MIN_DOCS, fanout: int = 4):
         self.spark, self.folder, self.min_docs, self.fanout = spark, folder or shared_folder(spark), min_docs, fanout
@@ -61,12 +62,15 @@ class LineRuns:
         return runs.groupBy(*HASH).agg(F.sum("_ld_docs").alias("_ld_docs"), F.max("_ld_keeper").alias("_ld_keeper"))
 
     def add(self, batch: DataFrame) -> None:
-        """batch: a row for each key of each document, as _ld_doc and the hash."""
+        """batch: a row for each key of each document, as _ld_doc (null if it has no id) and the hash."""
         entries = batch.groupBy(*HASH).agg(F.count("*").alias("_ld_docs"), F.max("_ld_doc").alias("_ld_keeper"))
         known = self._all()
         if known is not None:
-            settled = known.filter(F.col("_ld_docs") >= self.min_docs).select(*HASH)
-            entries = entries.join(settled.hint("merge"), HASH, "left_anti")
+            settled = self._merged(known).filter(F.col("_ld_docs") >= self.min_docs)
+            new, old = entries.alias("new"), settled.hint("merge").alias("old")
+            same = reduce(lambda x, y: x & y, [F.col(f"new.{h}") == F.col(f"old.{h}") for h in HASH])
+            no_more = F.col("new._ld_keeper").isNull() | (F.col("new._ld_keeper") <= F.col("old._ld_keeper"))
+            entries = new.join(old, same & F.coalesce(no_more, F.lit(False)), "left_anti")
         self.levels[0].append(self._run(entries))
         self.compact()
 
@@ -92,44 +96,56 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     stays only in the document of the largest id that holds it, there with all its lines."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    keys = F.transform(lines(F.col(text_col)), line_key)
+    text, doc = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
+    # A row without id is told by its text.
+    row = F.when(doc.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+    keys = F.transform(lines(text), line_key)
     long_keys = F.filter(keys, lambda k: F.char_length(k) >= min_chars)
     cuts = docs.agg(F.percentile_approx(doc, [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts), reverse=True)
     staged = (
-        docs.select(doc.alias("_ld_doc"), F.explode(F.array_distinct(F.transform(long_keys, key_hash))).alias("_ld_h"))
-        .select("_ld_doc", "_ld_h.*")
-        .dropDuplicates(["_ld_doc", *HASH])
+        docs.select(doc.alias("_ld_doc"), row.alias("_ld_row"), F.explode(F.array_distinct(F.transform(long_keys, key_hash))).alias("_ld_h"))
+        .select("_ld_doc", "_ld_row", "_ld_h.*")
         .withColumn("_ld_batch", batch_of(cuts))
     )
     staged = written(staged, f"{folder}/lines")
+    several = written(docs.select(doc.alias("_ld_doc")).filter("_ld_doc IS NOT NULL").groupBy("_ld_doc").agg(F.count("*").alias("c")).filter("c > 1").select("_ld_doc"), f"{folder}/ids-of-several-rows")
+    held = staged
+    if not several.isEmpty():  # only these can hold a key twice
+        held = staged.join(several, "_ld_doc", "left_anti").unionByName(staged.join(several, "_ld_doc", "left_semi").dropDuplicates(["_ld_doc", *HASH]).select(*staged.columns))
     runs = LineRuns(spark, f"{folder}/runs", min_docs, fanout)
     for b in range(len(cuts) + 1):
-        runs.add(staged.filter(F.col("_ld_batch") == b).select("_ld_doc", *HASH))
+        runs.add(held.filter(F.col("_ld_batch") == b).select("_ld_doc", *HASH))
     # Written, so that both sides of the next join are plain exchanges, whose skewed partitions are split at run time.
     repeated = written(runs.repeated(), f"{folder}/repeated")
     drops = (
         staged.join(repeated.hint("merge"), HASH)
-        .filter(F.col("_ld_doc") < F.col("_ld_keeper"))
-        .groupBy("_ld_doc")
-        .agg(F.collect_list("_ld_h1").alias("_ld_drops"))
+        .filter(F.coalesce(F.col("_ld_doc") < F.col("_ld_keeper"), F.col("_ld_keeper").isNotNull()))
+        .groupBy(F.coalesce("_ld_doc", F.lit(NO_ID)).alias("_ld_doc"), "_ld_row")
+        .agg(F.collect_set(F.struct(*HASH)).alias("_ld_drops"))
     )
     ls = F.col("_ld_lines")
-    kept = F.filter(ls, lambda x: ~F.array_contains(F.col("_ld_drops"), key_hash(line_key(x))["_ld_h1"]))
+    # Membership by buckets, about the root of the number of drops: a text of many lines and drops takes their product's root, not the product.
+    n = F.greatest(F.lit(1), F.floor(F.sqrt(F.size("_ld_drops"))).cast("int"))
+    buckets = F.transform(F.sequence(F.lit(0), F.col("_ld_n") - 1), lambda b: F.filter("_ld_drops", lambda h: F.pmod(h["_ld_h1"], F.col("_ld_n")) == b))
+    hashes = F.transform(ls, lambda x: key_hash(line_key(x)))
+    gone = lambda h: F.array_contains(F.get("_ld_buckets", F.pmod(h["_ld_h1"], F.col("_ld_n")).cast("int")), h)
+    kept = F.filter(ls, lambda x, i: ~gone(F.get("_ld_hashes", i)))
+    touched = F.col("_ld_drops").isNotNull()
     return (
-        docs.withColumn("_ld_doc", doc)
-        .join(drops, "_ld_doc", "left")
-        .withColumn("_ld_lines", lines(F.col(text_col)))
-        .withColumn("_ld_kept", F.when(F.col("_ld_drops").isNull(), ls).otherwise(kept))
+        docs.withColumns({"_ld_doc": F.coalesce(doc, F.lit(NO_ID)), "_ld_row": row})
+        .join(drops, ["_ld_doc", "_ld_row"], "left")
+        .withColumns({"_ld_lines": lines(text), "_ld_n": n})
+        .withColumns({"_ld_buckets": F.when(touched, buckets), "_ld_hashes": F.when(touched, hashes)})
+        .withColumn("_ld_kept", F.when(touched, kept).otherwise(ls))
         .withColumns({f"{prefix}kept_text": F.array_join("_ld_kept", "\n"), f"{prefix}n_lines": F.size(ls).cast("long"), f"{prefix}n_dropped": (F.size(ls) - F.size("_ld_kept")).cast("long")})
-        .drop("_ld_doc", "_ld_drops", "_ld_lines", "_ld_kept")
+        .drop("_ld_doc", "_ld_row", "_ld_drops", "_ld_lines", "_ld_kept", "_ld_n", "_ld_buckets", "_ld_hashes")
     )
 
 
 def batch_of(cuts: list[int]) -> Column:
-    """0 for the largest ids; one more for each cut that the id does not exceed."""
-    return reduce(lambda a, cut: a + F.when(F.col("_ld_doc") <= cut, 1).otherwise(0), cuts, F.lit(0))
+    """0 for the largest ids; one more for each cut that the id does not exceed; a null id exceeds none."""
+    return reduce(lambda a, cut: a + F.when(F.col("_ld_doc") > cut, 0).otherwise(1), cuts, F.lit(0))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,9 +161,10 @@ WITH split_lines AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM split_lines
 ), repeated AS (
-  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k
+  HAVING count(DISTINCT doc_id) + count(DISTINCT rid) FILTER (WHERE doc_id IS NULL) >= 3
 ), marked AS (
-  SELECT keyed.*, coalesce(keyed.doc_id < repeated.keeper, false) AS gone FROM keyed LEFT JOIN repeated USING (k)
+  SELECT keyed.*, coalesce(keyed.doc_id < repeated.keeper, repeated.keeper IS NOT NULL) AS gone FROM keyed LEFT JOIN repeated USING (k)
 )
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
