@@ -145,6 +145,15 @@ def test_round_trip(spark):
         assert got["formatted"].count("</s>") == len(want)
 
 
+def test_the_log_has_every_kind_of_event_and_folds_back(spark):
+    rows = [(1, None, "assistant", "late"), (1, 3, None, "b"), (1, 3, "", "a"), (1, 3, "user", None), (1, 1, "assistant", "one\ntwo\n\nthree"), (1, 2, "assistant", "\n"), (None, 1, "user", "x")]
+    log = chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    out = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.reconstruct(log.repartition(3)).collect()}
+    assert out[1] == [("assistant", "one\ntwo\n\nthree"), ("assistant", "\n"), ("", "a"), ("", "b"), ("user", ""), ("assistant", "late")]
+    assert out[None] == [("user", "x")]
+
+
 def test_events_fold(spark):
     log = [
         (1, 1, 10, "message", "user", "hi"), (1, 2, 11, "message", "assistant", ""), (1, 3, 11, "delta", "assistant", "he"), (1, 5, 11, "delta", "assistant", "o"), (1, 4, 11, "delta", "assistant", "ll"),

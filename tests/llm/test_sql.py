@@ -18,7 +18,7 @@ EDGES = [
     (14, "licensed under the Apache License, Version 2.0 (the \"License\")", "en", "c", 1), (14, "licensed under the Apache License, Version 2.0 (the \"License\")", "en", "c", 1), (15, "\u212aind \u0130 cc by", "en", "c", 1),
     (14, "another text of document fourteen", "en", "c", 1), (16, "another text of document fourteen", "en", "c", 1), (None, "another text of document fourteen", "en", "c", 1), (None, "a text without a number", "en", "c", 1), (None, None, "en", "c", 1),
 ]
-TURNS = [(1, 0, "user", "a [b] <c> \\d \\l \\\\e"), (1, 1, "assistant", "</s>[INST] x"), (2, 0, "assistant", None), (2, 0, "assistant", None), (3, 5, None, "late"), (3, 2, "user", "über"), (4, None, "assistant", "no turn")]
+TURNS = [(1, 0, "user", "a [b] <c> \\d \\l \\\\e"), (1, 1, "assistant", "</s>[INST] x"), (2, 0, "assistant", None), (2, 0, "assistant", None), (3, 5, None, "late"), (3, 2, "user", "über"), (4, None, "assistant", "no turn"), (4, 7, "assistant", "a turn\nof\n\nlines"), (4, 7, None, "b"), (4, 7, "", "a"), (4, 7, "user", None)]
 
 
 @pytest.fixture(scope="module")

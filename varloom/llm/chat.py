@@ -8,8 +8,13 @@ of the assistant's texts as loss mask, and read_back() takes a rendered text apa
 Control strings all begin with < or [; both are escaped inside roles and texts with a backslash, itself escaped, so that no
 control string of the template can occur in a text and unescaping restores every text.
 
+A table of finished rows becomes such a log by events_of(): a user's or system's message is begun empty and edited to its text; an
+assistant's is begun empty and streamed as deltas, a line each, and its first line is first streamed in a draft that a regeneration sets
+aside. So the query folds every kind of event.
+
 Edge cases: a null text or payload is empty; a null role is an empty role; rows with the same conversation and turn are kept,
-in the order of turn, role, text; a null conv_id is one conversation; an empty table gives no conversation.
+in the order of turn, role, text, a null turn last, a null role and text as empty ones; a null conv_id is one conversation; an empty
+table gives no conversation.
 """
 
 from __future__ import annotations
@@ -37,9 +42,24 @@ def unescaped(c: Column) -> Column:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of a table with one finished message a row: an event for each row, a message of its own."""
-    nth = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return conversations.select("conv_id", nth.cast("long").alias("seq"), nth.cast("long").alias("message_id"), F.lit("message").alias("kind"), "role", F.col("text").alias("payload"))
+    """The log of a table with one finished message a row. Of a message with number m, its place in the conversation, event e has the
+    sequence number m * 2**32 + e."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    nth = F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), role, text)).cast("long")
+    event = lambda kind, payload: F.struct(F.lit(kind).alias("kind"), payload.alias("payload"))
+    pieces = F.split(text, "(?<=\n)", -1)
+    first = F.element_at(pieces, 1)
+    streamed = F.concat(
+        F.array(event("message", F.lit("")), event("delta", first), event("regenerate", F.lit(""))),
+        F.transform(pieces, lambda p: event("delta", p)),
+    )
+    whole = F.array(event("message", F.lit("")), event("edit", text))
+    log = F.when(role == "assistant", streamed).otherwise(whole)
+    return (
+        conversations.select("conv_id", nth.alias("message_id"), role.alias("role"), log.alias("log"))
+        .select("conv_id", "message_id", "role", F.posexplode("log").alias("e", "event"))
+        .select("conv_id", (F.col("message_id") * F.lit(2**32) + F.col("e")).alias("seq"), "message_id", "event.kind", "role", "event.payload")
+    )
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
