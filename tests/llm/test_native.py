@@ -103,6 +103,18 @@ def test_mixed_rows_are_the_copies(spark):
     assert times == sorted(times)
 
 
+def test_rows_of_one_key_are_whole_and_fast(spark):
+    """A hundred thousand rows without id, of one source and one size: a row for each, and each its own text."""
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    docs = docs.unionByName(spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit("one and the same").alias("text"), F.lit("t").alias("source")))
+    out = mixing.mixed_rows(docs)
+    # 100,000 and 200,000 words by 5 to 2: the first is spent, the second takes the rest of 450,000
+    by = {r["source"]: (r["n"], r["texts"]) for r in out.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts")).collect()}
+    again = mixing.mixed_rows(docs.repartition(3))
+    assert out.select("text", "copy").exceptAll(again.select("text", "copy")).isEmpty()
+    assert by["s"] == (200_000, 100_000) and abs(by["t"][0] * 4 - 250_000) <= 8
+
+
 @pytest.mark.parametrize("text,labels", [
     ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("# Released under the MIT\n# License.", "mit"), ("see CC BY-NC 4.0: licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"),
     ("Permission is hereby granted,\n * free of charge, to any person obtaining\n * a copy of this software and associated documentation files", "mit"),
@@ -171,3 +183,21 @@ def test_no_python_in_native_plans(spark):
     for q in (line_dedup.op1, mixing.op5, license_scan.op6, chat.op10):
         plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_shared_folders(spark):
+    from varloom.llm import common
+
+    a = common.written(spark.range(3), f"{common.shared_folder(spark)}/x")
+    assert a.count() == 3
+    path = a.inputFiles()[0]
+    common.clean_up(spark)
+    assert not __import__("os").path.exists(path.removeprefix("file:")) and not common._made
+
+    class Remote:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(type("S", (), {"sparkContext": Remote}))

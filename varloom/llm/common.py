@@ -16,13 +16,27 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
 
 
+#: The folders made in this process, until clean_up().
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors all see: under spark.checkpoint.dir, which is set here only where it is unset."""
+    """A new folder that driver and executors all see, under spark.checkpoint.dir. That is set here only where it is unset and the master is
+    local, as in tests: on a cluster a folder of the driver's own machine is none that executors see."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="varloom-")
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/varloom-{uuid.uuid4().hex}"
+    _made.append(f"{top.rstrip('/')}/varloom-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the folders made in this process. DataFrames that the operators gave read from them until their rows are written."""
+    while _made:
+        delete(spark, _made.pop())
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

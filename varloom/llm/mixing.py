@@ -5,8 +5,12 @@ and with it, divided by the source's weight; copies of the second pass follow th
 virtual finish time over all sources (a range sort) and taken while the words so far stay within the total budget. Sources that
 run out early leave their share to the others in proportion to their weights, which is how the targets are defined too.
 
-No source is gathered in one task: running sums go by (source, slice of the digest), then over the slices' totals; and for the
-global order by ranges of the finish time, then over the ranges' totals.
+No source is gathered in one task: rows are dealt to ranges of (source, digest), as many as there are shuffle partitions and of equal
+size, sources large and small alike; running sums go by range, then over the ranges' totals. The global order is made likewise, by
+ranges of the finish time. What is taken by a window without ranges has a row for each source or range.
+
+Every row has a number of its own, given as the rows are written, by which its copies find it again: rows of one id, or none, are never
+told apart by their contents.
 
 Edge cases: a null source is a source of its own, last in order; a text without words or null has size 0 and is never needed, so
 nothing of it is taken; repeated rows are documents of their own; an empty table gives an empty result.
@@ -23,8 +27,6 @@ from pyspark.sql import functions as F
 from varloom.llm.common import shared_folder, written
 
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
-#: Slices of a source's shuffled order whose totals are summed first: 16**SLICE_DIGITS.
-SLICE_DIGITS = 2
 SAME = ["_mx_source", "_mx_null"]
 
 
@@ -60,80 +62,85 @@ def digest(seed: str, doc_id: Column, source: Column, size: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(source.cast("string"), F.lit("")), size.cast("string")))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """A row for each copy that could be taken, narrow (no text): the id, _mx_row (its document's digest key), size, source_size,
-    target, virtual_finish, copy, taken (boolean: the copy is in the mix) and running_words."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
-    src = F.col(source_col).cast("string")
-    narrow = docs.select(F.col(id_col).alias("_mx_id"), F.coalesce(src, F.lit("")).alias("_mx_source"), src.isNull().alias("_mx_null"), words_in(F.col(text_col)).cast("long").alias("size"))
-    rows = narrow.withColumn("_mx_key", digest(seed, F.col("_mx_id"), F.col("_mx_source"), F.col("size"))).withColumn("_mx_slice", F.substring("_mx_key", 1, SLICE_DIGITS))
-    rows = written(rows, f"{folder}/rows")
-    slices = rows.groupBy(*SAME, "_mx_slice").agg(F.sum("size").alias("_mx_words"))
-    slices = written(slices, f"{folder}/slices")
-    before = F.sum("_mx_words").over(W.partitionBy(*SAME).orderBy("_mx_slice")) - F.col("_mx_words")
-    plan = targets(slices.groupBy(*SAME).agg(F.sum("_mx_words").alias("_mx_words")), weights, share, passes)
-    plan = written(plan, f"{folder}/targets")
-    slices = slices.select(*SAME, "_mx_slice", before.alias("_mx_before")).join(plan, SAME)
-    inner = W.partitionBy(*SAME, "_mx_slice").orderBy("_mx_key", "_mx_id").rowsBetween(W.unboundedPreceding, 0)
+def parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ranged(df: DataFrame, order: Sequence[str], path: str) -> DataFrame:
+    """df in global order, with _mx_range, the number of a row's range. Written, since the ranges are sampled: they hold only as long as
+    they are not dealt again."""
+    return written(df.repartitionByRange(parts(df.sparkSession), *order).withColumn("_mx_range", F.spark_partition_id()).sortWithinPartitions(*order), path)
+
+
+def numbered(docs: DataFrame, text_col: str, path: str) -> DataFrame:
+    """docs as written to path with _mx_row, a number for each row, and _mx_size, its words."""
+    return written(docs.withColumns({"_mx_row": F.monotonically_increasing_id(), "_mx_size": words_in(F.col(f"`{text_col}`")).cast("long")}), path)
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", folder: str | None = None) -> DataFrame:
+    """A row for each copy that could be taken, narrow (no text): the id, _mx_row (its row's number), size, source_size, target,
+    virtual_finish, copy, taken (boolean: the copy is in the mix) and running_words. docs may be numbered."""
+    folder = folder or shared_folder(docs.sparkSession)
+    src = F.col(f"`{source_col}`").cast("string")
+    own = ["_mx_row", "_mx_size"] if "_mx_row" in docs.columns else [F.monotonically_increasing_id().alias("_mx_row"), words_in(F.col(f"`{text_col}`")).cast("long").alias("_mx_size")]
+    rows = docs.select(F.col(f"`{id_col}`").alias("_mx_id"), F.coalesce(src, F.lit("")).alias("_mx_source"), src.isNull().alias("_mx_null"), F.xxhash64(F.col(f"`{text_col}`")).alias("_mx_text"), *own).withColumnRenamed("_mx_size", "size")
+    rows = written(rows.withColumn("_mx_key", digest(seed, F.col("_mx_id"), F.col("_mx_source"), F.col("size"))), f"{folder}/rows")
+    place = ["_mx_null", "_mx_source", "_mx_key", "_mx_id", "_mx_text", "_mx_row"]  # the text's hash: reruns agree however rows are dealt
+    rows = ranged(rows, place, f"{folder}/by-source")
+    sums = written(rows.groupBy(*SAME, "_mx_range").agg(F.sum("size").alias("_mx_words")), f"{folder}/range-sums")
+    before = F.sum("_mx_words").over(W.partitionBy(*SAME).orderBy("_mx_range")) - F.col("_mx_words")
+    plan = written(targets(sums.groupBy(*SAME).agg(F.sum("_mx_words").alias("_mx_words")), weights, share, passes), f"{folder}/targets")
+    sums = sums.select(*SAME, "_mx_range", before.alias("_mx_before")).join(plan, SAME)
+    inner = W.partitionBy("_mx_range", *SAME).orderBy(*place[2:]).rowsBetween(W.unboundedPreceding, 0)
     done = F.col("_mx_before") + F.col("_mx_sum") + F.col("copy") * F.col("_mx_words")
     copies = (
         rows.withColumn("_mx_sum", F.sum("size").over(inner))
-        .join(slices, [*SAME, "_mx_slice"])
+        .join(sums, ["_mx_range", *SAME])
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
         .withColumn("virtual_finish", done.cast("double") / F.col("_mx_weight"))
         .withColumnRenamed("_mx_words", "source_size")
+        .drop("_mx_range")
     )
     return truncated(copies, folder)
 
 
 #: The order over all copies; the rest of the list breaks ties between sources.
-ORDER = ["virtual_finish", "_mx_null", "_mx_source", "_mx_key", "_mx_id", "copy"]
+ORDER = ["virtual_finish", "_mx_null", "_mx_source", "_mx_key", "_mx_id", "_mx_text", "copy", "_mx_row"]
 
 
 def truncated(copies: DataFrame, folder: str) -> DataFrame:
     """The copies in global order, with taken: the words up to and with the copy are within the budget."""
-    spark = copies.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = copies.repartitionByRange(parts, *ORDER).withColumn("_mx_range", F.spark_partition_id()).sortWithinPartitions(*ORDER)
-    ranged = written(ranged, f"{folder}/ranged")  # the ranges are sampled: they hold only as long as they are not dealt again
-    totals = ranged.groupBy("_mx_range").agg(F.sum("size").alias("_mx_total"))
+    rows = ranged(copies, ORDER, f"{folder}/ranged")
+    totals = rows.groupBy("_mx_range").agg(F.sum("size").alias("_mx_total"))
     totals = totals.select("_mx_range", (F.sum("_mx_total").over(W.orderBy("_mx_range")) - F.col("_mx_total")).alias("_mx_ahead"))
     inner = W.partitionBy("_mx_range").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
     running = F.col("_mx_ahead") + F.sum("size").over(inner)
     # one row for each range: as many as partitions, whatever the input
     return (
-        ranged.join(F.broadcast(totals), "_mx_range")
+        rows.join(F.broadcast(totals), "_mx_range")
         .withColumn("running_words", running)
         .withColumn("taken", (F.col("running_words") <= F.col("_mx_budget")) & (F.col("size") > 0))
-        .select("_mx_id", "_mx_source", "_mx_null", "_mx_key", "size", "source_size", "target", "virtual_finish", "copy", "running_words", "taken")
+        .select("_mx_row", "_mx_id", "_mx_source", "_mx_null", "size", "source_size", "target", "virtual_finish", "copy", "running_words", "taken")
     )
 
 
 def taken_counts(copies: DataFrame) -> DataFrame:
-    """For each document row its number of copies in the mix. Equal rows (id, source and size) have equal keys: they are numbered,
-    copy by copy, so that each keeps a row of its own."""
-    nth = F.row_number().over(W.partitionBy("_mx_id", "_mx_source", "_mx_null", "_mx_key", "copy").orderBy("virtual_finish", "running_words"))
-    return copies.withColumn("_mx_nth", nth).groupBy("_mx_id", "_mx_source", "_mx_null", "_mx_key", "_mx_nth").agg(
-        F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.col("taken").cast("long")).alias("copies")
-    )
+    """For each document row its number of copies in the mix."""
+    same = ["_mx_id", "_mx_source", "_mx_null", "size", "source_size", "target"]
+    return copies.groupBy("_mx_row").agg(*[F.first(c).alias(c) for c in same], F.sum(F.col("taken").cast("long")).alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
     """The mix itself: a row of docs for each copy taken, with copy, virtual_finish and running_words, range-sorted by virtual finish
-    time. Equal documents (id, source and size) share a digest; they are numbered on both sides."""
-    copies = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **parameters)
-    nth = F.row_number().over(W.partitionBy("_mx_key", "copy").orderBy("virtual_finish", "running_words"))
+    time. Texts are shuffled twice: to their copies, by row number, and to their places in the order."""
+    folder = shared_folder(docs.sparkSession)
+    own = [f"`{c}`" for c in docs.columns if c not in ("copy", "virtual_finish", "running_words")]
+    docs = numbered(docs.select(*own), text_col, f"{folder}/numbered")
+    copies = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, folder=folder, **parameters)
     one = F.struct("copy", "virtual_finish", "running_words")
-    taken = copies.withColumn("_mx_nth", nth).filter("taken").groupBy("_mx_key", "_mx_nth").agg(F.sort_array(F.collect_list(one)).alias("c"))
-    taken = taken.groupBy("_mx_key").agg(F.map_from_entries(F.collect_list(F.struct("_mx_nth", "c"))).alias("_mx_copies"))
-    key = digest(seed, F.col(id_col), F.col(source_col), words_in(F.col(text_col)).cast("long"))
-    row = F.row_number().over(W.partitionBy("_mx_key").orderBy(F.xxhash64(text_col), text_col))
-    joined = docs.withColumn("_mx_key", key).join(taken, "_mx_key").withColumn("_mx_nth", row)
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "virtual_finish", "running_words")]
-    out = joined.select(*own, F.explode(F.element_at("_mx_copies", F.col("_mx_nth"))).alias("_mx_c")).select(*own, "_mx_c.*")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(parts, "virtual_finish", "running_words").sortWithinPartitions("virtual_finish", "running_words")
+    taken = copies.filter("taken").groupBy("_mx_row").agg(F.collect_list(one).alias("_mx_c"))  # as many as there are passes
+    out = docs.join(taken, "_mx_row").select(*own, F.explode("_mx_c").alias("_mx_c")).select(*own, "_mx_c.*")
+    return out.repartitionByRange(parts(docs.sparkSession), "virtual_finish", "running_words").sortWithinPartitions("virtual_finish", "running_words")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
