@@ -30,13 +30,16 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five words, a similarity of 0.8: of each group that links join, the document of the smallest id stays, a null id before all. A
-    document is an id and a text: rows with one id, or none, and different texts are different documents. Repeated rows are one."""
-    docs = docs.withColumn("_nd_key", F.xxhash64("doc_id", "text"))
-    links = jaccard_join.link(docs, k=5, percent=80, id_col="_nd_key").select("_nd_key", "component_id").distinct()
-    members = docs.select("_nd_key", "doc_id").distinct().join(links, "_nd_key")
-    stays = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_nd_key")).alias("_nd_first")).select("_nd_first._nd_key")
-    return docs.dropDuplicates(["_nd_key"]).join(stays, "_nd_key", "left_semi").drop("_nd_key")
+    """Five words, a similarity of 0.8: of each group that links join, the document of the smallest id stays, one without id only where
+    there is no other. Rows are documents of their own, whatever ids they share or lack, but repeated rows are one."""
+    rows = jaccard_join.grouped(docs, k=5, percent=80, one_id=False)
+    first = rows.filter("grp IS NOT NULL").groupBy("grp").agg(F.min(F.struct(F.isnull("d").alias("none"), "d", *jaccard_join.ROW)).alias("x")).select("x.h", "x.h2")
+    stays = written(first.unionByName(rows.filter("grp IS NULL").select(*jaccard_join.ROW).distinct()), f"{shared_folder(spark)}/stays")
+    kept = docs.select("*", *[c.alias(f"_nd_{n}") for c, n in zip(jaccard_join.row_hashes("doc_id", "text"), jaccard_join.ROW, strict=True)])
+    own = [f"_nd_{n}" for n in jaccard_join.ROW]
+    kept = kept.join(stays.select(*[F.col(n).alias(f"_nd_{n}") for n in jaccard_join.ROW]), own, "left_semi")
+    repeated = rows.join(stays, jaccard_join.ROW, "left_semi").groupBy(*jaccard_join.ROW).count().filter("count > 1")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates(own)).drop(*own)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
