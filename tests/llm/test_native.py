@@ -118,6 +118,10 @@ def test_rows_of_one_key_are_whole_and_fast(spark):
 @pytest.mark.parametrize("text,labels", [
     ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("# Released under the MIT\n# License.", "mit"), ("see CC BY-NC 4.0: licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"),
     ("Permission is hereby granted,\n * free of charge, to any person obtaining\n * a copy of this software and associated documentation files", "mit"),
+    ("/* THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\n * IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\n * FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR\n * COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION */", "mit"),
+    ("substantial portions of the software, as you may see in the above copyright notice", ""), ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("Redistributions in binary form must reproduce the above copyright\n#    notice, this list of conditions and the following disclaimer in the", "bsd"),
+    ("a source code form of the mozilla public license subject to terms", ""), ("Public domain. See the Eclipse Public License.", ""),
     ("the version 2 of the software is free", ""), ("License apache version of the under", ""), ("this work is licensed under the GNU General Public License, version 3.", "gpl"),
 ])
 def test_licences(spark, text, labels):
