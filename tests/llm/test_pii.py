@@ -31,14 +31,14 @@ def brute(text):
 
 def rewritten(spark, texts, **more):
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
-    return {r["doc_id"]: r for r in pii.pseudonymise(df, **more).collect()}
+    return {r["doc_id"]: r for r in pii.pseudonymise(df, **({"secret": "of these tests"} | more)).collect()}
 
 
 def test_detection(spark):
     rng = random.Random(4)
     pool = [
         "a.b@mail.example.com", "A.B@MAIL.example.com", "x@y", "@z.com", "+1 (830) 555-5433", "(830) 555-5433", "830-555-5433", "+49 30 901820", "4111111111111111", "4111 1111 1111 1111",
-        "4111111111111112", "12345678901234", "1.2.3.4", "300.1.1.1", "1.2.3.4.5", "123-45-6789", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765433", "Mr. John Smith", "Mrs Smith", "Frau Müller-Lüdenscheidt",
+        "4111111111111112", "12345678901234", "1.2.3.4", "300.1.1.1", "1.2.3.4.5", "123-45-6789", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765433", "1-555-123-4567", "1 (555) 123 4567", "(555) 123 4567", "555 123 4567", "555 123-4567", "Tel. 030 901820", "030 901820", "2001:db8:85a3:0:0:8a2e:370:7334", "fe80:0::1", "ad::be", "std::cout", "12:30:45", "x" * 90 + "@long.example.org", "Mr. John Smith", "Mrs Smith", "Frau Müller-Lüdenscheidt",
         "plain", "words,", "12.5", "2024-01-01", "é", "\n",
     ]
     texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(150)]
@@ -91,6 +91,28 @@ def test_names(spark):
     assert re.fullmatch(r"господин [А-Я][а-я]+ ([А-Я][а-я]+), \1", out[2]["text"]) and "Петров" not in out[2]["text"]
 
 
+def test_long_names_and_common_words(spark):
+    out = rewritten(spark, ["Mr Will Maria Juana Carlos Smith left. Will he come? He will. Smith may.", "Frau " + "Anna" * 20 + " kam", "Mr May x@may.org May stayed, Mr May"])
+    t = out[0]["text"]
+    assert "Will he come? He will." in t and "Smith" not in t and "Carlos" not in t and t.split(" ")[1] != "Will"
+    assert "Anna" not in out[1]["text"]
+    mr, name, mail, again, stayed, mr2, name2 = out[2]["text"].split(" ")
+    assert name == again == name2 != "May" and mail.endswith(".org") and stayed == "stayed,"
+
+
+def test_phones_and_addresses_keep_their_form(spark):
+    out = rewritten(spark, ["1-555-123-4567", "(555) 123 4567", "555 123 4567", "Tel.: 030 901820", "2001:db8::ff00:42:8329"])
+    a, b, c = (re.sub(r"\D", "", out[k]["text"])[-10:] for k in range(3))
+    assert a == b == c != "5551234567" and re.fullmatch(r"1-\d{3}-\d{3}-\d{4}", out[0]["text"]) and re.fullmatch(r"\(\d{3}\) \d{3} \d{4}", out[1]["text"])
+    assert re.fullmatch(r"Tel\.: \d{3} \d{6}", out[3]["text"]) and "901820" not in out[3]["text"]
+    assert re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}", out[4]["text"]) and out[4]["n_ip"] == 1
+
+
+def test_a_secret_is_needed(spark):
+    with pytest.raises(ValueError, match="secret"):
+        pii.pseudonymise(spark.createDataFrame([(1, "x")], DOCS), "")
+
+
 def test_keyed_and_repeatable(spark):
     texts = ["write to someone@example.com"]
     assert rewritten(spark, texts)[0] == rewritten(spark, texts)[0]
@@ -101,7 +123,7 @@ def test_edges(spark):
     long = "word " * 100_000 + "a@b.org" + " word" * 100_000
     rows = [(1, None), (2, ""), (3, "nothing here, 12.5 and 2024"), (None, "a@b.org"), (4, long), (5, "a@b.org"), (5, "a@b.org"), (6, "@ + ( \\ $1 a@b.org $0 \\E")]
     df = spark.createDataFrame([(d, t, "kept", "k") for d, t in rows], DOCS + ", n_email string, c string")
-    out = pii.pseudonymise(df).collect()
+    out = pii.pseudonymise(df, "of these tests").collect()
     assert len(out) == len(rows) and all(r["c"] == "k" for r in out)
     by = {r["doc_id"]: r for r in out}
     new = by[None]["text"]

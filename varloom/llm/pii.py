@@ -1,13 +1,17 @@
 """Personal data replaced by surrogates.
 
-Entities are e-mail addresses, phone numbers, payment cards (Luhn), IPv4 addresses, social security numbers, IBANs (mod 97) and names
-after a title. A mention is cut into units with a canonical value each: an address into its local part and its domain, a name into its
+Entities are e-mail addresses, phone numbers, payment cards (Luhn), IPv4 and IPv6 addresses, social security numbers, IBANs (mod 97) and
+names after a title. National numbers that begin with 0 count after a word for telephone only. A mention is cut into units with a canonical value each: an address into its local part and its domain, a name into its
 words, a number into its digits. Every distinct value gets one surrogate in the whole corpus, drawn from a keyed hash, so that mentions
 of one entity stay mentions of one entity, whatever their punctuation or case.
 
 Surrogates keep type and format: digits for digits and letters for letters, the separators, case, country code, card scheme and top-level
 domain; check digits are valid again. Surrogates of names keep the script and, by their ending, the gender of the title. Within a
-document that has a title's name, its words are replaced wherever else they stand, the longest first.
+document that has a title's name, its words are replaced wherever else they stand between the mentions, the longest first; a word that
+the document also holds in lower case is a common one ("Will", "May"), and replaced in the mentions only.
+
+The secret keys the surrogates: who has it can tell the surrogate of a guessed value. It is a parameter without a default; the registered
+query takes it from the setting spark.varloom.pii.secret, and a published one for its tests where that is unset.
 
 Collisions are checked in rounds over the table of distinct values: proposals that equal a value of the corpus, a settled surrogate or
 another proposal (the smallest value wins) are drawn again. From round EXTRA on surrogates grow by a character for every EXTRA rounds
@@ -35,24 +39,29 @@ TITLES = {
     "x": ("Dr", "Prof"),
 }
 _title = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?"
-_word = r"\p{Lu}[\p{L}'’-]{0,30}\p{L}"
+_word = r"\p{Lu}[\p{L}'’-]*\p{L}"
 _octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_hex = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,30}[A-Za-z]{2,24}",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "phone": r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-    r"|(?<![\w)])\(\d{3}\) ?\d{3}[-.]\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])",
+    r"|(?<![\w)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])(?:1[ .-])?(?:\d{3}[.-]\d{3}[.-]\d{4}|\d{3} \d{3} \d{4})(?![\w-])|(?<![\w.-])1[ .-]\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])"
+    r"|(?<=(?i:tel|phone|telefon|telephone|teléfono|téléphone|fax|mobile|mobil|handy)[.:]{0,2} )0\d{1,4}[ /-]\d{4,9}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "ip": rf"(?<![\w.]){_octet}(?:\.{_octet}){{3}}(?!\w|\.\d)",
+    "ip": rf"(?<![\w.]){_octet}(?:\.{_octet}){{3}}(?!\w|\.\d)|(?<![\w:.])(?:(?:{_hex}:){{7}}{_hex}|(?:{_hex}:){{2,6}}(?::{_hex}){{1,5}})(?![\w:])",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
-    "name": rf"(?<![\p{{L}}]){_title} {_word}(?: {_word}){{0,2}}(?!\p{{L}})",
+    "name": rf"(?<![\p{{L}}]){_title} {_word}(?: {_word}){{0,4}}(?!\p{{L}})",
 }
 KINDS = tuple(PATTERNS)
-PATTERN = "|".join(PATTERNS.values())
+#: All but addresses begin with one of few characters, and an address has an @: a text without one needs no look at every word.
+OTHERS = r"(?=[\p{Lu}\d(+гκa-f])(?:" + "|".join(v for k, v in PATTERNS.items() if k != "email") + ")"
+PATTERN = PATTERNS["email"] + "|" + OTHERS
 #: Country calling codes of one and two digits; all others have three.
 CALLING = r"1|7|2[07]|3[0123469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 EXTRA = 16
-SECRET = "varloom"
+#: The setting that keys the registered query, and its key where that is unset: published, so for tests only.
+SETTING, PUBLISHED = "spark.varloom.pii.secret", "a published key for tests"
 HEX, CONSONANTS, VOWELS = "0123456789abcdef", "bdfgklmnprstvzhj", "aeiouaeiouaeioua"
 SCRIPTS = {"cyrillic": ("bdfgklmnprstvzhjaeiou", "бдфгклмнпрствзхжаеиоу"), "greek": ("bdfgklmnprstvzhjaeiou", "βδφγκλμνπρστψζχξαειου")}
 UNIT = "array<struct<kind:string,pre:string,k:string,g:string,scope:string,c:string,f:string>>"
@@ -95,8 +104,9 @@ def kind_of(m: Column) -> Column:
         [
             (F.contains(m, F.lit("@")), F.lit("email")),
             (m.rlike(r"^[A-Z]{2}\d{2}"), F.when(mod97(F.replace(m, F.lit(" "), F.lit(""))) == 1, "iban")),
+            (F.contains(m, F.lit(":")), F.lit("ip")),
             (m.rlike(r"^\p{L}"), F.lit("name")),
-            (m.rlike(r"^[+(]|^\d{3}[-.]\d{3}[-.]\d{4}$"), F.lit("phone")),
+            (m.rlike(r"^[+(]|^(1[ .-])?(\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$|^0\d{1,4}[ /-]\d{4,9}$"), F.lit("phone")),
             (m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.lit("ssn")),
             (m.rlike(r"^\d+(\.\d+){3}$"), F.lit("ip")),
         ],
@@ -124,8 +134,8 @@ def units_of(pre: Column, m: Column, kind: Column) -> Column:
         k = F.when(i == F.size(words) - 1, "family").otherwise(F.concat(F.lit("given_"), gender))
         return unit(F.when(i == 0, "name"), F.when(i == 0, F.concat(pre, title)).otherwise(F.lit(" ")), k, "name", script(w), F.lower(w), w)
 
-    phone = F.when(F.startswith(m, F.lit("+")), F.concat(F.lit("+"), digits_of(m))).otherwise(F.concat(F.lit("+1"), digits_of(m)))
-    canonical = F.when(kind == "phone", phone).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind == "ip", m).otherwise(digits_of(m))
+    phone = F.concat(F.when(m.rlike(r"^[+0]|^1[ .-]"), F.lit("+")).otherwise(F.lit("+1")), digits_of(m))
+    canonical = F.when(kind == "phone", phone).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind == "ip", F.lower(m)).otherwise(digits_of(m))
     return (
         F.when(kind.isNull(), F.array(unit(None, F.concat(pre, m), None, None, None, F.lit(None), F.lit(""))))
         .when(kind == "email", email)
@@ -152,6 +162,8 @@ def proposal(round_: int) -> Column:
     body = F.concat(F.substring(c, 1, 1), draw(F.length(c) - 2 + more))
     card = F.concat(body, F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))
     octets = F.transform(F.sequence(F.lit(0), F.lit(3 + more)), lambda i: (F.conv(F.substring(h, 8 * (i % 16) + 1, F.lit(8)), 16, 10).cast("long") % 254 + 1).cast("string"))
+    six = F.array_join(F.transform(chars(c), lambda ch, i: F.when(ch == ":", ch).otherwise(F.substring(h, i % 128 + 1, F.lit(1)))), "")
+    six = F.concat(six, F.substring(h, 100, more)) if more else six
     bank = F.upper(shaped(F.substring(c, F.lit(5), F.length(c))))
     iban = F.concat(F.substring(c, 1, 2), F.lpad((98 - mod97(F.concat(F.substring(c, 1, 2), F.lit("00"), bank))).cast("string"), 2, "0"), bank)
     top = F.substring_index(c, ".", -1)
@@ -165,7 +177,7 @@ def proposal(round_: int) -> Column:
     for script, (latin, own) in SCRIPTS.items():
         name = F.when(F.col("scope") == script, F.translate(F.concat(stem, ending), latin, own)).otherwise(name)
     return cases(
-        [(k == "email", shaped(F.substring_index(c, "@", 1))), (k == "domain", domain), (k == "phone", phone), (k == "card", card), (k == "ssn", draw(F.lit(9 + more))), (k == "ip", F.array_join(octets, ".")), (k == "iban", iban)],
+        [(k == "email", shaped(F.substring_index(c, "@", 1))), (k == "domain", domain), (k == "phone", phone), (k == "card", card), (k == "ssn", draw(F.lit(9 + more))), ((k == "ip") & F.contains(c, F.lit(":")), six), (k == "ip", F.array_join(octets, ".")), (k == "iban", iban)],
         name,
     )
 
@@ -197,7 +209,7 @@ def rendered() -> Column:
 # Surrogates -----------------------------------------------------------------------------------------------------------------
 
 
-def surrogates(values: DataFrame, folder: str, secret: str = SECRET) -> DataFrame:
+def surrogates(values: DataFrame, folder: str, secret: str) -> DataFrame:
     """values: k, g, scope, c. Gives each distinct one its s, distinct within g and scope, after as many rounds as collisions need."""
     spark = values.sparkSession
     same, place = ["k", "g", "scope", "c"], ["g", "scope", "s"]
@@ -222,13 +234,16 @@ def surrogates(values: DataFrame, folder: str, secret: str = SECRET) -> DataFram
         k += 1
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secret: str = SECRET) -> DataFrame:
+def pseudonymise(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text rewritten, and n_email, n_iban, ... and n_entities: mentions by kind and in all."""
+    if not secret:
+        raise ValueError("surrogates need a secret")
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     counts = [f"n_{k}" for k in KINDS]
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in (*counts, "n_entities")]
-    with_any = F.coalesce(F.col(f"`{text_col}`").rlike(PATTERN), F.lit(False))
-    text, kinds = F.col(f"`{text_col}`"), F.transform("_pi_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    text = F.col(f"`{text_col}`")
+    with_any = F.coalesce(F.when(F.contains(text, F.lit("@")), text.rlike(PATTERN)).otherwise(text.rlike(OTHERS)), F.lit(False))
+    kinds = F.transform("_pi_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     found = (
         docs.filter(with_any)
         .select(*columns, F.xxhash64(f"`{id_col}`", text).alias("_pi_a"), F.xxhash64(text, F.lit(1), f"`{id_col}`").alias("_pi_b"))
@@ -245,13 +260,21 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     new = units.filter("k IS NOT NULL").join(mapping, ["k", "scope", "c"]).select(*key, "pos", "g", "f", rendered().alias("r"))
     new = new.unionByName(units.filter("k IS NULL").select(*key, "pos", "g", "f", F.lit("").alias("r")))
     by_text = new.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "r"))).alias("_pi_r"), F.sort_array(F.collect_set(F.when(F.col("g") == "name", F.struct((-F.length("f")).alias("n"), "f", "r")))).alias("_pi_names"))
-    joined = F.zip_with("_pi_u", "_pi_r", lambda u, r: F.concat(u["pre"], r["r"]))
-    elsewhere = lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})\Q"), x["f"], F.lit(r"\E(?!\p{L})")), x["r"])
-    new_text = F.aggregate("_pi_names", F.concat(F.array_join(joined, ""), F.col("_pi_tail")), elsewhere)
+    # Names are replaced in the source's text between the mentions; what a mention became is not looked at again.
+    between = F.array_join(F.concat(F.transform("_pi_u", lambda u: u["pre"]), F.array("_pi_tail")), "\n")
+    alone = lambda w: F.concat(F.lit(r"(?<!\p{L})\Q"), w, F.lit(r"\E(?!\p{L})"))
+    common = lambda x: (F.lower(x["f"]) != x["f"]) & F.regexp("_pi_between", alone(F.lower(x["f"])))
+    elsewhere = lambda t, x: F.regexp_replace(t, alone(x["f"]), x["r"])
+    names = lambda t: F.aggregate("_pi_names", t, elsewhere)
+    # A mention's title is part of what stands before its first word: it is no name.
+    joined = F.zip_with("_pi_u", "_pi_r", lambda u, r: F.concat(names(u["pre"]), r["r"]))
+    new_text = F.concat(F.array_join(joined, ""), names(F.col("_pi_tail")))
     count = lambda k: F.size(F.filter("_pi_u", lambda u: u["kind"] == k)).cast("long")
     total = reduce(lambda a, b: a + b, [F.col(c) for c in counts])
     changed = (
         found.join(by_text, key)
+        .withColumn("_pi_between", F.when(F.size("_pi_names") > 0, between))
+        .withColumn("_pi_names", F.filter("_pi_names", lambda x: ~common(x)))
         .withColumn(text_col, new_text)
         .withColumns({f"n_{k}": count(k) for k in KINDS})
         .select(*columns, *counts, total.alias("n_entities"))
@@ -261,5 +284,6 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = pseudonymise(docs, spark.conf.get(SETTING, None) or PUBLISHED)
     return out.select("doc_id", "n_entities", *[f"n_{k}" for k in KINDS], "text")
