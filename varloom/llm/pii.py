@@ -47,7 +47,7 @@ PATTERNS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "phone": r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
     r"|(?<![\w)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])(?:1[ .-])?(?:\d{3}[.-]\d{3}[.-]\d{4}|\d{3} \d{3} \d{4})(?![\w-])|(?<![\w.-])1[ .-]\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])"
-    r"|(?<=(?i:tel|phone|telefon|telephone|teléfono|téléphone|fax|mobile|mobil|handy)[.:]{0,2} )0\d{1,4}[ /-]\d{4,9}(?![\w-])",
+    r"|(?=0)(?<=(?i:tel|phone|telefon|telephone|teléfono|téléphone|fax|mobile|mobil|handy)[.:]{0,2} )0\d{1,4}[ /-]\d{4,9}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": rf"(?<![\w.]){_octet}(?:\.{_octet}){{3}}(?!\w|\.\d)|(?<![\w:.])(?:(?:{_hex}:){{7}}{_hex}|(?:{_hex}:){{2,6}}(?::{_hex}){{1,5}})(?![\w:])",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
@@ -55,7 +55,7 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 #: All but addresses begin with one of few characters, and an address has an @: a text without one needs no look at every word.
-OTHERS = r"(?=[\p{Lu}\d(+гκa-f])(?:" + "|".join(v for k, v in PATTERNS.items() if k != "email") + ")"
+OTHERS = r"(?=[\p{Lu}\d(+гκ]|[a-f][0-9A-Fa-f]{0,3}:)(?:" + "|".join(v for k, v in PATTERNS.items() if k != "email") + ")"
 PATTERN = PATTERNS["email"] + "|" + OTHERS
 #: Country calling codes of one and two digits; all others have three.
 CALLING = r"1|7|2[07]|3[0123469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
