@@ -47,6 +47,24 @@ class BootstrapResult:
         return percentile_interval(self.replicates, level)
 
 
+#: Rows of counts in one matrix product: always as many, so that a replicate is rounded alike whatever block it was drawn in.
+TILE = 64
+
+
+def products(counts: np.ndarray, prep: np.ndarray, first: int) -> np.ndarray:
+    """counts @ prep, replicate first + k at place (first + k) % TILE of its product."""
+    out = np.empty((len(counts), prep.shape[1]))
+    tile, at = np.zeros((TILE, counts.shape[1])), 0
+    while at < len(counts):
+        place = (first + at) % TILE
+        n = min(TILE - place, len(counts) - at)
+        tile[:] = 0.0
+        tile[place : place + n] = counts[at : at + n]
+        out[at : at + n] = (tile @ prep)[place : place + n]
+        at += n
+    return out
+
+
 def bootstrap(T, x: np.ndarray, b: int, seed: int = 0, spark: SparkSession | None = None, block: int = 64) -> BootstrapResult:
     n = len(x)
     rng = np.random.default_rng(seed)
@@ -57,7 +75,7 @@ def bootstrap(T, x: np.ndarray, b: int, seed: int = 0, spark: SparkSession | Non
     for at in range(0, b, block):
         counts = rng.multinomial(n, p, size=min(block, b - at))
         if isinstance(T, Algebraic):
-            out[at : at + len(counts)] = T.of_sums(counts @ prep)
+            out[at : at + len(counts)] = T.of_sums(products(counts, prep, at))
         elif spark is None:
             out[at : at + len(counts)] = [call(T, x, w.astype(float), theta, eta, prep) for w in counts]
         else:
