@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from varloom.operators.ordering import ranked
+
 
 def zador(r: int) -> float:
     return 2.0 * math.gamma(r / 2 + 1) ** (2 / r) * ((r + 2) / r) ** ((r + 2) / 2) / (r * (r + 2))
@@ -158,9 +160,8 @@ def boundary_edges(nearest: DataFrame) -> DataFrame:
 
 
 def relabelled(df: DataFrame, label: str, out: str) -> DataFrame:
-    """Labels renumbered from 0 without gaps: the ranks are made over the distinct labels only."""
-    ranks = df.select(label).distinct().withColumn(out, F.row_number().over(W.orderBy(label)) - 1)
-    return df.join(ranks, label)
+    """Labels renumbered from 0 without gaps: the ranks are made over the distinct labels only, in buckets."""
+    return df.join(ranked(df.select(label).distinct(), label, out), label)
 
 
 def within_variance(df: DataFrame, leaf: str, values: Sequence[str], n: Column | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ sums on the map side, and nothing but sums leaves a task.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -112,11 +112,27 @@ def poisson_weight(key: Column | str, replicate: Column, seed: int = 0) -> Colum
     return out
 
 
+#: Replicates summed side by side in a row's pass.
+BESIDE = 25
+
+
+def replicated(T: Algebraic, df: DataFrame, x: Sequence[str], weight: Callable[[Column], Column], b: int, by: Sequence[str] = ()) -> DataFrame:
+    """b and the outputs of b replicates, for each group. weight: a row's weight in a replicate. A row is taken once for each BESIDE
+    replicates, whose sums stand side by side; what is shuffled is one row of sums for each task, group and set of them."""
+    sets = df.withColumn("_set", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // BESIDE))))
+    number = [F.col("_set") * BESIDE + j for j in range(min(b, BESIDE))]
+    weights = sets.withColumns({f"_w{j}": F.when(n < b, weight(n)).cast("double") for j, n in enumerate(number)})
+    f = T.columns(x)
+    sums = [F.sum(F.col(f"_w{j}") * c).alias(f"_r{j}_{i}") for j in range(len(number)) for i, c in enumerate(f)]
+    rows = weights.groupBy(*by, "_set").agg(F.count("*").alias("_n"), *sums)
+    each = F.array(*[F.struct(n.cast("int").alias("b"), *[F.col(f"_r{j}_{i}").alias(f"_s{i}") for i in range(len(f))]) for j, n in enumerate(number)])
+    rows = rows.select(*by, "_n", F.explode(each).alias("_e")).select(*by, "_n", "_e.*").filter(F.col("b") < b)
+    return T.solved(rows, [*by, "b"])
+
+
 def poisson_bootstrap(T: Algebraic, df: DataFrame, x: Sequence[str], key: str, b: int, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """b and the outputs of b replicates, for each group. Rows are multiplied and summed within one pipelined stage: what is shuffled is
-    one row of sums for each task, group and replicate."""
-    replicates = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    return T.by(replicates.withColumn("_w", poisson_weight(key, F.col("b"), seed).cast("double")), x, [*by, "b"], "_w")
+    """b and the outputs of b replicates, for each group, with weights that key and replicate determine."""
+    return replicated(T, df, x, lambda n: poisson_weight(key, n, seed), b, by)
 
 
 def counted_bootstrap(T: Algebraic, df: DataFrame, x: Sequence[str], counts: DataFrame, key: str) -> DataFrame:

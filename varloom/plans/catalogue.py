@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import expressions as fx
 from varloom.functions.numerics import norm_ppf, wchi2_cdf, wchi2_quantile
-from varloom.operators import evaluate, intervals, mixture, qij, quantize, resample
+from varloom.operators import evaluate, intervals, mixture, ordering, qij, quantize, resample
 from varloom.operators import statistics as st
 from varloom.sources import draws, products
 
@@ -224,7 +224,9 @@ CELLS = f"(SELECT *, CAST(floor(o_totalprice / 50000.0) AS INTEGER) AS cell FROM
 
 @query(f"SELECT cell, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(median(o_totalprice), 4) AS middle, round(var_pop(psi_alpha), 9) AS var_psi FROM {CELLS} GROUP BY cell")
 def cell_stats(spark, sf_dir):
-    return rounded(cells(spark, sf_dir).groupBy("cell").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.percentile("o_totalprice", F.lit(0.5)).alias("middle"), F.var_pop("psi_alpha").alias("var_psi")), 9, total=2, middle=4)
+    df = cells(spark, sf_dir)
+    sums = df.groupBy("cell").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.var_pop("psi_alpha").alias("var_psi"))
+    return rounded(sums.join(ordering.exact_quantile(df, "o_totalprice", 0.5, ["cell"], "middle"), "cell"), 9, total=2, middle=4)
 
 
 @query(f'SELECT cell, count(*) AS n, round(avg(psi_alpha), 9) AS alpha, round(avg(psi_tail), 9) AS "P_tail" FROM {CELLS} GROUP BY cell')
@@ -346,9 +348,8 @@ B = 40
 
 def replicates(spark, sf_dir) -> DataFrame:
     """b and alpha under whole-number weights 0, 1, 2 that key and replicate fix."""
-    df = prices(spark, sf_dir).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    df = df.withColumn("_w", (lcg(F.col("o_orderkey") + F.col("b") * 7919, 12345) % 3).cast("double"))
-    return st.pareto_shape(PRICE_MIN).by(df, ["o_totalprice"], ["b"], "_w")
+    weight = lambda b: lcg(F.col("o_orderkey") + b * 7919, 12345) % 3
+    return resample.replicated(st.pareto_shape(PRICE_MIN), prices(spark, sf_dir), ["o_totalprice"], weight, B)
 
 
 REPLICATES = f"(SELECT b, sum(w) / sum(w * ln(o_totalprice / 1000.0)) AS alpha FROM (SELECT b, o_totalprice, ((o_orderkey + b * 7919) * 1103515245 + 12345) % 2147483647 % 3 AS w FROM orders, range({B}) t(b)) GROUP BY b)"
@@ -417,7 +418,7 @@ def abc_endpoints(spark, sf_dir):
 def trimmed_ls_step(spark, sf_dir):
     """A least-squares step on the two fifths of the lines of smallest residual: the cut is an exact percentile, not a global sort."""
     df = table(spark, sf_dir, "lineitem", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")).withColumn("e", F.abs(F.col("y") - 1500.0 * F.col("x")))
-    cut = df.agg(F.percentile("e", F.lit(0.4)).alias("_c"))
+    cut = ordering.exact_quantile(df, "e", 0.4, (), "_c")
     kept = df.join(F.broadcast(cut)).filter("e <= _c")
     slope = F.covar_pop("x", "y") / F.var_pop("x")
     return rounded(kept.agg(F.count("*").alias("n"), slope.alias("slope"), (F.avg("y") - slope * F.avg("x")).alias("level")), 6, level=4)

@@ -18,9 +18,10 @@ from collections.abc import Iterable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from varloom.operators.ordering import islands
+
 LEVEL = 0.84
 
 
@@ -155,10 +156,8 @@ def pending(spark: SparkSession, folder: str, draws: Iterable[int], force: bool
 
 
 def draw_ranges(df: DataFrame, s: str = "s", by: Sequence[str] = ()) -> DataFrame:
-    """Gaps and islands: first, last and n of each run of consecutive integers."""
-    order = W.partitionBy(*by).orderBy(s)
-    islands = df.select(*by, s).distinct().withColumn("_island", F.col(s) - F.row_number().over(order))
-    return islands.groupBy(*by, "_island").agg(F.min(s).alias("first"), F.max(s).alias("last"), F.count("*").alias("n")).drop("_island")
+    """first, last and n of each run of consecutive integers."""
+    return islands(df, s, by)
 
 
 def ranges_text(df: DataFrame) -> str:
