@@ -177,9 +177,21 @@ def fp_moments(spark, sf_dir):
     return rounded(out, 6, m0=7, m1=7, m2=7)
 
 
-@query()
+#: The least eigenvalue of a symmetric 3 x 3 matrix by its trigonometric formula, its vector as a cross product of two rows of S - l.
+PLANE_SQL = """
+WITH m AS (SELECT avg(x) AS m0, avg(y) AS m1, avg(z) AS m2, var_pop(x) AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS c, var_pop(y) AS d, covar_pop(y, z) AS e, var_pop(z) AS f
+  FROM (SELECT l_quantity AS x, l_extendedprice / 1000.0 AS y, l_discount AS z FROM lineitem)
+), t AS (SELECT *, (a + d + f) / 3 AS q, sqrt(((a - (a + d + f) / 3) ** 2 + (d - (a + d + f) / 3) ** 2 + (f - (a + d + f) / 3) ** 2 + 2 * (b * b + c * c + e * e)) / 6) AS p FROM m
+), r AS (SELECT *, ((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)) / (2 * p * p * p) AS h FROM t
+), l AS (SELECT *, q + 2 * p * cos(acos(greatest(-1.0, least(1.0, h))) / 3 + 2 * pi() / 3) AS v FROM r
+), n AS (SELECT *, b * e - c * (d - v) AS n0, c * b - (a - v) * e AS n1, (a - v) * (d - v) - b * b AS n2 FROM l)
+SELECT round(-n0 / n2, 6) AS a, round(-n1 / n2, 6) AS b, round((n0 * m0 + n1 * m1 + n2 * m2) / n2 / sqrt((n0 / n2) ** 2 + (n1 / n2) ** 2 + 1), 6) AS c, round(sqrt(v), 6) AS scatter FROM n
+"""
+
+
+@query(PLANE_SQL)
 def fp_plane(spark, sf_dir):
-    return rounded(st.fundamental_plane().by(plane(spark, sf_dir), PLANE))
+    return rounded(st.fundamental_plane().by(plane(spark, sf_dir), PLANE), 6)
 
 
 @query("SELECT count(*) AS n, round(sum(low), 6) AS s1, round(sum(low * u), 6) AS s2, round(sum(low * u * u), 6) AS s3, round(sum(1 - low), 6) AS s4, round(sum((1 - low) * u), 6) AS s5 FROM (SELECT CASE WHEN value <= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS low, log10(value) AS u FROM events)")
@@ -424,6 +436,24 @@ def trimmed_ls_step(spark, sf_dir):
     return rounded(kept.agg(F.count("*").alias("n"), slope.alias("slope"), (F.avg("y") - slope * F.avg("x")).alias("level")), 6, level=4)
 
 
+TRIM_STEPS = 5
+TRIMMED = "SELECT 1500.0::DOUBLE AS slope, 0.0::DOUBLE AS level"
+for _ in range(TRIM_STEPS):
+    TRIMMED = f"SELECT covar_pop(x, y) / var_pop(x) AS slope, avg(y) - covar_pop(x, y) / var_pop(x) * avg(x) AS level FROM (SELECT x, y, e, quantile_cont(e, 0.4) OVER () AS cut FROM (SELECT l_quantity AS x, l_extendedprice AS y, abs(l_extendedprice - slope * l_quantity - level) AS e FROM lineitem, ({TRIMMED}))) WHERE e <= cut"
+
+
+@query(f"SELECT round(slope, 6) AS slope, round(level, 4) AS level FROM ({TRIMMED})")
+def trimmed_ls_fit(spark, sf_dir):
+    """The trimmed line: five steps, each on the two fifths of the lines nearest to the line before."""
+    df = table(spark, sf_dir, "lineitem", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    slope, level = 1500.0, 0.0
+    for _ in range(TRIM_STEPS):
+        near = df.withColumn("e", F.abs(F.col("y") - F.lit(slope) * F.col("x") - F.lit(level)))
+        kept = near.join(F.broadcast(ordering.exact_quantile(near, "e", 0.4, (), "_c"))).filter("e <= _c")
+        slope, level = (float(v) for v in kept.agg(F.covar_pop("x", "y") / F.var_pop("x"), F.avg("y") - F.covar_pop("x", "y") / F.var_pop("x") * F.avg("x")).first())
+    return rounded(spark.createDataFrame([(slope, level)], "slope double, level double"), 6, level=4)
+
+
 OM = repr(fx.OMEGA)
 
 
@@ -436,6 +466,23 @@ def wls_sin_basis(spark, sf_dir):
     return rounded(df.agg(*sums), 4)
 
 
+def _cramer(m, y):
+    """The solution of a 3 x 3 system of Columns by determinants."""
+    minor = lambda a, i, j, p, q: (a[i][p] * a[j][q] - a[i][q] * a[j][p])
+    det = lambda a: a[0][0] * minor(a, 1, 2, 1, 2) - a[0][1] * minor(a, 1, 2, 0, 2) + a[0][2] * minor(a, 1, 2, 0, 1)
+    return [det([[y[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]) / det(m) for k in range(3)]
+
+
+@query(f"WITH s AS (SELECT sum(w) AS b00, sum(w * s) AS b01, sum(w * c) AS b02, sum(w * s * s) AS b11, sum(w * s * c) AS b12, sum(w * c * c) AS b22, sum(w * y) AS y0, sum(w * s * y) AS y1, sum(w * c * y) AS y2 FROM (SELECT l_quantity AS w, sin({OM} * l_discount * 100) AS s, cos({OM} * l_discount * 100) AS c, l_tax AS y FROM lineitem)), d AS (SELECT *, b00 * (b11 * b22 - b12 * b12) - b01 * (b01 * b22 - b12 * b02) + b02 * (b01 * b12 - b11 * b02) AS det FROM s) SELECT round((y0 * (b11 * b22 - b12 * b12) - b01 * (y1 * b22 - b12 * y2) + b02 * (y1 * b12 - b11 * y2)) / det, 8) AS c0, round((b00 * (y1 * b22 - b12 * y2) - y0 * (b01 * b22 - b12 * b02) + b02 * (b01 * y2 - y1 * b02)) / det, 8) AS c1, round((b00 * (b11 * y2 - y1 * b12) - b01 * (b01 * y2 - y1 * b02) + y0 * (b01 * b12 - b11 * b02)) / det, 8) AS c2 FROM d")
+def wls_sin_fit(spark, sf_dir):
+    """Weighted least squares on (1, sin, cos): nine sums in one pass, solved in the same plan."""
+    df = table(spark, sf_dir, "lineitem", F.col("l_quantity").alias("w"), F.col("l_tax").alias("y"), fx.sheared_basis(F.col("l_discount") * 100).alias("p"))
+    p = [F.col("p")[i] for i in range(3)]
+    sums = df.agg(*[F.sum(F.col("w") * p[i] * p[j]).alias(f"b{i}{j}") for i in range(3) for j in range(i, 3)], *[F.sum(F.col("w") * p[i] * F.col("y")).alias(f"y{i}") for i in range(3)])
+    m = [[F.col(f"b{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
+    return rounded(sums.select(*[c.alias(f"c{k}") for k, c in enumerate(_cramer(m, [F.col(f"y{i}") for i in range(3)]))]), 8)
+
+
 #: A mixture of two round Gaussians over (log value, sine of the key): weight, centre, variance.
 TWO = ((0.6, 3.0, 0.0, 1.2), (0.4, 5.0, 0.2, 0.8))
 
@@ -507,15 +554,26 @@ def resampled_pool(spark, sf_dir):
     return draws.resample(pool, 5000, 7).groupBy().agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-@query()
+_CORE = "('{0}', '{1}', 0, 'x', {2}), ('{0}', '{1}', 1, 'y', {3}), ('{0}', '{1}', 2, 'log_reff', ln(0.05 * 0.025) / 2), ('{0}', '{1}', 3, 'log_axis_ratio', ln(0.025 / 0.05) * 2), ('{0}', '{1}', 4, 'pa', {4}), ('{0}', '{1}', 5, 'logit_w', ln({5} / (1 - {5}))), ('{0}', '{1}', 6, 'log_contrast', {6})"
+
+
+@query(
+    "SELECT dataset, estimator, CAST(k AS INTEGER) AS k, output, round(CAST(truth AS DOUBLE), 5) AS truth FROM (VALUES ('pareto', 'shape', 0, 'alpha', 2), ('pareto', 'tail', 0, 'P_tail', 0.01), ('pareto', 'all', 0, 'alpha', 2), ('pareto', 'all', 1, 'P_tail', 0.01), "
+    "('mvt', 'nu', 0, 'nu', 5), ('mvt', 'tail', 0, 'P_tail', 0.01), ('mvt', 'all', 0, 'nu', 5), ('mvt', 'all', 1, 'P_tail', 0.01), ('fp', 'fp', 0, 'a', 0.44305), ('fp', 'fp', 1, 'b', -1.04084), ('fp', 'fp', 2, 'c', 0), ('fp', 'fp', 3, 'scatter', 0.26472), "
+    "('imf', 'Chabrier', 0, 'm_c', 0.22088), ('imf', 'Chabrier', 1, 'sigma', 0.43360), ('imf', 'Chabrier', 2, 'x', 1.02125), "
+    + ", ".join(_CORE.format(*v) for v in (("cloudfil", "p1", 0, 0, "pi() / 9", 0.02, 2.243777), ("cloudfil", "p2", 1.32, 0.55, "pi() * 13 / 18", 0.01, 1.180186), ("cloudfil_u", "p1", 0, 0, "pi() / 9", 0.02, 1.375416), ("cloudfil_u", "p2", 1.32, 0.55, "pi() * 13 / 18", 0.01, 1.219408)))
+    + ") v(dataset, estimator, k, output, truth)"
+)
 def case_catalogue(spark, sf_dir):
-    return draws.catalogue(spark)
+    """The cases with the true value of each output; the mixture of nine, whose outputs are its population's own parameters, apart."""
+    rows = [(*c, k, o, float(v)) for c in draws.CASES if c[0] != "mix11" for k, (o, v) in enumerate(draws.truth(*c).items())]
+    return rounded(spark.createDataFrame(rows, "dataset string, estimator string, k int, output string, truth double"), 5)
 
 
 # Quantization, limits and methods ---------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT r, eps, CAST(round(3 * pow(2 * pow(gamma(r / 2.0 + 1), 2.0 / r) * pow((r + 2.0) / r, (r + 2) / 2.0) / (r * (r + 2.0)) / eps, r / 2.0)) AS INTEGER) AS cells FROM (VALUES (1), (2), (3), (4)) a(r), (VALUES (0.005::DOUBLE), (0.01::DOUBLE), (0.02::DOUBLE)) b(eps)")
 def pilot_budget(spark, sf_dir):
     return spark.createDataFrame([(r, e, quantize.pilot_budget(e, r, r)) for r in (1, 2, 3, 4) for e in (0.005, 0.01, 0.02)], "r int, eps double, cells int")
 
@@ -541,13 +599,26 @@ def two_means_leaf(spark, sf_dir):
     return cells(spark, sf_dir).select("cell", "o_orderkey", "psi_alpha", "psi_P_tail").groupBy("cell").applyInPandas(cut, "cell int, na long, nb long")
 
 
-@query()
+WCHI2 = ((1, 1.0, 1.0), (2, 5.0, 1.0), (3, 2.0, 0.5), (4, 20.0, 1.0))
+
+
+@query(f"""
+WITH RECURSIVE angles AS (SELECT cos(pi() * (i + 0.5) / 2000) ** 2 AS c FROM range(2000) t(i)
+), bisect AS (
+  SELECT id, a, b, 0 AS step, 0.0::DOUBLE AS low, 4.0::DOUBLE AS high FROM (VALUES {", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, a, b in WCHI2)}) v(id, a, b)
+  UNION ALL
+  SELECT id, a, b, step + 1, CASE WHEN p < 0.16 THEN mid ELSE low END, CASE WHEN p < 0.16 THEN high ELSE mid END
+  FROM (SELECT id, any_value(a) AS a, any_value(b) AS b, any_value(step) AS step, any_value(low) AS low, any_value(high) AS high, any_value((low + high) / 2) AS mid,
+    avg(1 - exp(-(low + high) / 2 * (a + b) / (2 * (a * c + b * (1 - c))))) AS p FROM bisect, angles WHERE step < 50 GROUP BY id)
+)
+SELECT id, round(low, 8) AS quantile, 0.16::DOUBLE AS cdf FROM bisect WHERE step = 50""")
 def wchi2_limit(spark, sf_dir):
+    """Quantiles of weighted sums of two chi-squares, in units of the weights' sum; their law is a mean of exponentials over the angles."""
     rows = []
-    for k, w in enumerate(([1.0], [1.0] * 7, [5.0, 1.0], [1.0, 0.5, 0.25, 0.1])):
+    for k, *w in WCHI2:
         q = wchi2_quantile(w, 0.16)
         rows.append((k, float(q), float(wchi2_cdf(w, q))))
-    return spark.createDataFrame(rows, "id int, quantile double, cdf double")
+    return rounded(spark.createDataFrame(rows, "id int, quantile double, cdf double"), 8)
 
 
 def certified(spark, T, x, **options) -> DataFrame:
