@@ -17,6 +17,7 @@ the script's band; repeated rows are judged one by one; whole texts are measured
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: Words whose tokens a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: Bands: least and most word characters a token of the first vocabulary, most fallback share, least relative entropy, least min-entropy
 #: in bits, least word characters a token of the second vocabulary. They are wide: outside lies what no prose of the language shows.
@@ -83,7 +84,8 @@ class Fertility:
                         piece.decode()
                     except UnicodeDecodeError:
                         self.partial[n] = True
-        self.at: dict[int, tuple[list[int], list[int]]] = {}
+        #: By a word's hash: the other vocabularies' numbers of tokens, then the first one's tokens, as 32-bit numbers.
+        self.at: dict[int, bytes] = {}
 
     def tokens(self, hashes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of distinct words: the first vocabulary's tokens, end to end, each word's number of them, and of the other vocabularies'
@@ -95,11 +97,15 @@ class Fertility:
             got = at.get(h)
             if got is None:
                 text = " " + word(k).decode("utf-8", "replace")
-                got = at[h] = (self.encodings[0].encode_ordinary(text), [len(e.encode_ordinary(text)) for e in self.encodings[1:]])
+                got = at[h] = array("I", [*(len(e.encode_ordinary(text)) for e in self.encodings[1:]), *self.encodings[0].encode_ordinary(text)]).tobytes()
             out.append(got)
-        sizes = np.fromiter((len(t) for t, _ in out), dtype=np.int64, count=len(out))
-        flat = np.fromiter((x for t, _ in out for x in t), dtype=np.int64, count=int(sizes.sum()))
-        return flat, sizes, [np.fromiter((n[k] for _, n in out), dtype=np.int64, count=len(out)) for k in range(len(self.encodings) - 1)]
+        others = len(self.encodings) - 1
+        sizes = np.fromiter(map(len, out), dtype=np.int64, count=len(out)) // 4
+        flat, start = np.frombuffer(b"".join(out), dtype=np.uint32).astype(np.int64), np.cumsum(sizes) - sizes
+        first = np.ones(len(flat), dtype=bool)
+        for k in range(others):
+            first[start + k] = False
+        return flat[first], sizes - others, [flat[start + k] for k in range(others)]
 
 
 def dup_lines(text: str) -> int:
