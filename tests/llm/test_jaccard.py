@@ -60,9 +60,10 @@ def corpus(seed, n=60, copies=40):
     return rows
 
 
-@pytest.mark.parametrize("seed,k,percent,chunk", [(0, 4, 85, 512), (1, 5, 80, 512), (2, 4, 85, 8), (3, 3, 70, 6)])
-def test_join(spark, monkeypatch, seed, k, percent, chunk):
+@pytest.mark.parametrize("seed,k,percent,chunk,most", [(0, 4, 85, 512, 16), (2, 4, 85, 8, 16), (3, 3, 70, 6, 0), (4, 5, 80, 6, 1)])
+def test_join(spark, monkeypatch, seed, k, percent, chunk, most):
     monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard_join, "DEALT", most)
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n int")
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link(df, k, percent).collect())
@@ -107,12 +108,13 @@ def test_two_keys_that_link_share(spark):
     assert met > 100
 
 
-def test_one_frequent_shingle_makes_no_pairs(spark, tmp_path):
+def test_one_frequent_shingle_makes_no_pairs(spark, monkeypatch):
     """Texts with nothing but one shingle in common, many more than a chunk: no block of the second round holds them."""
     rng = random.Random(1)
     texts = ["all these share " + " ".join(str(rng.randrange(10**9)) for _ in range(12)) for _ in range(1500)]
     rows = [(d, "lead in words " + t if d % 2 else t) for d, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "DEALT", 1)
     assert jaccard_join.link(df, 3, 80).filter("component_id != doc_id").count() == 0
 
 

@@ -14,9 +14,10 @@ member, only its most promising earlier partner; tested links give components. T
 that were left out, where their blocks still span several components, skips node pairs within one component, and keeps the members
 that may link to another one. With the texts of
 these a block's remaining pairs are tested where they are, none of them emitted: only links that join components leave the task.
-Chunks of one block meet in the second round too: the members outside its largest component against all, where they share a second
-shingle of their prefixes one longer, which two sets that link must (2-prefix filter). So members that have nothing but one shingle
-in common don't meet, and no link between components is lost, at any block size.
+Chunks of one block meet in the second round too: the members outside its largest component against all. Where these are more than DEALT
+chunks, they meet only if they share a second shingle of their prefixes one longer, which two sets that link must (2-prefix filter): so
+members that have nothing but one frequent shingle in common don't meet, and a member's rows don't grow with its block. No link between
+components is lost, at any block size.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing, not even its like; a text of
 fewer than k words has one shingle, the whole sequence; rows with one doc_id are one document, whose texts' classes are linked with
@@ -42,6 +43,8 @@ from varloom.llm.wordhash import mixed, shingles
 SKETCH_BITS, PIECES = 20, 64
 #: Members of a block that one tree holds; fanout of the tree's nodes.
 CHUNK, FANOUT = 512, 16
+#: Chunks of members outside a block's largest component up to which all others meet each of them.
+DEALT = 16
 
 
 def raw(text) -> bytes:
@@ -399,7 +402,7 @@ def tested(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
     left = texts.select(F.col("d").alias("a"), F.col("t").alias("ta"))
     right = texts.select(F.col("d").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
 #: What tells a row from others: two hashes of its id and text. What tells a class from others: its set's size and two sums of hashes.
@@ -481,12 +484,13 @@ def linked_classes(narrow: DataFrame, reps: DataFrame, folder: str, k: int, perc
     # Blocks: two members straight from the key's sums; more by a join with the keys that have them.
     chunks = F.ceil(F.col("c") / CHUNK).cast("int")
     chunk = F.pmod(F.xxhash64("d"), F.col("chunks").cast("long")).cast("int")
-    more = posts.select("key", "d").join(shared.filter("c > 2").select("key", "c", "lo", chunks.alias("chunks")), "key")
-    big = more.filter("chunks > 1")
+    more = posts.select("key", "d").join(shared.filter("c > 2").select("key", "c", "lo", chunks.alias("chunks")).hint("merge"), "key")
+    big = posts.select("key", "d").join(shared.filter(F.col("c") > CHUNK).select("key"), "key")
     lists = more.groupBy("key", chunk.alias("chunk")).agg(F.array_sort(F.array_union(F.collect_set("d"), F.array(F.min("lo")))).alias("m"))
     lists = lists.select("m").unionByName(shared.filter("c = 2").select(F.array("lo", "hi").alias("m"))).filter("size(m) > 1").dropDuplicates(["m"])
     lists = written(lists.select(F.xxhash64("m").alias("bid"), "m"), f"{folder}/blocks")
-    members, maps = lists.select("bid", F.explode("m").alias("d")), reps.select("d", "n", "map")
+    # Postings, maps and texts are met by merge joins at every size, so that a small run's plan is the one of a large run.
+    members, maps = lists.select("bid", F.explode("m").alias("d")), reps.select("d", "n", "map").hint("merge")
     release(spark)
 
     def texts_of(ids: DataFrame, name: str) -> DataFrame:
@@ -515,7 +519,7 @@ def linked_classes(narrow: DataFrame, reps: DataFrame, folder: str, k: int, perc
     open_members = written(undecided(rest.join(maps, "d"), percent), f"{folder}/undecided")
     release(spark)
     texts = texts_of(open_members.select("d"), "2")
-    more_links = written(links_between(open_members.join(texts, "d"), k, percent), f"{folder}/links-2")
+    more_links = written(links_between(open_members.join(texts.hint("merge"), "d"), k, percent), f"{folder}/links-2")
     delete(spark, f"{folder}/texts-2")
     release(spark)
     if not more_links.isEmpty():
@@ -531,24 +535,36 @@ def outsiders(inside: DataFrame, by: list[str]) -> DataFrame:
     return inside.join(largest, by).withColumn("out", F.col("comp") != F.col("main")).drop("main")
 
 
-def across(big: DataFrame, reps: DataFrame, folder: str) -> DataFrame:
-    """The second round's blocks (bid, d, comp) of blocks (key, d, comp) beyond one chunk: the members outside the largest component
-    against all that share a second key with them. These are blocks of their own, and so is each dealt into chunks if it is beyond one:
-    its outsiders, by chunks, against all, by chunks."""
-    first = outsiders(big, ["key"])
-    keyed = first.join(reps.select("d", F.col("keys").alias("second")), "d").select("key", "d", "comp", "out", F.explode("second").alias("key2")).filter("key != key2")
-    keyed = written(keyed.groupBy("d", "comp", F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("key2")).agg(F.max("out").alias("out")), f"{folder}/second-keys")
-    met = keyed.groupBy("key", "key2").agg(F.count("*").alias("c"), F.max("out").alias("out")).filter("c > 1 AND out").select("key", "key2")
-    marked = outsiders(keyed.drop("out").join(met, ["key", "key2"]), ["key", "key2"])
-    sizes = marked.groupBy("key", "key2").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.ceil(F.sum(F.col("out").cast("int")) / CHUNK).cast("int").alias("others"))
-    marked, hashed = marked.join(sizes, ["key", "key2"]), F.xxhash64("d")
+def dealt(marked: DataFrame, by: list[str], most: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Blocks (bid, d, comp) of marked (by, d, comp, out): a block within a chunk as it is, else its outsiders, by chunks, against all, by
+    chunks. And the rows of the blocks that have more than most chunks of outsiders."""
+    sizes = marked.groupBy(*by).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.ceil(F.sum(F.col("out").cast("int")) / CHUNK).cast("int").alias("others"))
+    marked, hashed = marked.join(sizes, by), F.xxhash64("d")
+    left = None
+    if most is not None:
+        left, marked = marked.filter(F.col("others") > most), marked.filter(F.col("others") <= most)
     deal = lambda x: F.pmod(hashed, F.col(x).cast("long")).cast("int")
-    name = F.xxhash64("key", "key2", "i", "j").alias("bid")
-    small = marked.filter("chunks = 1").select(F.xxhash64("key", "key2").alias("bid"), "d", "comp")
+    name = F.xxhash64(*by, "i", "j").alias("bid")
+    small = marked.filter("chunks = 1").select(F.xxhash64(*by).alias("bid"), "d", "comp")
     large = marked.filter("chunks > 1")
     other = large.filter("out").withColumn("i", deal("others")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(name, "d", "comp")
     every = large.withColumn("j", deal("chunks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(name, "d", "comp")
-    return small.unionByName(other).unionByName(every).distinct()
+    return small.unionByName(other).unionByName(every), left
+
+
+def across(big: DataFrame, reps: DataFrame, folder: str) -> DataFrame:
+    """The second round's blocks (bid, d, comp) of blocks (key, d, comp) beyond one chunk: the members outside the largest component
+    against all. Of blocks with many of these, against all that share a second key with them, in blocks of two keys."""
+    first = written(outsiders(big, ["key"]), f"{folder}/outsiders")
+    few, many = dealt(first, ["key"], DEALT)
+    many = written(many.select("key", "d", "comp", "out"), f"{folder}/blocks-of-many")
+    if many.isEmpty():
+        return few.distinct()
+    keyed = many.join(reps.select("d", F.col("keys").alias("second")), "d").select("d", "comp", "out", F.explode("second").alias("key2"), "key").filter("key != key2")
+    keyed = written(keyed.groupBy("d", "comp", F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("key2")).agg(F.max("out").alias("out")), f"{folder}/second-keys")
+    met = keyed.groupBy("key", "key2").agg(F.count("*").alias("c"), F.max("out").alias("out")).filter("c > 1 AND out").select("key", "key2")
+    two = dealt(outsiders(keyed.drop("out").join(met, ["key", "key2"]), ["key", "key2"]), ["key", "key2"], None)[0]
+    return few.unionByName(two).distinct()
 
 
 def link(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

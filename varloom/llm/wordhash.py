@@ -23,7 +23,7 @@ _position = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uin
 _powers: dict[str, np.ndarray] = {}
 #: Bytes of a text that are hashed at once; bytes of texts and rows that the operators work on at once.
 PIECE = 1 << 20
-BYTES, ROWS = 4 << 20, 512
+BYTES, ROWS = 2 << 20, 512
 
 
 def blocks(batch, text: int, size: int = BYTES, rows: int = ROWS):
@@ -67,6 +67,10 @@ def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
     """uint64 of each word. lower: with A-Z lower-cased. Long texts are taken in pieces, so that memory beyond the result is bounded; a
     word that goes on from piece to piece is summed up."""
     value, out, open_sum, open_size = _value_lower if lower else _value, [], 0, 0
+    if len(text) <= PIECE:
+        b, start, end = bounds(text)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(value[b] * _power("up", _base, len(b)), dtype=np.uint64)])
+        return mixed((sums[end] - sums[start]) * _power("down", _inverse, len(b))[start] + (end - start).astype(np.uint64))
     for at in range(0, len(text), PIECE):
         b, start, end = bounds(text[at : at + PIECE])
         size = (end - start).astype(np.uint64)
