@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from varloom.llm.wordhash import blocks, bounds, runs, word_hashes
 
@@ -250,6 +251,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """A row for each document and item that covers: id_col, item_col, item_words, matched_words, coverage, n_tiles."""
     id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {id_type.simpleString()}, `{item_col}` {item_type.simpleString()}, item_words long, matched_words long, coverage double, n_tiles long"
+    item_arrow = to_arrow_type(item_type)
     narrow = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
 
     def of_block(index: Index) -> DataFrame:
@@ -261,7 +263,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                 for batch in blocks(whole, 1):
                     found = list(ix.found(batch.column(1).to_pylist(), coverage))
                     if found:
-                        out = [batch.column(0).take(pa.array([f[0] for f in found])), pa.array([ix.ids[f[1]] for f in found])]
+                        out = [batch.column(0).take(pa.array([f[0] for f in found])), pa.array([ix.ids[f[1]] for f in found], type=item_arrow)]
                         out += [pa.array([ix.words[f[1]] for f in found], type=pa.int64()), pa.array([f[2] for f in found], type=pa.int64())]
                         out += [pa.array([f[2] / ix.words[f[1]] for f in found], type=pa.float64()), pa.array([f[3] for f in found], type=pa.int64())]
                         yield pa.RecordBatch.from_arrays(out, names=[id_col, item_col, "item_words", "matched_words", "coverage", "n_tiles"])

@@ -41,9 +41,11 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 #: Elements, roles and words of class or id that are no part of an article. CUT go in any case; SUSPECT, by element, role or
 #: word, unless they hold the article.
 CUT_TAGS = frozenset("head script style noscript template iframe object embed svg canvas audio video button input select textarea nav aside footer menu dialog title".split())
-SUSPECT_TAGS = frozenset("form fieldset label".split())
+SUSPECT_TAGS = frozenset("form fieldset".split())
 SUSPECT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 SUSPECT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended newsletter subscribe subscription popup modal overlay widget toolbar pagination pager login signup register copyright disclaimer skip".split())
+#: Words that say where or how a suspect stands, not what it is.
+PLACE_WORDS = frozenset("site page main top bottom left right upper lower head body box bar wrap wrapper container inner outer list lists item items block section area region col column row slot unit zone link links button buttons btn icon icons text content primary secondary global mobile desktop sticky fixed floating small large wide mini first last js id".split())
 COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
 CONTAINERS = frozenset(("article", "main"))
 KEPT, SUSPECT, COMMENTS, CUT = range(4)
@@ -70,6 +72,13 @@ class Node:
         self.density = self.total = 0.0
 
 
+def suspicious(token: str) -> bool:
+    """Whether a class or id names a suspect: by the last of its words, or by one of them if the rest only say where it stands. So
+    `cookie-policy-banner` and `footer-links` are suspects, `notice-board-history` is not."""
+    words = [w for w in WORDS.findall(token) if not w.isdigit()]
+    return bool(words) and (words[-1] in SUSPECT_WORDS or any(w in SUSPECT_WORDS for w in words) and all(w in SUSPECT_WORDS or w in PLACE_WORDS for w in words))
+
+
 def mark_of(tag: str, attributes: str, inside: bool) -> int:
     """inside: whether the element stands in an article or main element, whose header is a part of it."""
     if tag in CUT_TAGS:
@@ -87,7 +96,7 @@ def mark_of(tag: str, attributes: str, inside: bool) -> int:
             words = set(WORDS.findall(value))
             if words & COMMENT_WORDS:
                 out = max(out, COMMENTS)
-            elif tag not in CONTAINERS and (words & SUSPECT_WORDS or "header" in words and not inside and tag not in HEADINGS):
+            elif tag not in CONTAINERS and (any(map(suspicious, value.split())) or "header" in words and not inside and tag not in HEADINGS):
                 out = max(out, SUSPECT)
     return out if tag != "main" else KEPT
 
@@ -239,6 +248,8 @@ def article(root: Node) -> list[Node]:
     best = max(nodes, key=lambda n: n.total)
     if not best.total:  # text without any element
         return [root]
+    while best.tag not in ("body", "html", "#root") and 2 * best.link_chars >= best.chars:  # links tie at no density: the list they stand in
+        best = best.parent
     up = best
     while up.parent is not None:
         if up.tag in CONTAINERS:

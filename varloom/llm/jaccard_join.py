@@ -416,7 +416,10 @@ def row_hashes(id_col: str, text_col: str) -> list[Column]:
 
 def grouped(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", one_id: bool = True) -> DataFrame:
     """A row for each document row: d (its id), h and h2 (which tell id and text), n (its set's size), grp (a number for each group of
-    rows that links join; null for an empty set), least (the group's smallest id). one_id: whether rows with one id are linked."""
+    rows that links join; null for an empty set), least (the group's smallest id). one_id: whether rows with one id are linked. percent is 50
+or more: the bitmaps of sets of which one is over twice as large as the other are not compared."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
     spark = docs.sparkSession
     folder = shared_folder(spark)
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), *row_hashes(id_col, text_col), F.col(f"`{text_col}`").alias("t"))

@@ -2,7 +2,7 @@
 
 Base spans come from three patterns. The method adds spans: a run of key-like characters near a word that announces a secret is a
 candidate; its marginal size is what it adds to the compressed surrounding text, with zstandard primed by a dictionary of
-identifiers and of common code. What a dictionary or the surroundings contain costs next to nothing, a random key costs about its
+identifiers, path parts, word endings and common code. What a dictionary or the surroundings contain costs next to nothing, a random key costs about its
 entropy: candidates whose marginal bits per character are high are reported. The other spans of the text are never dropped.
 
 Edge cases: a null or empty text has no spans; whole texts are scanned, however long (the surroundings of a candidate are a
@@ -35,6 +35,17 @@ BETWEEN = re.compile(r"[\x20\t]*+(?:(?:\.|(?:\\[nr]|[\r\n])[\x20\t]*+)[A-Za-z0-9
 BORDER = re.compile(r"-----(BEGIN|END)")
 #: Characters before and after a candidate that count as its surroundings; least marginal bits a character.
 AROUND, MIN_BITS = 200, 4.2
+#: Runs made of words alone, as in prose, paths and identifiers, are measured next to PROSE too, so that letters have the cost that they have in
+#: prose however short the text is; a long word that the dictionary does not have costs up to 5.2 bits a character there, letters drawn at
+#: random 5 to 7 in lower case and more in both.
+WORDLIKE = re.compile(r"[/_=+-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+))*[/_=+-]*|(?:[A-Z]?[a-z]{2,}){1,6}")
+MIN_WORD_BITS = 5.3
+PROSE = (
+    "The weather was good, so they walked through the old town and looked for a place where everybody could rest and talk about the journey. "
+    "Das Wetter war schön, deshalb gingen sie durch die alte Stadt und suchten einen Platz, an dem sich alle ausruhen und unterhalten konnten. "
+    "Il faisait beau, ils ont donc traversé la vieille ville et cherché un endroit où chacun pouvait se reposer et parler du voyage. "
+    "Hacía buen tiempo, así que pasearon por la ciudad vieja y buscaron un lugar donde todos pudieran descansar y hablar del viaje. "
+)
 NEAR = 60
 
 
@@ -44,7 +55,10 @@ def dictionary() -> bytes:
     tails = "Password Secret Token ApiKey Credential PrivateKey AccessKey Value Name Id Key Path File User Config Session Request Response Client Server Manager Factory Handler Provider Service Exception".split()
     words = [h + t for h, t in itertools.product(heads, tails)] + [f"{a.lower()}_{b.lower()}" for a, b in itertools.product(tails, tails)]
     code = ["import os", "os.environ[", "getenv(", 'config.get("', "public static final String ", "private String ", "function(", "return ", "https://www.", "http://", ".example.com/", "-----BEGIN ", "-----END ", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "xxxxxxxxxxxxxxxx", "0000000000000000", "----------------", "================", "changeme", "your_api_key_here", "example"]
-    return "\n".join([*words, *code]).encode()
+    paths = ["/usr/local/share/applications/", "/var/lib/", "/home/user/", "/etc/security/", "/opt/", "/node_modules/", "/site-packages/", "/src/main/resources/"]
+    endings = "ization isation ational ationally ability fulness istically schaft gesellschaft ungen keiten heiten issement ellement aciones amiento mente idades inter trans counter über zwischen contre entre".split()
+    types = ["AbstractSingletonProxyFactoryBean", "ConfigurationContextListener", "ControllerRepositoryInterface", "TemplateBuilderAdapterImplementation", "IllegalStateException", "ApplicationProperties", "AuthenticationFilterChain"]
+    return "\n".join([*words, *paths, *endings, *types, *code]).encode()
 
 
 class Novelty:
@@ -95,7 +109,13 @@ def announced(text: str) -> Iterator[tuple[int, int]]:
 
 def novel_spans(text: str, novelty: Novelty, min_bits: float = MIN_BITS) -> list[tuple[str, int, int]]:
     """The announced runs that are incompressible next to their surroundings."""
-    return [("novel", a, b) for a, b in announced(text) if novelty.bits(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) >= min_bits]
+    found = []
+    for a, b in announced(text):
+        words = WORDLIKE.fullmatch(text, a, b) is not None
+        bits = novelty.bits((PROSE if words else "") + text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND])
+        if bits >= (max(min_bits, MIN_WORD_BITS) if words else min_bits):
+            found.append(("novel", a, b))
+    return found
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
