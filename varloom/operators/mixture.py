@@ -2,8 +2,9 @@
 
 The filament's density is N(x | m, s2x) N(y | b0 + b1 sin wx + b2 cos wx, s2p). Covariances carry the penalty of Chen and Tan with
 weight 1 / sum w, towards the data's covariance. A fit continues from a start, or searches cold: components are inserted one by one
-where a partial EM against the frozen rest gains most, from several beginnings; the best are refined, and split and merge or
-relocation moves are tried. EM is accelerated by squared extrapolation and finished by Newton steps in unconstrained parameters.
+where a partial EM against the frozen rest gains most, from several beginnings; these race with k-means starts, and the survivors are refined;
+split and merge and relocation moves follow. EM is accelerated by squared extrapolation and finished by Newton steps in unconstrained
+parameters, with gradient and Hessian in closed form. The search itself is in mixture_search.
 
 Influences are psi = -N H^-1 s with the points' scores s and the penalised Hessian H, refused where H is too ill-conditioned.
 """
@@ -125,29 +126,80 @@ class Data:
     def log_likelihood(self, p: Parameters) -> float:
         return float(self.w @ log_density(log_parts(self.x, self.phi, p))) + self.penalty(p)
 
+    def information(self, u: np.ndarray, k: int, thread: bool) -> tuple[float, np.ndarray, np.ndarray]:
+        """The penalised log likelihood, its gradient and its Hessian in the unconstrained parameters."""
+        p = from_free(u, k, thread)
+        value, slope, h = louis(self.x, self.phi, self.w, p)
+        return value + self.penalty(p), slope + penalty_gradient(self, u, k, thread), h + penalty_curvature(self, u, k, thread)
+
+    def em_all(self, starts: list[Parameters]) -> list[tuple[Parameters, float]]:
+        return [self.em(p) for p in starts]
+
     def em(self, p: Parameters) -> tuple[Parameters, float]:
         """One step, and the penalised log likelihood before it."""
-        parts = log_parts(self.x, self.phi, p)
-        f = log_density(parts)
-        value = float(self.w @ f) + self.penalty(p)
-        r = np.exp(parts - f[:, None]) * self.w[:, None]
-        n = r.sum(axis=0)
-        g = r[:, : p.k]
-        x, y = self.x[:, 0], self.x[:, 1]
-        m = np.maximum(n[: p.k], 1e-12)
-        mean = np.column_stack([g.T @ x, g.T @ y]) / m[:, None]
-        second = np.column_stack([g.T @ (x * x), g.T @ (x * y), g.T @ (y * y)]) / m[:, None]
-        c11, c12, c22 = second[:, 0] - mean[:, 0] ** 2, second[:, 1] - mean[:, 0] * mean[:, 1], second[:, 2] - mean[:, 1] ** 2
-        raw = np.stack([np.column_stack([c11, c12]), np.column_stack([c12, c22])], axis=1)
-        cov = (m[:, None, None] * raw + 2.0 * self.a * self.cov) / (m + 2.0 * self.a)[:, None, None]
-        thread = None
-        if p.thread is not None:
-            t, nt = r[:, -1], max(n[-1], 1e-12)
-            mx = float(t @ x) / nt
-            b = np.linalg.lstsq((self.phi * t[:, None]).T @ self.phi + 1e-12 * np.eye(3), (self.phi * t[:, None]).T @ y, rcond=None)[0]
-            e = y - self.phi @ b
-            thread = np.array([mx, max(float(t @ (x - mx) ** 2) / nt, 1e-8), *b, max(float(t @ (e * e)) / nt, 1e-10)])
-        return Parameters(np.maximum(n, 1e-300) / self.total, mean, cov, thread), value
+        value, sums = em_sums(self.x, self.phi, self.w, p)
+        return stepped(sums, p, self), value + self.penalty(p)
+
+    def against(self, p: Parameters) -> Callable:
+        """Sums of candidates for a new component beside p, whose density is taken once."""
+        frozen = log_density(log_parts(self.x, self.phi, p))
+        return lambda share, mean, cov: candidate_sums(self.x, self.phi, self.w, frozen, share, mean, cov)
+
+    def move_scores(self, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+        from varloom.operators.mixture_search import of_sums
+
+        return of_sums(move_sums(self.x, self.phi, p))
+
+
+def em_sums(x: np.ndarray, phi: np.ndarray, w: np.ndarray, p: Parameters) -> tuple[float, np.ndarray]:
+    """The log likelihood and, by component, the weighted sums that an M step needs: 1, x, y, xx, xy, yy and, if there is a filament, the six
+    of phi phi' and the three of phi y. All add over parts of the data."""
+    parts = log_parts(x, phi, p)
+    f = log_density(parts)
+    r = np.exp(parts - f[:, None]) * w[:, None]
+    terms = [np.ones(len(x)), x[:, 0], x[:, 1], x[:, 0] ** 2, x[:, 0] * x[:, 1], x[:, 1] ** 2]
+    if p.thread is not None:
+        terms += [phi[:, i] * phi[:, j] for i in range(3) for j in range(i, 3)] + [phi[:, i] * x[:, 1] for i in range(3)]
+    return float(w @ f), r.T @ np.column_stack(terms)
+
+
+def stepped(sums: np.ndarray, p: Parameters, data) -> Parameters:
+    """The M step. data: total, cov, a."""
+    n, g = sums[:, 0], sums[: p.k]
+    m = np.maximum(g[:, 0], 1e-12)
+    mean = g[:, 1:3] / m[:, None]
+    c11, c12, c22 = g[:, 3] / m - mean[:, 0] ** 2, g[:, 4] / m - mean[:, 0] * mean[:, 1], g[:, 5] / m - mean[:, 1] ** 2
+    raw = np.stack([np.column_stack([c11, c12]), np.column_stack([c12, c22])], axis=1)
+    cov = (m[:, None, None] * raw + 2.0 * data.a * data.cov) / (m + 2.0 * data.a)[:, None, None]
+    thread = None
+    if p.thread is not None:
+        t = sums[-1]
+        nt, square = max(t[0], 1e-12), np.zeros((3, 3))
+        square[np.triu_indices(3)] = t[6:12]
+        square += square.T - np.diag(np.diag(square))
+        b = np.linalg.lstsq(square + 1e-12 * np.eye(3), t[12:15], rcond=None)[0]
+        left = t[5] - 2.0 * b @ t[12:15] + b @ square @ b
+        thread = np.array([t[1] / nt, max((t[3] - t[1] ** 2 / nt) / nt, 1e-8), *b, max(left / nt, 1e-10)])
+    return Parameters(np.maximum(n, 1e-300) / data.total, mean, cov, thread)
+
+
+def candidate_sums(x: np.ndarray, phi: np.ndarray, w: np.ndarray, frozen: np.ndarray, share: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """For each candidate beside a mixture with log density frozen: the gain in log likelihood, and its sums n, x, y, xx, xy, yy."""
+    own = log_parts(x, phi, Parameters(share, mean, cov))
+    both = np.logaddexp(own, frozen[:, None] + np.log1p(-share))
+    r = np.exp(own - both) * w[:, None]
+    terms = np.column_stack([np.ones(len(x)), x[:, 0], x[:, 1], x[:, 0] ** 2, x[:, 0] * x[:, 1], x[:, 1] ** 2])
+    return np.column_stack([w @ (both - frozen[:, None]), r.T @ terms])
+
+
+def move_sums(x: np.ndarray, phi: np.ndarray, p: Parameters) -> dict[str, np.ndarray]:
+    """What split and merge scores need, of the Gaussians; points count once each."""
+    parts = log_parts(x, phi, p)
+    r = np.exp(parts - log_density(parts)[:, None])[:, : p.k]
+    log_f = parts[:, : p.k] - np.log(p.w[: p.k])
+    with np.errstate(all="ignore"):
+        rlr = np.where(r > 0.0, r * np.log(np.maximum(r, 1e-300)), 0.0)
+    return {"rr": r.T @ r, "r": r.sum(axis=0), "rlr": rlr.sum(axis=0), "rlf": (r * log_f).sum(axis=0), "f": np.exp(log_f).sum(axis=0)}
 
 
 # Unconstrained parameters -------------------------------------------------------------------------------------------------------
@@ -191,34 +243,49 @@ def scores(x: np.ndarray, phi: np.ndarray, p: Parameters) -> np.ndarray:
     return np.column_stack(out)
 
 
+def _penalty_terms(cov: np.ndarray, u: np.ndarray, k: int, thread: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each component, of tr(cov S^-1) + log det S in (log l11, l21, log l22): gradient (K, 3), Hessian (K, 3, 3), and how the gradient
+    moves with the entries 11, 12, 22 of cov (K, 3, 3)."""
+    free = k if thread else k - 1
+    c = u[free + 2 * k : free + 5 * k].reshape(k, 3)
+    b, e1, e2 = c[:, 1], np.exp(-2.0 * c[:, 0]), np.exp(-2.0 * c[:, 2])
+    e, f = e1 * e2, np.exp(-c[:, 0]) * e2
+    zero = np.zeros(k)
+    by_cov = np.array([[-2.0 * (e1 + b * b * e), 2.0 * b * f, zero], [2.0 * b * e, -2.0 * f, zero], [-2.0 * b * b * e, 4.0 * b * f, -2.0 * e2]]).transpose(2, 0, 1)
+    s11, s12, s22 = cov[0, 0], cov[0, 1], cov[1, 1]
+    slope = by_cov @ np.array([s11, s12, s22]) + np.array([2.0, 0.0, 2.0])
+    t2, t3 = s11 * b * b * e, -2.0 * s12 * b * f
+    aa, ab, ac = 4.0 * s11 * e1 + 4.0 * t2 + t3, -4.0 * s11 * b * e + 2.0 * s12 * f, 4.0 * t2 + 2.0 * t3
+    bb, bc, cc = 2.0 * s11 * e, -4.0 * s11 * b * e + 4.0 * s12 * f, 4.0 * (t2 + t3 + s22 * e2)
+    return slope, np.array([[aa, ab, ac], [ab, bb, bc], [ac, bc, cc]]).transpose(2, 0, 1), by_cov
+
+
+def _places(i: int, k: int, thread: bool) -> np.ndarray:
+    """Where a Gaussian's mean and covariance parameters stand."""
+    free = k if thread else k - 1
+    return np.concatenate([free + 2 * i + np.arange(2), free + 2 * k + 3 * i + np.arange(3)])
+
+
 def penalty_gradient(data: Data, u: np.ndarray, k: int, thread: bool) -> np.ndarray:
     out = np.zeros(len(u))
     free = k if thread else k - 1
-    for i in range(free + 2 * k, free + 5 * k):
-        h = 1e-5 * max(1.0, abs(u[i]))
-        up, down = u.copy(), u.copy()
-        up[i] += h
-        down[i] -= h
-        out[i] = (data.penalty(from_free(up, k, thread)) - data.penalty(from_free(down, k, thread))) / (2 * h)
+    out[free + 2 * k : free + 5 * k] = -data.a * _penalty_terms(data.cov, u, k, thread)[0].reshape(-1)
+    return out
+
+
+def penalty_curvature(data: Data, u: np.ndarray, k: int, thread: bool) -> np.ndarray:
+    out = np.zeros((len(u), len(u)))
+    for i, h in enumerate(_penalty_terms(data.cov, u, k, thread)[1]):
+        at = _places(i, k, thread)[2:]
+        out[np.ix_(at, at)] = -data.a * h
     return out
 
 
 def penalty_sensitivity(data: Data, u: np.ndarray, k: int, thread: bool) -> np.ndarray:
     """(N, parameters): how the penalty's gradient moves with each weight at a constant sum, through the data's covariance."""
-    def traces(v: np.ndarray) -> np.ndarray:
-        """The inverse covariances' sum: coefficients of the entries 11, 12, 22 of the data's covariance."""
-        c = from_free(v, k, thread).cov
-        det = c[:, 0, 0] * c[:, 1, 1] - c[:, 0, 1] ** 2
-        return np.array([(c[:, 1, 1] / det).sum(), (-2.0 * c[:, 0, 1] / det).sum(), (c[:, 0, 0] / det).sum()])
-
     slope = np.zeros((len(u), 3))
     free = k if thread else k - 1
-    for i in range(free + 2 * k, free + 5 * k):
-        h = 1e-5 * max(1.0, abs(u[i]))
-        up, down = u.copy(), u.copy()
-        up[i] += h
-        down[i] -= h
-        slope[i] = (traces(up) - traces(down)) / (2 * h)
+    slope[free + 2 * k : free + 5 * k] = _penalty_terms(data.cov, u, k, thread)[2].reshape(-1, 3)
     y = data.x - data.w @ data.x / data.total
     moved = np.column_stack([y[:, 0] ** 2 - data.cov[0, 0], y[:, 0] * y[:, 1] - data.cov[0, 1], y[:, 1] ** 2 - data.cov[1, 1]])
     return -data.a / data.total * moved @ slope.T
@@ -228,15 +295,69 @@ def gradient(data: Data, u: np.ndarray, k: int, thread: bool) -> np.ndarray:
     return data.w @ scores(data.x, data.phi, from_free(u, k, thread)) + penalty_gradient(data, u, k, thread)
 
 
+def louis(x: np.ndarray, phi: np.ndarray, w: np.ndarray, p: Parameters) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log likelihood, its gradient and its Hessian in the unconstrained parameters, as sums over points (Louis, 1982): of each
+    component's own curvature and outer score by responsibility, less the outer product of the point's score. They add over parts of the
+    data, so that tasks can each take theirs."""
+    parts = log_parts(x, phi, p)
+    f = log_density(parts)
+    r = np.exp(parts - f[:, None]) * w[:, None]
+    k, thread, free = p.k, p.thread is not None, len(p.w) - 1
+    u_size = free + 5 * k + (6 if thread else 0)
+    s = scores(x, phi, p)
+    h = -(s * w[:, None]).T @ s
+    n, pi = r.sum(axis=0), p.w[:free]
+    total = float(w.sum())
+    # Weights: E[(e - pi)(e - pi)'] - (diag pi - pi pi') for each point.
+    h[:free, :free] += np.diag(n[:free]) - np.outer(n[:free], pi) - np.outer(pi, n[:free]) + total * np.outer(pi, pi) - total * (np.diag(pi) - np.outer(pi, pi))
+    a, b, c = factors(p.cov)
+    z1, z2 = standardised(x, p)
+    for i in range(k):
+        at, ri, y1, y2 = _places(i, k, thread), r[:, i], z1[:, i], z2[:, i]
+        ai, bi, ci = a[i], b[i], c[i]
+        one = np.column_stack([y1 / ai - y2 * bi / (ai * ci), y2 / ci, y1 * y1 - 1.0 - y1 * y2 * bi / ci, y1 * y2 / ci, y2 * y2 - 1.0])
+        own = (one * ri[:, None]).T @ one
+        # Derivatives of z1 and z2 by mean 1, mean 2, log l11, l21, log l22 are linear in (1, z1, z2).
+        m = np.array([float(ri @ v) for v in (np.ones(len(x)), y1, y2, y1 * y1, y1 * y2, y2 * y2)])
+        d1 = np.array([[-1.0 / ai, 0, 0], [0, 0, 0], [0, -1.0, 0], [0, 0, 0], [0, 0, 0]])
+        d2 = np.array([[bi / (ai * ci), 0, 0], [-1.0 / ci, 0, 0], [0, bi / ci, 0], [0, -1.0 / ci, 0], [0, 0, -1.0]])
+        second = np.array([[m[0], m[1], m[2]], [m[1], m[3], m[4]], [m[2], m[4], m[5]]])
+        own -= d1 @ second @ d1.T + d2 @ second @ d2.T
+        mixed = np.zeros((5, 5))  # sums of z1 times second derivatives of z1, and of z2 times those of z2
+        mixed[0, 2] = m[1] / ai - bi / (ai * ci) * m[2]
+        mixed[2, 2] = m[3] - bi / ci * m[4]
+        mixed[0, 3], mixed[0, 4], mixed[1, 4] = m[2] / (ai * ci), -bi / (ai * ci) * m[2], m[2] / ci
+        mixed[2, 3], mixed[2, 4], mixed[3, 4], mixed[4, 4] = m[4] / ci, -bi / ci * m[4], m[4] / ci, m[5]
+        own -= mixed + mixed.T - np.diag(np.diag(mixed))
+        h[np.ix_(at, at)] += own
+        e = np.zeros(free)
+        if i < free:
+            e[i] = 1.0
+        cross = np.outer(e - pi, ri @ one)
+        h[np.ix_(np.arange(free), at)] += cross
+        h[np.ix_(at, np.arange(free))] += cross.T
+    if thread:
+        at, t, q = np.arange(u_size - 6, u_size), r[:, -1], p.thread
+        d, e = x[:, 0] - q[0], x[:, 1] - phi @ q[2:5]
+        one = np.column_stack([d / q[1], 0.5 * (d * d / q[1] - 1.0), phi * e[:, None] / q[5], 0.5 * (e * e / q[5] - 1.0)])
+        own = (one * t[:, None]).T @ one
+        own[0, 0] -= t.sum() / q[1]
+        own[0, 1] -= t @ d / q[1]
+        own[1, 0] -= t @ d / q[1]
+        own[1, 1] -= 0.5 * t @ (d * d) / q[1]
+        own[2:5, 2:5] -= (phi * t[:, None]).T @ phi / q[5]
+        own[2:5, 5] -= phi.T @ (t * e) / q[5]
+        own[5, 2:5] -= phi.T @ (t * e) / q[5]
+        own[5, 5] -= 0.5 * t @ (e * e) / q[5]
+        h[np.ix_(at, at)] += own
+        cross = np.outer(-pi, t @ one)
+        h[np.ix_(np.arange(free), at)] += cross
+        h[np.ix_(at, np.arange(free))] += cross.T
+    return float(w @ f), w @ s, h
+
+
 def hessian(data: Data, u: np.ndarray, k: int, thread: bool) -> np.ndarray:
-    """Central differences of the analytic gradient."""
-    out = np.empty((len(u), len(u)))
-    for i in range(len(u)):
-        h = 1e-5 * max(1.0, abs(u[i]))
-        up, down = u.copy(), u.copy()
-        up[i] += h
-        down[i] -= h
-        out[i] = (gradient(data, up, k, thread) - gradient(data, down, k, thread)) / (2 * h)
+    out = data.information(u, k, thread)[2]
     return 0.5 * (out + out.T)
 
 
@@ -266,39 +387,15 @@ def trust_step(g: np.ndarray, h: np.ndarray, radius: float) -> np.ndarray:
 # Fitting ------------------------------------------------------------------------------------------------------------------------
 
 
-def accelerated(data: Data, p: Parameters, eta: float, cap: int) -> tuple[Parameters, float]:
-    """EM with squared extrapolation of the unconstrained parameters; a jump is kept if it does not lose likelihood."""
-    k, thread = p.k, p.thread is not None
-    longest, value = 4.0, -math.inf
-    for _ in range(cap):
-        p1, v0 = data.em(p)
-        p2, v1 = data.em(p1)
-        if v1 - v0 <= eta * max(abs(v1), 1.0):
-            return p2, v1
-        u0, u1, u2 = to_free(p), to_free(p1), to_free(p2)
-        r, v = u1 - u0, u2 - 2 * u1 + u0
-        size = float(np.linalg.norm(v))
-        step = -min(longest, max(1.0, float(np.linalg.norm(r)) / size)) if size > 0 else -1.0
-        jump = from_free(u0 - 2 * step * r + step * step * v, k, thread)
-        if jump.feasible():
-            kept, vj = data.em(jump)
-            if math.isfinite(vj) and vj >= v1 and kept.feasible():
-                if -step >= longest:
-                    longest *= 4.0
-                p, value = kept, vj
-                continue
-        p, value = p2, v1
-    return p, value
-
-
 def finished(data: Data, p: Parameters, eta: float, steps: int = 40) -> tuple[Parameters, float, str]:
     """Newton steps in a trust region until the step's predicted gain is below eta."""
     k, thread = p.k, p.thread is not None
     u, value, radius = to_free(p), data.log_likelihood(p), 1.0
     h = None
     for _ in range(steps):
-        g = gradient(data, u, k, thread)
-        h = hessian(data, u, k, thread) if h is None else h
+        if h is None:
+            _, g, h = data.information(u, k, thread)
+            h = 0.5 * (h + h.T)
         d = trust_step(g, h, radius)
         gain = float(g @ d + 0.5 * d @ h @ d)
         if gain <= eta * 1e-3 * max(abs(value), 1.0):
@@ -350,39 +447,6 @@ class Cells:
         self.mean, self.cov, self.share = self.mean[ok], self.cov[ok], size[ok] / data.total
 
 
-def best_insertion(data: Data, p: Parameters, cells: Cells, rounds: int = 12) -> tuple[float, Parameters] | None:
-    """The candidate whose partial EM against the frozen mixture gains the most likelihood; all candidates move together, and those far
-    behind after half of the rounds are dropped."""
-    frozen = log_density(log_parts(data.x, data.phi, p))
-    base = float(data.w @ frozen)
-    share, mean, cov = np.clip(cells.share, 1e-3, 0.5), cells.mean.copy(), cells.cov.copy()
-    which = np.arange(len(share))
-    gain = np.full(len(share), -math.inf)
-    for step in range(rounds):
-        own = log_parts(data.x, data.phi, Parameters(share, mean, cov))
-        rest = frozen[:, None] + np.log1p(-share)
-        both = np.logaddexp(own, rest)
-        gain = data.w @ both - base
-        if step == rounds // 2 and len(which) > 4:
-            keep = np.argsort(-gain, kind="stable")[: max(4, len(which) // 4)]
-            share, mean, cov, which, own, both, gain = share[keep], mean[keep], cov[keep], which[keep], own[:, keep], both[:, keep], gain[keep]
-        r = np.exp(own - both) * data.w[:, None]
-        n = np.maximum(r.sum(axis=0), 1e-9)
-        share = np.clip(n / data.total, 1e-6, 0.9)
-        mean = r.T @ data.x / n[:, None]
-        x, y = data.x[:, 0], data.x[:, 1]
-        c11 = r.T @ (x * x) / n - mean[:, 0] ** 2
-        c12 = r.T @ (x * y) / n - mean[:, 0] * mean[:, 1]
-        c22 = r.T @ (y * y) / n - mean[:, 1] ** 2
-        raw = np.stack([np.column_stack([c11, c12]), np.column_stack([c12, c22])], axis=1)
-        cov = (n[:, None, None] * raw + 2 * data.a * data.cov) / (n + 2 * data.a)[:, None, None]
-    if not len(gain) or not np.isfinite(gain).any():
-        return None
-    i = int(np.nanargmax(gain))
-    w = np.concatenate([p.w[: p.k] * (1 - share[i]), [share[i]], p.w[p.k :] * (1 - share[i])])
-    return float(gain[i]), Parameters(w, np.vstack([p.mean, mean[i]]), np.concatenate([p.cov, cov[i][None]]), p.thread)
-
-
 def thread_seed(data: Data) -> np.ndarray:
     """A sine wave through the densest ridge: least squares on the two fifths of smallest residual, five times."""
     keep = np.ones(len(data.x), dtype=bool)
@@ -395,56 +459,39 @@ def thread_seed(data: Data) -> np.ndarray:
     return np.array([x.mean(), max(x.var(), 1e-6), *b, max(float((r[keep] ** 2).mean()), 1e-6)])
 
 
-def without(p: Parameters, i: int) -> Parameters:
-    w = np.delete(p.w, i)
-    return Parameters(w / w.sum(), np.delete(p.mean, i, axis=0), np.delete(p.cov, i, axis=0), p.thread)
+def kmeans_start(data: Data, k: int, seed: int) -> Parameters:
+    """Weights, means and covariances of k-means++ cells."""
+    label = kmeans(data.x, k, seed, rounds=10)
+    n = np.maximum(np.bincount(label, minlength=k), 1)
+    centre = data.w @ data.x / data.total
+    mean = np.array([data.x[label == j].mean(axis=0) if (label == j).any() else centre for j in range(k)])
+    cov = np.array([np.cov(data.x[label == j].T, ddof=0) if (label == j).sum() > 3 else data.cov / k for j in range(k)])
+    return Parameters(n / n.sum(), mean, cov + 1e-4 * data.cov)
+
 
+def cold_search(data: Data, k: int, thread: bool, eta: float, seed: int = 0, starts: int = 20, sweeps: int = 5) -> tuple[Parameters, float]:
+    """Without a start. Beginnings: by insertion from one Gaussian (with the filament, if there is one) on coarse and on fine cells, the latter
+    also with tighter and wider covariances; for Gaussian mixtures also from k-means++ cells and from points drawn at random. They race; the survivors are refined and split
+    and merge moves follow. Then each component in turn is taken out and put back where it gains most, as long as that helps."""
+    from varloom.operators import mixture_search as search
 
-def cold_search(data: Data, k: int, thread: bool, eta: float, seed: int = 0, starts: int = 6, sweeps: int = 5) -> tuple[Parameters, float]:
-    """Without a start: by insertion from one Gaussian (with the filament, if there is one) on coarse and on fine cells, and for
-    Gaussian mixtures also from k-means++ cells; the best three are refined, then each component in turn is taken out and put back
-    where it gains most, as long as that helps."""
     centre = data.w @ data.x / data.total
     beginnings = []
-    for cells in (Cells(data, 25 * k, seed), Cells(data, 50 * k, seed + 1)):
+    for number, cells in enumerate((Cells(data, 50 * k, seed), Cells(data, 25 * k, seed + 1))):
         p = Parameters(np.array([0.6, 0.4] if thread else [1.0]), centre[None], data.cov[None].copy(), thread_seed(data) if thread else None)
-        p, _ = accelerated(data, p, 1e-6, 30)
-        while p.k < k:
-            got = best_insertion(data, p, cells)
-            if got is None:
-                break
-            p, _ = accelerated(data, got[1], 1e-6, 10)
-        if p.k == k:
-            beginnings.append(p)
-    for s in range(0 if thread else starts):
-        label = kmeans(data.x, k, seed + 100 + s, rounds=10)
-        n = np.maximum(np.bincount(label, minlength=k), 1)
-        mean = np.array([data.x[label == j].mean(axis=0) if (label == j).any() else centre for j in range(k)])
-        cov = np.array([np.cov(data.x[label == j].T, ddof=0) if (label == j).sum() > 3 else data.cov / k for j in range(k)])
-        cov += 1e-4 * data.cov
-        beginnings.append(Parameters(n / n.sum(), mean, cov))
-    screened = []
-    for p in beginnings:
-        for _ in range(20):
-            p, value = data.em(p)
-        screened.append((value, len(screened), p))
-    best = max((accelerated(data, p, eta, 400) for _, _, p in sorted(screened, key=lambda v: (-v[0], v[1]))[:3]), key=lambda v: v[1])
-    cells = Cells(data, 50 * k, seed + 2)
-    for _ in range(sweeps):
-        improved = False
-        for i in range(k):
-            if best[0].k < 2:
-                break
-            less, _ = accelerated(data, without(best[0], i), 1e-6, 8)
-            got = best_insertion(data, less, cells)
-            if got is None:
-                continue
-            trial = accelerated(data, got[1], 1e-7, 30)
-            if trial[1] > best[1] + max(1e-6 * abs(best[1]), 0.1):
-                best, improved = accelerated(data, trial[0], eta, 400), True
-        if not improved:
-            break
-    return best
+        p = search.greedy(data, p, k, cells)
+        if p is not None:
+            beginnings += [p, *(search.variants(p) if number else [])]
+    if not thread:
+        rng = np.random.default_rng(seed)
+        drawn = [data.x[rng.choice(len(data.x), k, replace=len(data.x) < k)] for _ in range(starts // 4)]
+        beginnings += [kmeans_start(data, k, seed + 100 + s) for s in range(starts)]
+        beginnings += [Parameters(np.full(k, 1.0 / k), at, np.tile(data.cov / k, (k, 1, 1))) for at in drawn]
+    left = search.race(data, beginnings)
+    best = max((search.accelerated(data, p, eta, 400) for _, _, p in left[: max(search.KEEP, 1)]), key=lambda v: v[1])
+    if k >= 3:
+        best = search.split_merge(data, *best, max(eta, 1e-9))[:2]
+    return search.relocated(data, *best, Cells(data, 50 * k, seed + 2), eta, sweeps)
 
 
 class Mixture:

@@ -677,3 +677,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"low": low, "high": high})
 
 
+
+
+from varloom.plans import mixtures  # noqa: E402, F401  (registers its queries)
