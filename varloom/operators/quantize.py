@@ -122,16 +122,16 @@ def two_means(rows: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not np.any(centred):
         return None
     axis = np.linalg.eigh(centred.T @ centred)[1][:, -1]
-    side = centred @ axis > 0
-    for _ in range(100):
+    side, last = centred @ axis > 0, np.inf
+    while True:
         if side.all() or not side.any():
             return None
         a, b = centred[side].mean(axis=0), centred[~side].mean(axis=0)
         da, db = ((centred - a) ** 2).sum(axis=1), ((centred - b) ** 2).sum(axis=1)
-        moved = np.where(side, da <= db, da < db)
-        if (moved == side).all():
+        moved, spread = np.where(side, da <= db, da < db), float(np.minimum(da, db).sum())
+        if (moved == side).all() or spread >= last:  # moves that rounding alone makes end it too
             break
-        side = moved
+        side, last = moved, spread
     if side.all() or not side.any():
         return None
     one, two = index[side], index[~side]

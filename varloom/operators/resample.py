@@ -8,6 +8,7 @@ sums on the map side, and nothing but sums leaves a task.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -101,38 +102,44 @@ def _refit_block(spark: SparkSession, T, x: np.ndarray, counts: np.ndarray, thet
     return np.array([got[k] for k in range(len(rows))], dtype=float)
 
 
-def poisson_weight(key: Column | str, replicate: Column, seed: int = 0) -> Column:
-    """A Poisson(1) variable that key and replicate determine: the table's quantile of a hashed uniform, to 1e-17."""
-    key = F.col(key) if isinstance(key, str) else key
-    uniform = F.pmod(F.xxhash64(F.lit(seed), replicate, key), F.lit(2**52)) / F.lit(float(2**52))
-    out, total = F.lit(0), 0.0
-    for k in range(18):
-        total += math.exp(-1.0) / math.factorial(k)
-        out = out + F.when(uniform >= F.lit(total), 1).otherwise(0)
-    return out
+#: Where the law of a Poisson(1) variable steps up.
+STEPS = list(itertools.accumulate(math.exp(-1.0) / math.factorial(k) for k in range(18)))
+
+
+def uniform(key: Column | str, replicate: Column, seed: int = 0) -> Column:
+    """In [0, 1), from a hash of key and replicate."""
+    return F.pmod(F.xxhash64(F.lit(seed), replicate, F.col(key) if isinstance(key, str) else key), F.lit(2**52)) / F.lit(float(2**52))
 
 
-#: Replicates summed side by side in a row's pass.
-BESIDE = 25
+def poisson_quantile(u: Column) -> Column:
+    """The Poisson(1) variable at a uniform, to 1e-16: two comparisons on average."""
+    out = F.when(u < F.lit(STEPS[0]), 0)
+    for k, t in enumerate(STEPS[1:], 1):
+        out = out.when(u < F.lit(t), k)
+    return out.otherwise(len(STEPS))
+
+
+def poisson_weight(key: Column | str, replicate: Column, seed: int = 0) -> Column:
+    """A Poisson(1) variable that key and replicate determine."""
+    return poisson_quantile(uniform(key, replicate, seed))
 
 
-def replicated(T: Algebraic, df: DataFrame, x: Sequence[str], weight: Callable[[Column], Column], b: int, by: Sequence[str] = ()) -> DataFrame:
-    """b and the outputs of b replicates, for each group. weight: a row's weight in a replicate. A row is taken once for each BESIDE
-    replicates, whose sums stand side by side; what is shuffled is one row of sums for each task, group and set of them."""
-    sets = df.withColumn("_set", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // BESIDE))))
-    number = [F.col("_set") * BESIDE + j for j in range(min(b, BESIDE))]
-    weights = sets.withColumns({f"_w{j}": F.when(n < b, weight(n)).cast("double") for j, n in enumerate(number)})
-    f = T.columns(x)
-    sums = [F.sum(F.col(f"_w{j}") * c).alias(f"_r{j}_{i}") for j in range(len(number)) for i, c in enumerate(f)]
-    rows = weights.groupBy(*by, "_set").agg(F.count("*").alias("_n"), *sums)
-    each = F.array(*[F.struct(n.cast("int").alias("b"), *[F.col(f"_r{j}_{i}").alias(f"_s{i}") for i in range(len(f))]) for j, n in enumerate(number)])
-    rows = rows.select(*by, "_n", F.explode(each).alias("_e")).select(*by, "_n", "_e.*").filter(F.col("b") < b)
-    return T.solved(rows, [*by, "b"])
+def replicated(T: Algebraic, df: DataFrame, x: Sequence[str], weight: Callable[[Column], Column], b: int, by: Sequence[str] = (), of: Callable[[Column], Column] | None = None) -> DataFrame:
+    """b and the outputs of b replicates, for each group. weight: a row's weight in a replicate, or what of() makes its weight from, computed
+    once. A row meets its replicates one after the other in one generated loop with a single weight in it, its features made before; sums by
+    group and replicate are made where the row is, and what is shuffled is one row of sums for each task, group and replicate."""
+    names = [f"_f{i}" for i, _ in enumerate(T.columns(x))]
+    rows = df.withColumns(dict(zip(names, T.columns(x), strict=True))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    w = F.col("_w")
+    drawn = rows.withColumn("_w", weight(F.col("_b")))
+    weighted = (drawn if of is None else drawn.withColumn("_w", of(w))).withColumn("_w", w.cast("double"))
+    sums = weighted.groupBy(*by, F.col("_b").alias("b")).agg(F.count("*").alias("_n"), *[F.sum(w * F.col(n)).alias(f"_s{i}") for i, n in enumerate(names)])
+    return T.solved(sums, [*by, "b"])
 
 
 def poisson_bootstrap(T: Algebraic, df: DataFrame, x: Sequence[str], key: str, b: int, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """b and the outputs of b replicates, for each group, with weights that key and replicate determine."""
-    return replicated(T, df, x, lambda n: poisson_weight(key, n, seed), b, by)
+    return replicated(T, df, x, lambda n: uniform(key, n, seed), b, by, poisson_quantile)
 
 
 def counted_bootstrap(T: Algebraic, df: DataFrame, x: Sequence[str], counts: DataFrame, key: str) -> DataFrame:

@@ -216,6 +216,38 @@ class DegreesOfFreedom:
         except Exception:
             return np.full(1, np.nan)
 
+    def of_table(self, df: DataFrame, r2: Column, weight: Column | None = None, at_once: int = 16, passes: int = 6) -> tuple[int, float, int]:
+        """Points, nu (NaN without a root inside the cap) and the passes taken over a table of squared radii. A pass takes the score at at_once
+        values of log nu within the bracket, in one aggregation; the root is between two of them, and at last on the line through their
+        scores. The first pass has the whole cap for a bracket, so that no pass is spent on finding one."""
+        w = F.lit(1.0) if weight is None else weight
+        rows = df.select(r2.alias("_r2"), w.cast("double").alias("_w")).filter("_r2 IS NOT NULL AND _w > 0")
+        low, high = (math.log(v) for v in self.cap)
+        ends: tuple[float, float] | None = None
+        n = 0
+        for made in range(1, passes + 1):
+            first = ends is None
+            at = np.linspace(low, high, at_once if first else at_once + 2)
+            tried = at if first else at[1:-1]
+            nu = [math.exp(u) for u in tried]
+            got = rows.agg(F.count("*"), F.sum("_w"), *[F.sum(F.col("_w") * self.score_column(F.col("_r2"), v)) for v in nu]).first()
+            n = int(got[0])
+            if not n:
+                return 0, math.nan, made
+            score = [self.common(v) + float(s) / float(got[1]) for v, s in zip(nu, got[2:], strict=True)]
+            score = score if first else [ends[0], *score, ends[1]]
+            sides = np.sign(score)
+            k = next((k for k in range(len(at) - 1) if sides[k] != sides[k + 1]), None)
+            if k is None:
+                return n, math.nan, made
+            low, high, ends = float(at[k]), float(at[k + 1]), (score[k], score[k + 1])
+            if high - low < 1e-12:
+                break
+        u = low + (high - low) * ends[0] / (ends[0] - ends[1]) if ends[0] != ends[1] else low
+        lowest, highest = (math.log(v) for v in self.cap)
+        edge = 1e-4 * (highest - lowest)
+        return n, math.exp(u) if lowest + edge < u < highest - edge else math.nan, made
+
     def influence(self, x: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
         r2 = self.prepare(x)
         w = np.ones(len(r2)) if w is None else w

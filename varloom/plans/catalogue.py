@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import expressions as fx
 from varloom.functions.numerics import norm_ppf, wchi2_cdf, wchi2_quantile
-from varloom.operators import evaluate, intervals, mixture, ordering, qij, quantize, resample
+from varloom.operators import evaluate, intervals, mixture, ordering, qij, quantize, resample, survey
 from varloom.operators import statistics as st
 from varloom.sources import draws, products
 
@@ -216,6 +216,33 @@ def nu_score(spark, sf_dir):
     return rounded(ten_dimensions(spark, sf_dir).agg(F.avg(F.lit(_SCORE.common(NU)) + _SCORE.score_column(r2, NU)).alias("score")))
 
 
+def _digamma(z: str) -> str:
+    """By ten steps of its recursion and Stirling's series."""
+    v = f"({z} + 10)"
+    return f"(ln({v}) - 1 / (2 * {v}) - 1 / (12 * {v} ** 2) + 1 / (120 * {v} ** 4) - 1 / (252 * {v} ** 6) + 1 / (240 * {v} ** 8) - " + " - ".join(f"1 / ({z} + {i})" for i in range(10)) + ")"
+
+
+_MID = "exp((low + high) / 2)"
+
+
+@query(f"""
+WITH RECURSIVE r AS (SELECT {R2} * 1.5625 AS r2 FROM embeddings), root AS (
+  SELECT 0 AS step, ln(0.1::DOUBLE) AS low, ln(1e6::DOUBLE) AS high
+  UNION ALL
+  SELECT step + 1, CASE WHEN s > 0 THEN mid ELSE low END, CASE WHEN s > 0 THEN high ELSE mid END FROM (
+    SELECT step, any_value(low) AS low, any_value(high) AS high, any_value((low + high) / 2) AS mid,
+      {_digamma("(any_value(nu) + 10) / 2")} - {_digamma("any_value(nu) / 2")} - 10 / any_value(nu) + avg((nu + 10) * r2 / (nu * (nu + r2)) - ln(1 + r2 / nu)) AS s
+    FROM (SELECT *, {_MID} AS nu FROM root WHERE step < 60), r GROUP BY step)
+)
+SELECT (SELECT count(*) FROM embeddings) AS n, round(exp((low + high) / 2), 6) AS nu FROM root WHERE step = 60""")
+def nu_root(spark, sf_dir):
+    """The degrees of freedom of all embeddings (ten dimensions, 1.25 times those of the other queries): six passes, each with sixteen values
+    of nu."""
+    r2 = fx.radius_sq("x") * 1.5625
+    n, nu, _ = _SCORE.of_table(ten_dimensions(spark, sf_dir), r2)
+    return rounded(spark.createDataFrame([(n, nu)], "n long, nu double"), 6)
+
+
 @query()
 def mvt_nu(spark, sf_dir):
     x = draws.draw("mvt", 10_000, 0)
@@ -401,10 +428,20 @@ def boot_intervals(spark, sf_dir):
     return spark.createDataFrame(rows, "kind string, output string, low double, high double")
 
 
-@query()
+_U = "(((o_orderkey * 50 + b) * 48271) % 2147483647 * 16807 % 2147483647) / 2147483647.0::DOUBLE"
+_POISSON = "CASE " + " ".join(f"WHEN u < {t!r} THEN {k}" for k, t in enumerate(resample.STEPS)) + f" ELSE {len(resample.STEPS)} END"
+
+
+@query(
+    "SELECT o_orderstatus, CAST(b AS INTEGER) AS b, round(sum(w) / sum(w * ln(o_totalprice / 1000.0)), 9) AS alpha, round(sum(w * CASE WHEN o_totalprice > 400000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / sum(w), 9) AS \"P_tail\" "
+    f"FROM (SELECT *, {_POISSON} AS w FROM (SELECT o_orderstatus, o_totalprice, b, {_U} AS u FROM orders, range(50) t(b))) GROUP BY o_orderstatus, b"
+)
 def boot_poisson(spark, sf_dir):
-    """A bootstrap of any size of table by status: weights from keys, all replicates in one aggregation."""
-    return resample.poisson_bootstrap(st.pareto_all(PRICE_MIN, PRICE_TAIL), prices(spark, sf_dir, "o_orderstatus"), ["o_totalprice"], "o_orderkey", 50, ["o_orderstatus"])
+    """A bootstrap of any size of table by status: weights from keys, all replicates in one aggregation. The uniforms are ones that any engine
+    makes alike; poisson_bootstrap() hashes its own."""
+    u = lambda b: ((F.col("o_orderkey") * 50 + b) * 48271) % 2147483647 * 16807 % 2147483647 / F.lit(2147483647.0)
+    T = st.pareto_all(PRICE_MIN, PRICE_TAIL)
+    return rounded(resample.replicated(T, prices(spark, sf_dir, "o_orderstatus"), ["o_totalprice"], u, 50, ["o_orderstatus"], resample.poisson_quantile))
 
 
 ABC = [(1, 2.0, 0.05, 0.01, 0.0005, 0.02), (2, 0.01, 0.002, 0.08, 0.0001, -0.03), (3, -1.5, 0.3, 0.0, 0.0, 0.0)]
@@ -585,18 +622,26 @@ def kmeans_cells(spark, sf_dir):
     return spark.createDataFrame([(c, int(n), float(s)) for c, (n, s) in enumerate(zip(p.size, p.scale, strict=True))], "cell int, n int, scale double")
 
 
-@query()
-def two_means_leaf(spark, sf_dir):
-    """Leaves cut side by side: each leaf is one group of the cells' influences."""
-    def cut(pdf):
-        import pandas as pd
+_NEAR = "(x - ax) * (x - ax) + (y - ay) * (y - ay) <= (x - bx) * (x - bx) + (y - by_) * (y - by_)"
+_MEANS = "avg(x) FILTER (WHERE s) AS ax, avg(y) FILTER (WHERE s) AS ay, avg(x) FILTER (WHERE NOT s) AS bx, avg(y) FILTER (WHERE NOT s) AS by_"
 
-        rows = pdf.sort_values("o_orderkey")
-        got = quantize.two_means(rows[["psi_alpha", "psi_P_tail"]].to_numpy(), np.arange(len(rows)))
-        a, b = (0, len(rows)) if got is None else (len(got[0]), len(got[1]))
-        return pd.DataFrame({"cell": [int(rows["cell"].iloc[0])], "na": [a], "nb": [b]})
 
-    return cells(spark, sf_dir).select("cell", "o_orderkey", "psi_alpha", "psi_P_tail").groupBy("cell").applyInPandas(cut, "cell int, na long, nb long")
+@query(f"""
+WITH RECURSIVE q AS (SELECT cell, psi_alpha AS x, psi_tail AS y FROM {CELLS}),
+m AS (SELECT cell, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS turn FROM q GROUP BY cell),
+two AS (
+  SELECT 0 AS it, cell, {_MEANS} FROM (SELECT cell, x, y, (x - mx) * cos(turn) + (y - my) * sin(turn) > 0 AS s FROM q JOIN m USING (cell)) GROUP BY cell
+  UNION ALL
+  SELECT it + 1, cell, {_MEANS} FROM (SELECT it, cell, x, y, {_NEAR} AS s FROM two JOIN q USING (cell) WHERE it < 80) GROUP BY it, cell
+)
+SELECT cell, least(a, b) AS na, greatest(a, b) AS nb FROM (SELECT cell, count(*) FILTER (WHERE {_NEAR}) AS a, count(*) FILTER (WHERE NOT ({_NEAR})) AS b FROM two JOIN q USING (cell) WHERE it = 80 GROUP BY cell)""")
+def two_means_leaf(spark, sf_dir):
+    """All leaves cut at once by their points' influences: a round is one sum by leaf and side."""
+    rows = cells(spark, sf_dir).select("cell", "psi_alpha", "psi_P_tail")
+    cut, _ = survey.two_means(rows, "cell", ["psi_alpha", "psi_P_tail"])
+    n = lambda side: F.count(F.when(F.col("side") == side, 1))
+    counts = cut.groupBy("cell").agg(n(True).alias("_a"), n(False).alias("_b"))
+    return counts.select("cell", F.least("_a", "_b").alias("na"), F.greatest("_a", "_b").alias("nb"))
 
 
 WCHI2 = ((1, 1.0, 1.0), (2, 5.0, 1.0), (3, 2.0, 0.5), (4, 20.0, 1.0))
@@ -679,4 +724,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-from varloom.plans import mixtures  # noqa: E402, F401  (registers its queries)
+from varloom.plans import mixtures, surveys  # noqa: E402, F401  (they register their queries)
