@@ -120,3 +120,65 @@ def test_cold_search_finds_the_cores():
 def test_derived_truth():
     assert draws.truth("cloudfil_u", "p2")["log_contrast"] == pytest.approx(1.219408, abs=1e-5)
     assert draws.truth("cloudfil", "p2")["log_contrast"] == pytest.approx(1.180186, abs=1e-5)
+
+
+def test_whitening_follows_rows_that_come_and_go():
+    """Over 50 rounds, the same as a whole factorisation, to 1e-9; a round does not cost more than its changes."""
+    from varloom.operators.interpolant import Interpolant, Rows, Whitening
+
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((400, 2))
+    it, rows = Interpolant(x, np.full(400, 0.7)), Rows(400)
+    psi0 = np.column_stack([np.sin(x[:, 0]), x[:, 1] ** 2])
+    vector = lambda: (i := np.sort(rng.choice(400, int(rng.integers(2, 30)), replace=False)), rng.standard_normal(len(i)) / len(i))
+    for _ in range(20):
+        v = vector()
+        rows.add(*v, v[1] @ psi0[v[0]])
+    it.fit(rows)
+    for _ in range(50):
+        gone = [int(r) for r in rng.choice(rows.order[20:], min(2, len(rows.order) - 20), replace=False)]
+        it.begin(gone)
+        for r in gone:
+            rows.drop(r)
+        for _ in range(4):
+            v = vector()
+            r = rows.add(*v, v[1] @ psi0[v[0]], active=False)
+            if not it.kernel_test(r, rows)[0]:
+                rows.order.append(r)
+        psi = it.fit(rows)
+        gram = rows.apply(np.array([it.column(rows.index[r], rows.weight[r]) for r in rows.order]).T, rows.order)
+        gram = 0.5 * (gram + gram.T) + it.jitter * np.eye(len(gram))
+        alpha = np.linalg.solve(gram, rows.values())
+        assert np.abs(psi - np.array([it.columns[r] for r in rows.order]).T @ alpha).max() < 1e-8
+        k = len(rows.order) // 2
+        assert np.allclose(it.inverse_column(k), np.linalg.solve(gram, np.eye(len(gram))[k]), rtol=1e-5, atol=1e-5 * np.abs(np.linalg.inv(gram)).max())
+    g = rng.standard_normal((30, 30))
+    g = g @ g.T + np.eye(30)
+    w = Whitening(g[:20, :20])
+    for k in range(20, 30):
+        white = w.whitened(g[k, :k])
+        w.append(white, g[k, k] - white @ white)
+    keep = list(range(30))
+    for k in (29, 0, 13, 13):
+        w.remove(k)
+        keep.pop(k)
+    assert np.abs(w.solve(np.eye(26)) - np.linalg.inv(g[np.ix_(keep, keep)])).max() < 1e-9
+
+
+def test_accepted_rows_span_what_all_candidates_span():
+    from varloom.operators.interpolant import Interpolant, Rows
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 2))
+    it, rows = Interpolant(x, np.full(60, 1.0)), Rows(60)
+    i = np.arange(60)
+    for _ in range(5):
+        v = rng.standard_normal(60)
+        rows.add(i, v, np.array([v.sum()]))
+    it.fit(rows)
+    base = [rows.weight[r] for r in rows.order]
+    it.begin([])
+    offered = [rng.standard_normal(60) for _ in range(6)] + [base[0] + 2 * base[3]]
+    offered += [offered[0] - offered[1], offered[2] + base[1], 1e-9 * base[2] + base[4]]
+    took = [v for v in offered if not it.kernel_test(rows.add(i, v, np.array([v.sum()]), active=False), rows)[0]]
+    assert len(took) == 6 and np.linalg.matrix_rank(np.array(base + took)) == np.linalg.matrix_rank(np.array(base + offered)) == 11

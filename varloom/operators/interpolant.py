@@ -3,6 +3,10 @@
 Constraints are sparse rows a over the points, with measured values y: a psi = y. With kernel K, psi = K A' alpha, where
 (A K A' + jitter) alpha = y. Two rules keep redundant rows out: a row (nearly) in the span of the active rows, and a row whose kernel
 column is (nearly) in the span of theirs. It runs on the driver: the points are one draw, whose size run() bounds.
+
+The Gram matrix A K A' is never inverted anew: a whitening W, with W'W its inverse, gains a row for each constraint that enters and is turned by
+one reflection for each that leaves, so that a round costs what changes in it. What a candidate adds is its own norm less that of its
+whitened products with the constraints there are; the same numbers are its row of W.
 """
 
 from __future__ import annotations
@@ -106,6 +110,53 @@ class Span:
         self.low = np.linalg.cholesky(gram) if keep else np.zeros((0, 0))
 
 
+class Whitening:
+    """W with W'W the inverse of a Gram matrix whose rows come and go. W is triangular only until a row leaves, and needs not be."""
+
+    def __init__(self, gram: np.ndarray | None = None):
+        self.size = 0
+        self._store = np.zeros((16, 16))
+        if gram is not None and len(gram):
+            self.size = len(gram)
+            self._store = np.zeros((2 * self.size, 2 * self.size))
+            self._store[: self.size, : self.size] = np.linalg.inv(np.linalg.cholesky(gram))
+
+    @property
+    def w(self) -> np.ndarray:
+        return self._store[: self.size, : self.size]
+
+    def whitened(self, products: np.ndarray) -> np.ndarray:
+        return self.w @ products
+
+    def append(self, white: np.ndarray, left: float) -> None:
+        """white: the whitened products of the new row with the others; left: what its norm exceeds theirs by."""
+        k = self.size
+        if k == len(self._store):
+            grown = np.zeros((2 * k, 2 * k))
+            grown[:k, :k] = self._store
+            self._store = grown
+        root = np.sqrt(left)
+        self._store[k, :k] = -(white @ self.w) / root
+        self._store[:k, k] = 0.0
+        self._store[k, k] = 1.0 / root
+        self.size += 1
+
+    def remove(self, k: int) -> None:
+        """A reflection leaves column k nothing but its last entry; then the last row and column k go."""
+        w, v = self.w, self.w[:, k].copy()
+        v[-1] += np.copysign(np.linalg.norm(v), v[-1])
+        w -= np.outer(v, (2.0 / (v @ v)) * (v @ w))
+        last = self.size - 1
+        w[:, k:last] = w[:, k + 1 :].copy()
+        self.size = last
+
+    def solve(self, y: np.ndarray) -> np.ndarray:
+        return self.w.T @ (self.w @ y)
+
+    def inverse_column(self, k: int) -> np.ndarray:
+        return self.w.T @ self.w[:, k]
+
+
 class Interpolant:
     def __init__(self, x: np.ndarray, scale: np.ndarray):
         self.x, self.scale, self.half = np.ascontiguousarray(x), scale, 0.5 * scale**2
@@ -113,7 +164,9 @@ class Interpolant:
         self.columns: dict[int, np.ndarray] = {}
         self.ids: list[int] = []
         self.jitter = 0.0
-        self.alpha = self.inverse = None
+        self.alpha = None
+        self.white = Whitening()
+        self.place_of: np.ndarray = np.empty(0, dtype=np.int64)
         self.pending: dict[int, np.ndarray] = {}
         if self.d == 1:  # groups of one scale, each sorted by place
             by = np.lexsort((self.x[:, 0], self.scale))
@@ -195,81 +248,104 @@ class Interpolant:
     # Rows that ask to enter between two fits --------------------------------------------------------------------------------
 
     def begin(self, leaving: list[int]) -> None:
-        """A batch starts; the rows that leave with it are known before the first candidate."""
+        """A batch starts; the rows that leave with it are known before the first candidate. Their columns stay until the next fit, since
+        candidates may be combinations of them."""
         self.pending = {}
-        self._gone = [self.ids.index(r) for r in leaving if r in self.ids]
-        self._base = self.inverse
-        if self._gone and self.inverse is not None:
-            # The inverse without the rows that leave.
-            h = self.inverse[:, self._gone]
-            self._base = self.inverse - h @ np.linalg.solve(h[self._gone], h.T)
-            self._base[self._gone] = self._base[:, self._gone] = 0.0
-        self._accepted: list[int] = []
-        self._schur = np.zeros((0, 0))
-        self._border = np.zeros((len(self.ids), 0))
+        for r in leaving:
+            if r in self.ids:
+                self._leave(r)
+
+    def _leave(self, row: int) -> None:
+        k = self.ids.index(row)
+        self.white.remove(k)
+        self.ids.pop(k)
 
     def kernel_test(self, row: int, rows: Rows, recipe=None) -> tuple[bool, float]:
-        """Whether a row is redundant in the kernel's metric: its Schur complement against the rows of the last fit (less those that
-        leave) and those accepted since is within 1e-8 of its own norm, or within 100 times the jitter."""
-        c = self.column_of(row, rows, recipe)
-        i, w = rows.index[row], rows.weight[row]
-        own = float(w @ c[i])
-        g = rows.apply(c[:, None], self.ids)[:, 0]
-        x = self._base @ g
-        s = own - float(g @ x)
-        cross = np.array([float(w @ self.pending[k][i]) for k in self._accepted]) - (self._border.T @ x if self._accepted else 0.0)
-        z = np.linalg.solve(self._schur, cross) if self._accepted else np.zeros(0)
-        s -= float(z @ z)
-        share = s / own if own > 0 else 0.0
-        if s <= KERNEL_TOL * own or s <= 100.0 * self.jitter:
-            return True, share
-        self.pending[row] = c
-        k = len(self._accepted)
-        low = np.zeros((k + 1, k + 1))
-        low[:k, :k], low[k, :k], low[k, k] = self._schur, z, np.sqrt(s)
-        self._schur, self._border = low, np.column_stack([self._border, g])
-        self._accepted.append(row)
-        return False, share
+        """Whether a row adds nothing to the rows there are, those of the last fit that stay and those accepted since: whether what is left of its
+        norm is within KERNEL_TOL of the norm, or within 100 times the jitter. If not it becomes one of them."""
+        column = self.column_of(row, rows, recipe)
+        norm = float(rows.weight[row] @ column[rows.index[row]])
+        left, white = self._left(column, norm, rows)
+        adds = left > max(KERNEL_TOL * norm, 100.0 * self.jitter)
+        if adds:
+            self._enter(row, white, left)
+            self.pending[row] = column
+        return not adds, left / norm if norm > 0 else 0.0
+
+    def _left(self, column: np.ndarray, norm: float, rows: Rows) -> tuple[float, np.ndarray]:
+        white = self.white.whitened(rows.apply(column[:, None], self.ids)[:, 0]) if self.ids else np.zeros(0)
+        return norm - float(white @ white), white
+
+    def _enter(self, row: int, white: np.ndarray, left: float) -> None:
+        self.white.append(white, left + self.jitter)
+        self.ids.append(row)
 
     # The fit ------------------------------------------------------------------------------------------------------------------
 
     def fit(self, rows: Rows) -> np.ndarray:
-        ids = list(rows.order)
-        fresh = [r for r in ids if r not in self.columns]
-        late = [r for r in fresh if r not in self.pending]
+        """psi through all active rows. Columns come from the batch's candidates where they are known; rows that were never tested, as the
+        pilot's, are factored together if they are the first, and enter one by one otherwise."""
+        order = list(rows.order)
+        late = [r for r in order if r not in self.columns and r not in self.pending]
         if late:
             self._columns(late, rows)
-        for r in fresh:
-            if r in self.pending:
-                self.columns[r] = self.pending[r]
-        kept = set(ids)
-        for r in [r for r in self.columns if r not in kept]:
+        self.columns.update({r: self.pending[r] for r in order if r in self.pending})
+        stays = set(order)
+        for r in [r for r in self.columns if r not in stays]:
             del self.columns[r]
-        c = np.array([self.columns[r] for r in ids])
-        self.columns = dict(zip(ids, c, strict=True))  # views: the columns are held once
-        gram = rows.apply(c.T, ids)
+        for r in [r for r in self.ids if r not in stays]:
+            self._leave(r)
+        if not self.ids:
+            self._factor(order, rows)
+        there = set(self.ids)
+        for r in [r for r in order if r not in there]:
+            left, white = self._left(self.columns[r], float(rows.weight[r] @ self.columns[r][rows.index[r]]), rows)
+            self._enter(r, white, max(left, 0.0))
+        y = rows.values()
+        psi, miss, tol = self._solved(order, rows, y)
+        if miss > tol:  # rounding has gathered in the whitening
+            self._factor(order, rows)
+            psi, miss, tol = self._solved(order, rows, y)
+        if miss > tol:
+            raise RuntimeError(f"the interpolant misses its constraints by {miss:.3g}, more than {tol:.3g}")
+        self.pending = {}
+        return psi
+
+    def _factor(self, order: list[int], rows: Rows) -> None:
+        """The whitening of the whole Gram matrix."""
+        gram = rows.apply(np.array([self.columns[r] for r in order]).T, order)
         gram = 0.5 * (gram + gram.T)
         if not self.jitter:
             self.jitter = JITTER * max(float(gram.diagonal().max()), 1e-300)
-        gram[np.diag_indices(len(ids))] += self.jitter
-        low = np.linalg.inv(np.linalg.cholesky(gram))
-        self.inverse, self.ids, self._matrix = low.T @ low, ids, c
-        y = rows.values()
-        alpha = low.T @ (low @ y)
-        psi = c.T @ alpha
+        gram[np.diag_indices(len(order))] += self.jitter
+        self.white, self.ids = Whitening(gram), list(order)
+
+    def _solved(self, order: list[int], rows: Rows, y: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """psi, the largest miss of a constraint after up to three corrections, and what is allowed. Coefficients are in the rows' own order."""
+        c = np.array([self.columns[r] for r in order])
+        self.columns = dict(zip(order, c, strict=True))  # views: the columns are held once
+        self._matrix = c
+        at = {r: k for k, r in enumerate(order)}
+        #: For each row of the whitening its place in the rows' order.
+        self.place_of = np.array([at[r] for r in self.ids], dtype=np.int64)
+        alpha, left = np.zeros_like(y), y
         tol = REPRODUCTION_TOL * max(1.0, float(np.abs(y).max()))
-        for _ in range(3):
-            left = y - rows.apply(psi, ids)
-            if np.abs(left).max() <= tol:
-                break
-            alpha = alpha + low.T @ (low @ left)
+        psi, miss = np.zeros((self.n, y.shape[1])), np.inf
+        for _ in range(4):
+            alpha[self.place_of] += self.white.solve(left[self.place_of])
             psi = c.T @ alpha
-        left = float(np.abs(y - rows.apply(psi, ids)).max())
-        if left > tol:
-            raise RuntimeError(f"the interpolant misses its constraints by {left:.3g}, more than {tol:.3g}")
+            left = y - rows.apply(psi, order)
+            miss = float(np.abs(left).max())
+            if miss <= tol:
+                break
         self.alpha = alpha
-        self.begin([])
-        return psi
+        return psi, miss, tol
+
+    def inverse_column(self, i: int) -> np.ndarray:
+        """A column of the inverse Gram matrix, both in the order of the rows of the last fit."""
+        out = np.empty(len(self.place_of))
+        out[self.place_of] = self.white.inverse_column(int(np.flatnonzero(self.place_of == i)[0]))
+        return out
 
     def _columns(self, which: list[int], rows: Rows) -> None:
         """Columns of many rows at once: one kernel block over the union of their supports at a time."""

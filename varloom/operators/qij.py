@@ -146,7 +146,7 @@ class Field:
         misfit, direction = np.empty((len(rows), self.psi.shape[1])), []
         for j, r in enumerate(rows):
             i = place.get(r)
-            direction.append(None if i is None else self.interpolant.inverse[:, i])
+            direction.append(None if i is None else self.interpolant.inverse_column(i))
             misfit[j] = self.error[r] if i is None else self.interpolant.alpha[i] / direction[j][i]
         return misfit, direction
 
