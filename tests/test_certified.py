@@ -182,3 +182,14 @@ def test_accepted_rows_span_what_all_candidates_span():
     offered += [offered[0] - offered[1], offered[2] + base[1], 1e-9 * base[2] + base[4]]
     took = [v for v in offered if not it.kernel_test(rows.add(i, v, np.array([v.sum()]), active=False), rows)[0]]
     assert len(took) == 6 and np.linalg.matrix_rank(np.array(base + took)) == np.linalg.matrix_rank(np.array(base + offered)) == 11
+
+
+def test_branch_of_the_angle():
+    """The angle is within a quarter turn of the branch, and the same up to half turns; nothing else depends on it."""
+    p = mx.Parameters(np.array([0.7, 0.3]), np.array([[0.0, 0.0], [2.0, 1.0]]), np.array([np.eye(2), [[1.0, -0.4], [-0.4, 0.5]]]))
+    base = mx.derived(p, 1)
+    for branch in (-1.0, 0.0, 0.5 * np.pi, 2.0, 7.0):
+        got = mx.derived(p, 1, branch)
+        assert branch - 0.5 * np.pi <= got[4] < branch + 0.5 * np.pi and np.isclose(np.sin(2 * got[4]), np.sin(2 * base[4]))
+        assert np.allclose(np.delete(got, 4), np.delete(base, 4))
+    assert 0.0 <= base[4] < np.pi

@@ -52,7 +52,10 @@ def test_methods_write_resume_and_describe(spark, tmp_path):
     assert store.collect(spark, folder, "rounds").count() == row["rounds"]
 
     store.ensure_config(spark, folder, dict(x=1))
-    store.append_log(spark, folder, dict(N=300), [0], [], ["cli"])
+    before = len(store.read_log(spark, folder))
+    for k in range(3):
+        store.append_log(spark, folder, dict(N=300 + k), [0], [], ["cli"])
+    assert [r["params"]["N"] for r in store.read_log(spark, folder)[before:]].count(301) == 1 and len(store.read_log(spark, folder)) == before + 3
     assert store.write_manifest(spark, folder)["draws"] == "0"
     assert "qij_shape" in store.write_readme(spark, out)
     assert json.loads(store.read_text(spark, folder + "/manifest.json"))["n_draws"] == 1
@@ -92,3 +95,11 @@ def test_cli(spark, tmp_path):
     args = ["pareto", "shape", "boot", "--N", "200", "--draws", "0:2", "--out", str(tmp_path), "--B", "20"]
     assert cli.main(args) == ([0, 1], [])
     assert cli.main([*args, "--allow-commit-mismatch"]) == ([], [0, 1])
+
+
+def test_text_replaces_what_is_there(spark, tmp_path):
+    path = f"{tmp_path}/a.txt"
+    for text in ("one", "two", "three"):
+        store.write_text(spark, path, text)
+        assert store.read_text(spark, path) == text
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["a.txt"]

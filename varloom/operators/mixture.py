@@ -585,12 +585,14 @@ class Mixture:
 DERIVED = ("x", "y", "log_reff", "log_axis_ratio", "pa", "logit_w", "log_contrast")
 
 
-def derived(p: Parameters, i: int) -> np.ndarray:
-    """Position, a quarter log determinant, log ratio of the eigenvalues (least to largest), position angle in [0, pi), logit weight, and
-    the log ratio of the component's peak to the density of the others there."""
+def derived(p: Parameters, i: int, branch: float = 0.5 * math.pi) -> np.ndarray:
+    """Position, a quarter log determinant, log ratio of the eigenvalues (least to largest), position angle, logit weight, and the log ratio of
+    the component's peak to the density of the others there. branch: the angle's centre; it is within pi / 2 below and above it, by default
+    in [0, pi)."""
     s = p.cov[i]
     lam = np.linalg.eigvalsh(s)
-    angle = 0.5 * math.atan2(2.0 * s[0, 1], s[0, 0] - s[1, 1]) % math.pi
+    low = branch - 0.5 * math.pi
+    angle = low + (0.5 * math.atan2(2.0 * s[0, 1], s[0, 0] - s[1, 1]) - low) % math.pi
     at = p.mean[i][None]
     parts = log_parts(at, basis(at[:, 0]), p)[0]
     rest = np.delete(parts, i)
@@ -602,9 +604,9 @@ class CoreMixture(Mixture):
 
     periodic = {"pa": math.pi}
 
-    def __init__(self, k: int, thread: bool, core: tuple[np.ndarray, np.ndarray], seed: int = 0):
+    def __init__(self, k: int, thread: bool, core: tuple[np.ndarray, np.ndarray], seed: int = 0, branch: float = 0.5 * math.pi):
         super().__init__(k, thread, seed)
-        self.core = core
+        self.core, self.branch = core, branch
         self.raw = self.outputs
         self.outputs = self.raw + DERIVED
         self.measured = list(range(len(self.raw), len(self.outputs)))
@@ -613,13 +615,13 @@ class CoreMixture(Mixture):
         return int(np.argmin(bhattacharyya(p.mean, p.cov, self.core[0][None], self.core[1][None])[:, 0]))
 
     def theta(self, p: Parameters) -> np.ndarray:
-        return np.concatenate([p.vector(), derived(p, self.subject(p))])
+        return np.concatenate([p.vector(), derived(p, self.subject(p), self.branch)])
 
     def true_derived(self, w: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
         from varloom.sources.draws import THREAD, THREAD_SHARE
 
         p = Parameters(np.append(w, THREAD_SHARE), mean, cov, np.array([THREAD["m"], THREAD["s2x"], *THREAD["b"], THREAD["s2p"]])) if self.thread else Parameters(w, mean, cov)
-        return derived(p, self.subject(p))
+        return derived(p, self.subject(p), self.branch)
 
 
 def core_statistic(thread: bool, core: int) -> CoreMixture:

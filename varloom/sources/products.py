@@ -1,5 +1,5 @@
 """The product store: one folder for each data set, size, method and configuration; in it the scalar rows ("rows") and arrays
-("psi", "replicates", "rounds", "leaves") of the draws as Parquet partitioned by draw, config.json, runs.jsonl and manifest.json.
+("psi", "replicates", "rounds", "leaves") of the draws as Parquet partitioned by draw, config.json, runs/ (a file for each run) and manifest.json.
 
 Arrays are written first and the scalar row last: a draw is done if its row is there. Folders are reached through Spark's file systems,
 so that the store may lie on any of them.
@@ -14,6 +14,7 @@ import re
 import socket
 import subprocess
 import sys
+import uuid
 from collections.abc import Iterable, Sequence
 from datetime import datetime, timezone
 
@@ -71,13 +72,13 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A whole file or none: written beside, then renamed."""
     fs, p = _fs(spark, path)
-    _, tmp = _fs(spark, path + ".tmp")
+    _, tmp = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     stream = fs.create(tmp, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    if fs.exists(p):
+    if not fs.rename(tmp, p):  # where a rename does not replace
         fs.delete(p, False)
-    fs.rename(tmp, p)
+        fs.rename(tmp, p)
 
 
 def folders(spark: SparkSession, pattern: str) -> list[str]:
@@ -125,8 +126,14 @@ def cpu_model() -> str:
 
 def append_log(spark: SparkSession, folder: str, params: dict, written: Sequence[int], skipped: Sequence[int], argv: Sequence[str] | None = None) -> None:
     line = dict(time=datetime.now(timezone.utc).isoformat(timespec="seconds"), host=socket.gethostname(), cpu=cpu_model(), argv=list(sys.argv if argv is None else argv), params=params, written=list(written), skipped=list(skipped), code_commit=code_commit())
-    path = f"{folder}/runs.jsonl"
-    write_text(spark, path, (read_text(spark, path) or "") + json.dumps(line) + "\n")
+    name = f"{line['time'].replace(':', '')}-{uuid.uuid4().hex[:12]}"
+    write_text(spark, f"{folder}/runs/{name}.json", json.dumps(line) + "\n")
+
+
+def read_log(spark: SparkSession, folder: str) -> list[dict]:
+    """The runs of a folder by time. Each is a file of its own, so that runs at the same time lose no line."""
+    lines = [json.loads(read_text(spark, p)) for p in folders(spark, f"{folder}/runs/*.json")]
+    return sorted(lines, key=lambda v: v["time"])
 
 
 # Draws ----------------------------------------------------------------------------------------------------------------------------
@@ -168,7 +175,7 @@ def ranges_text(df: DataFrame) -> str:
 def write_manifest(spark: SparkSession, folder: str) -> dict:
     rows = collect(spark, folder).select("s")
     config = json.loads(read_text(spark, f"{folder}/config.json") or "{}")
-    log = [json.loads(x) for x in (read_text(spark, f"{folder}/runs.jsonl") or "").splitlines()]
+    log = read_log(spark, folder)
     out = dict(config=config, n_draws=rows.distinct().count(), draws=ranges_text(rows), first=min((x["time"] for x in log), default=None), last=max((x["time"] for x in log), default=None), hosts=sorted({x["host"] for x in log}), commits=sorted({x["code_commit"] for x in log}))
     write_text(spark, f"{folder}/manifest.json", json.dumps(out, indent=1))
     return out
