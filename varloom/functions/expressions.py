@@ -15,8 +15,22 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _continued(f, x: Column | str) -> Column:
+    """A logarithm as in IEEE arithmetic, NumPy and SQL: minus infinity at zero and NaN below, where Spark's is null; null stays null."""
+    x = col(x)
+    return F.when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan)).otherwise(f(x))
+
+
+def ln(x: Column | str) -> Column:
+    return _continued(F.log, x)
+
+
+def log10(x: Column | str) -> Column:
+    return _continued(F.log10, x)
+
+
 def log_ratio(x: Column | str, x_min: float) -> Column:
-    return F.log(col(x) / F.lit(float(x_min)))
+    return ln(col(x) / F.lit(float(x_min)))
 
 
 def tail_indicator(x: Column | str, c: float) -> Column:

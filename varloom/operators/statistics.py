@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.functions.expressions import log_ratio, radius_sq, tail_indicator
+from varloom.functions.expressions import log10, log_ratio, radius_sq, tail_indicator
 from varloom.functions.numerics import brent, digamma, f_ppf
 
 EPS = float(np.finfo(float).eps)
@@ -361,7 +361,7 @@ class MassFunction(Algebraic):
 
     def _columns(self, k: Sequence[str]) -> list[Column]:
         m = F.col(k[0])
-        u = F.log10(m)
+        u = log10(m)
         low = F.when(m <= self.m_b, 1.0).otherwise(0.0)
         return [F.lit(1.0), low, low * u, low * u * u, 1.0 - low, (1.0 - low) * u]
 
