@@ -70,7 +70,8 @@ def angle_branch(a: Column | str, low: float) -> Column:
 def log_sum_exp(x: Column | str) -> Column:
     x = col(x)
     top = F.array_max(x)
-    return top + F.log(F.aggregate(x, F.lit(0.0), lambda a, b: a + F.exp(b - top)))
+    total = top + F.log(F.aggregate(x, F.lit(0.0), lambda a, b: a + F.exp(b - top)))
+    return F.when(top == F.lit(-math.inf), top).otherwise(total)  # no term at all
 
 
 def softmax(x: Column | str) -> Column:
