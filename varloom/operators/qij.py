@@ -63,9 +63,14 @@ class Result:
     labels: np.ndarray
 
 
+def columns_size(n: int, c: int) -> int:
+    """Bytes of the kernel columns that n points in c cells may need."""
+    return 8 * n * 4 * c
+
+
 def refuse(n: int, c: int) -> None:
     """An error if n points in c cells need more than the driver's limit."""
-    if 8 * n * 4 * c > DRIVER_LIMIT:
+    if columns_size(n, c) > DRIVER_LIMIT:
         raise ValueError(f"{n} points by about {4 * c} rows are beyond the driver's limit; draw fewer points")
 
 
@@ -186,13 +191,29 @@ class Leaves:
     def root(cls, n: int, mean: np.ndarray, bound: np.ndarray) -> Leaves:
         return cls(np.zeros(n, dtype=np.int64), [np.arange(n)], [mean], [bound], [None], [None], [False], [False])
 
+    def number(self, points: np.ndarray) -> int:
+        return len(points)
+
+    def mean_of(self, points: np.ndarray) -> Vector:
+        return mean_of(points)
+
+    def product_with(self, f: np.ndarray) -> Vector:
+        """The vector whose evaluation is the mean over all points of psi times f."""
+        return np.arange(len(f)), f / len(f)
+
+    def mean_square(self, psi: np.ndarray) -> np.ndarray:
+        return (psi**2).mean(axis=0)
+
+    def halves(self, l: int, psi: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        return two_means(psi[self.points[l]], self.points[l])
+
     @property
     def size(self) -> np.ndarray:
-        return np.array([len(p) for p in self.points])
+        return np.array([self.number(p) for p in self.points])
 
     @property
     def share(self) -> np.ndarray:
-        return self.size / len(self.label)
+        return self.size / self.size.sum()
 
     def squares(self, values: Sequence[np.ndarray]) -> np.ndarray:
         """Mean over the points of a leaf property's square."""
@@ -219,7 +240,7 @@ class Leaves:
 
     def divide(self, l: int, a: np.ndarray, b: np.ndarray, mean: np.ndarray, bound: np.ndarray) -> int:
         """Leaf l becomes its child a, measured; the other child, a new leaf whose number is returned, follows from the parent."""
-        n, na, nb = float(len(self.points[l])), len(a), len(b)
+        n, na, nb = float(self.number(self.points[l])), self.number(a), self.number(b)
         self.points.append(b)
         self.mean.append((n * self.mean[l] - na * mean) / nb)
         self.bound.append((n * self.bound[l] + na * bound) / nb)
@@ -270,7 +291,7 @@ def examine(model: Field, leaves: Leaves, eps: float, alpha: float) -> Verdict:
         if h is not None and not fixed:
             points = leaves.points[l]
             psi[points] -= np.outer(model.interpolant.influence_on(h, points), e)
-    delta = eps * leaves.lower_bound((psi**2).mean(axis=0), eps)
+    delta = eps * leaves.lower_bound(leaves.mean_square(psi), eps)
     total = terms.sum(axis=0)
     u = np.where(total <= delta, 0.0, np.inf)
     for j in np.flatnonzero((total <= delta) & (total > 0)):
@@ -316,7 +337,7 @@ def planned_cuts(leaves: Leaves, psi: np.ndarray, k: int, enough: Callable[[int,
     rest, can, out = leaves.spread(psi), leaves.divisible(), []
     order = np.argsort(-np.where(can, rest.sum(axis=1), -np.inf), kind="stable")
     for l in order[: can.sum()].tolist():
-        children = two_means(psi[leaves.points[l]], leaves.points[l])
+        children = leaves.halves(l, psi)
         if children is None:
             leaves.whole[l] = True
             continue
@@ -363,7 +384,7 @@ class Run:
 
     def room(self) -> np.ndarray:
         """What the model itself leaves to the unexplained variance, before any test."""
-        return np.maximum(self.eps * self.leaves.lower_bound((self.model.psi**2).mean(axis=0), self.eps) - self.omega(), 0.0)
+        return np.maximum(self.eps * self.leaves.lower_bound(self.leaves.mean_square(self.model.psi), self.eps) - self.omega(), 0.0)
 
     def foreseen(self, spread: np.ndarray, room: np.ndarray) -> bool:
         return bool((room > 0).all()) and explained(spread[self.leaves.size > 1], room, self.alpha)
@@ -381,22 +402,22 @@ class Run:
 
     def repair(self, which: list[int]) -> None:
         leaves = self.leaves
-        got = self.values([mean_of(leaves.points[l]) for l in which], "repairs")
+        got = self.values([leaves.mean_of(leaves.points[l]) for l in which], "repairs")
         self.model.retire([leaves.row[l] for l in which])
         for l, y in zip(which, got, strict=True):
-            self.repairs.append(dict(round=len(self.rounds) - 1, leaf=l, n=len(leaves.points[l]), inferred=leaves.mean[l] * self.scale, measured=y * self.scale, bound=leaves.bound[l] * self.scale))
-            leaves.measured(l, y, self.own_bound.copy(), self.model.offer(mean_of(leaves.points[l]), y))
+            self.repairs.append(dict(round=len(self.rounds) - 1, leaf=l, n=leaves.number(leaves.points[l]), inferred=leaves.mean[l] * self.scale, measured=y * self.scale, bound=leaves.bound[l] * self.scale))
+            leaves.measured(l, y, self.own_bound.copy(), self.model.offer(leaves.mean_of(leaves.points[l]), y))
 
     def cut(self, cuts: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
         leaves = self.leaves
-        got = self.values([mean_of(a) for _, a, _ in cuts], "splits")
+        got = self.values([leaves.mean_of(a) for _, a, _ in cuts], "splits")
         self.model.retire([leaves.row[l] for l, _, _ in cuts])
         for (l, a, b), y in zip(cuts, got, strict=True):
-            parent, n = leaves.row[l], float(len(leaves.points[l]))
+            parent, n, na, nb = leaves.row[l], float(leaves.number(leaves.points[l])), leaves.number(a), leaves.number(b)
             other = leaves.divide(l, a, b, y, self.own_bound.copy())
-            leaves.row[l] = self.model.offer(mean_of(a), y)
-            of_parent = [(r, w * n / len(b)) for r, w in (self.root if parent is None else [(parent, 1.0)])]
-            leaves.row[other] = self.model.offer(mean_of(b), leaves.mean[other], [*of_parent, (leaves.row[l], -len(a) / len(b))])
+            leaves.row[l] = self.model.offer(leaves.mean_of(a), y)
+            of_parent = [(r, w * n / nb) for r, w in (self.root if parent is None else [(parent, 1.0)])]
+            leaves.row[other] = self.model.offer(leaves.mean_of(b), leaves.mean[other], [*of_parent, (leaves.row[l], -na / nb)])
 
     def advance(self, progress: Callable[[dict], None] | None) -> bool:
         """One round; whether another may follow."""
@@ -463,18 +484,18 @@ def run(T, x: np.ndarray, *, eps: float = 0.01, level: float = 0.84, cells: int
 
 def report(state: Run, outputs: list[str], cells: int, clock: list[float]) -> Result:
     """V_hat = 2 mean(psi psi_hat) - mean(psi_hat^2), the product by one evaluation an output, with the psi_hat that was tested last."""
-    s, leaves, verdict, n, q = state.scale, state.leaves, state.verdict, len(state.leaves.label), len(outputs)
+    s, leaves, verdict, q = state.scale, state.leaves, state.verdict, len(outputs)
     model_psi = state.model.settle()
     psi = (model_psi if verdict is None else verdict.psi) * s
-    product = np.diag(state.evaluate([(np.arange(n), psi[:, j] / n) for j in range(q)])).copy()
-    square = (psi**2).mean(axis=0)
+    product = np.diag(state.evaluate([leaves.product_with(psi[:, j]) for j in range(q)])).copy()
+    square = leaves.mean_square(psi)
     if state.total() != sum(state.spent.values()):
         raise AssertionError(f"{state.total()} evaluations made, {state.spent} counted")
     delta = (state.eps * leaves.lower_bound(square / s**2, state.eps) if verdict is None else verdict.delta) * s**2
     errors = np.array(list(state.model.error.values())).reshape(-1, q)
     term = {} if verdict is None else {l: (t * s**2, bool(d)) for l, t, d in zip(verdict.tested, verdict.terms, verdict.determined, strict=True)}
     untested = (np.zeros(q), False)
-    table = [dict(leaf=l, n=len(points), mean=leaves.mean[l] * s, bound=leaves.bound[l] * s, inferred=leaves.inferred[l], term=term.get(l, untested)[0], determined=term.get(l, untested)[1]) for l, points in enumerate(leaves.points)]
+    table = [dict(leaf=l, n=leaves.number(points), mean=leaves.mean[l] * s, bound=leaves.bound[l] * s, inferred=leaves.inferred[l], term=term.get(l, untested)[0], determined=term.get(l, untested)[1]) for l, points in enumerate(leaves.points)]
     return Result(
         outputs=outputs, v_hat=2.0 * product - square, u=np.full(q, np.inf) if verdict is None else verdict.u * s**2, delta=delta, v_lb=delta / state.eps, offset=state.omega() * s**2,
         evaluations=state.total(), cells=cells, leaves=len(leaves.points), rounds=len(state.rounds), passed=state.passed, counts=state.spent, rounds_table=state.rounds, leaves_table=table,

@@ -80,16 +80,16 @@ class Pilot:
         return [(order[e - s : e], np.full(s, 1.0 / s)) for s, e in zip(self.size.tolist(), ends.tolist(), strict=True)]
 
 
-def shared_boundary_scales(x: np.ndarray, prototype: np.ndarray, block: int = 4096) -> np.ndarray:
+def shared_boundary_scales(x: np.ndarray, prototype: np.ndarray, block: int = 4096, count: np.ndarray | None = None) -> np.ndarray:
     """For each cell the mean distance to the cells it shares a boundary with, weighted by the number of points whose two nearest
-    prototypes are the pair; a cell without any takes the distance to its nearest prototype."""
+    prototypes are the pair; a cell without any takes the distance to its nearest prototype. count: how many points each row of x stands for."""
     c = len(prototype)
     if c == 1:
         return np.ones(1)
     shared = np.zeros((c, c))
     for at in range(0, len(x), block):
         two = np.argsort(distances_sq(x[at : at + block], prototype), axis=1, kind="stable")[:, :2]
-        np.add.at(shared, (two[:, 0], two[:, 1]), 1.0)
+        np.add.at(shared, (two[:, 0], two[:, 1]), 1.0 if count is None else count[at : at + block])
     shared += shared.T
     apart = np.sqrt(distances_sq(prototype, prototype))
     total = shared.sum(axis=1)
