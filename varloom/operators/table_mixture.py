@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from varloom.operators import mixture_search as search
@@ -24,6 +24,8 @@ from varloom.operators.mixture import Data, Mixture, Parameters, basis, candidat
 
 #: Points that a task works on at once.
 ROWS = 8192
+#: The summary's grid: squares on a side, and how many deviations it reaches out.
+SIDE, REACH = 160, 5.0
 
 
 class TableData:
@@ -126,19 +128,24 @@ class TableData:
         return search.of_sums({"rr": parts[0].reshape(k, k), **dict(zip(names[1:], parts[1:], strict=True))})
 
 
+def grid(data: TableData, side: int, reach: float) -> GroupedData:
+    """The points by the squares of a grid that reaches out to `reach` deviations, points beyond in its border."""
+    place = lambda c, at, s: F.least(F.greatest(F.floor((F.col(c) - float(at)) / float(s) * (side / (2 * reach)) + side / 2), F.lit(0)), F.lit(side - 1))
+    sd = np.sqrt(np.maximum(np.diag(data.cov), 1e-300))
+    return data.points.groupBy(place("x", data.centre[0], sd[0]).alias("i"), place("y", data.centre[1], sd[1]).alias("j"))
+
+
+def square_sums(data: TableData) -> list[Column]:
+    w, x, y = F.col("w"), F.col("x") - float(data.centre[0]), F.col("y") - float(data.centre[1])
+    return [F.sum(w * v).alias(n) for n, v in (("n", F.lit(1.0)), ("x", x), ("y", y), ("xx", x * x), ("xy", x * y), ("yy", y * y))]
+
+
 class GridCells:
     """Cells of a table as candidates for a new component: the squares of a grid that reaches out to `reach` deviations, points beyond in its
     border. One aggregation, at most side * side rows."""
 
     def __init__(self, data: TableData, side: int = 12, reach: float = 3.0, least: int = 5):
-        place = lambda c, at, s: F.least(F.greatest(F.floor((F.col(c) - float(at)) / float(s) * (side / (2 * reach)) + side / 2), F.lit(0)), F.lit(side - 1))
-        sd = np.sqrt(np.maximum(np.diag(data.cov), 1e-300))
-        w, x, y = F.col("w"), F.col("x") - float(data.centre[0]), F.col("y") - float(data.centre[1])
-        rows = (
-            data.points.groupBy(place("x", data.centre[0], sd[0]).alias("i"), place("y", data.centre[1], sd[1]).alias("j"))
-            .agg(F.count("*").alias("c"), *[F.sum(w * v).alias(n) for n, v in (("n", F.lit(1.0)), ("x", x), ("y", y), ("xx", x * x), ("xy", x * y), ("yy", y * y))])
-            .filter(F.col("c") >= least).orderBy("i", "j").collect()
-        )
+        rows = grid(data, side, reach).agg(F.count("*").alias("c"), *square_sums(data)).filter(F.col("c") >= least).orderBy("i", "j").collect()
         s = np.array([[r[k] for k in ("n", "x", "y", "xx", "xy", "yy")] for r in rows], dtype=float).reshape(-1, 6)
         n = s[:, 0]
         mean = s[:, 1:3] / n[:, None]
@@ -148,6 +155,51 @@ class GridCells:
         self.cov = np.stack([np.column_stack([c11 + floor, c12]), np.column_stack([c12, c22 + floor])], axis=1)
 
 
+class Summary:
+    """A table as the squares of a fine grid, each with its points' number, mean and covariance: one aggregation, at most SIDE * SIDE rows. An engine
+    in memory, on which starts find their way before they are finished on the table. A square's points share their responsibilities, from the mean
+    of their log densities, as in the greedy EM of Verbeek, Nunnink and Vlassis (2006); its own covariance keeps components from shrinking onto it."""
+
+    penalty = Data.penalty
+
+    def __init__(self, data: TableData, side: int = SIDE, reach: float = REACH):
+        rows = grid(data, side, reach).agg(*square_sums(data)).orderBy("i", "j").collect()
+        s = np.array([[r[k] for k in ("n", "x", "y", "xx", "xy", "yy")] for r in rows], dtype=float)
+        self.w, mean = s[:, 0], s[:, 1:3] / s[:, :1]
+        self.inner = s[:, 3:6] / s[:, :1] - np.column_stack([mean[:, 0] ** 2, mean[:, 0] * mean[:, 1], mean[:, 1] ** 2])
+        self.inner[:, [0, 2]] = np.maximum(self.inner[:, [0, 2]], 0.0)
+        self.x = mean + data.centre
+        self.phi, self.total, self.cov, self.a, self.centre = basis(self.x[:, 0]), data.total, data.cov, data.a, data.centre
+        raw = np.column_stack([self.x[:, 0] ** 2, self.x[:, 0] * self.x[:, 1], self.x[:, 1] ** 2]) + self.inner
+        self.terms = np.column_stack([np.ones(len(self.x)), self.x, raw])
+
+    def parts(self, p: Parameters) -> np.ndarray:
+        """The mean over each square's points of the log of weight times density."""
+        det = p.cov[:, 0, 0] * p.cov[:, 1, 1] - p.cov[:, 0, 1] ** 2
+        inverse = np.array([p.cov[:, 1, 1], -2.0 * p.cov[:, 0, 1], p.cov[:, 0, 0]]) / det
+        return log_parts(self.x, self.phi, p) - 0.5 * self.inner @ inverse
+
+    def em_all(self, starts: Sequence[Parameters]) -> list[tuple[Parameters, float]]:
+        out = []
+        for p in starts:
+            parts = self.parts(p)
+            f = log_density(parts)
+            r = np.exp(parts - f[:, None]) * self.w[:, None]
+            out.append((stepped(r.T @ self.terms, p, self), float(self.w @ f) + self.penalty(p)))
+        return out
+
+    def against(self, p: Parameters) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        frozen = log_density(self.parts(p))[:, None]
+
+        def of(share, mean, cov):
+            own = self.parts(Parameters(share, mean, cov))
+            both = np.logaddexp(own, frozen + np.log1p(-share))
+            r = np.exp(own - both) * self.w[:, None]
+            return np.column_stack([self.w @ (both - frozen), r.T @ self.terms])
+
+        return of
+
+
 def sampled_starts(data: TableData, k: int, starts: int, seed: int = 0) -> list[Parameters]:
     """Starts whose means are points of the table, those of least hash: k for each, of equal weights, all with a share of the whole
     covariance. One pass, k * starts rows."""
@@ -158,22 +210,41 @@ def sampled_starts(data: TableData, k: int, starts: int, seed: int = 0) -> list[
     return [Parameters(np.full(k, 1.0 / k), at[s * k : s * k + k], cov.copy()) for s in range(len(at) // k)]
 
 
+def distinct(rested: list[tuple[Parameters, float]], cov: np.ndarray, tol: float = 1e-3) -> list[Parameters]:
+    """Best first, those that are not at the place of a better one: by weights, and by means and covariances in the data's deviations."""
+    sd = np.sqrt(np.diag(cov))
+    out: list[tuple[np.ndarray, Parameters]] = []
+    for p, _ in sorted(rested, key=lambda v: -v[1]):
+        q = p.permuted(np.lexsort((p.mean[:, 1], p.mean[:, 0])))
+        at = np.concatenate([q.w, (q.mean / sd).ravel(), (q.cov / np.outer(sd, sd)).ravel()])
+        if all(np.abs(at - other).max() > tol for other, _ in out):
+            out.append((at, p))
+    return [p for _, p in out]
+
+
 def fit(df: DataFrame, x: Column | str, y: Column | str, k: int, weight: Column | str | None = None, start: Parameters | None = None, starts: int = 20, seed: int = 0, eta: float = 1e-10) -> tuple[Parameters, float, str]:
     """k Gaussians fitted to a table: from a start, or cold. Then the beginnings are one by insertion on a grid's cells, its tighter and wider
-    variants, and sampled ones; they race, split and merge moves follow, Newton steps end it. Mixture (components by mean), penalised log
-    likelihood, status."""
+    variants, and sampled ones; all go to rest on the table's summary, and the places they come to are finished on the table by Newton steps,
+    but for those that a bound (search.limit, on the table) excludes; split and merge moves follow. Mixture (components by mean), penalised
+    log likelihood, status."""
     data = TableData(df, x, y, weight)
     return fit_engine(data, k, start, starts, seed, eta)
 
 
 def fit_engine(data: TableData, k: int, start: Parameters | None = None, starts: int = 20, seed: int = 0, eta: float = 1e-10) -> tuple[Parameters, float, str]:
     if start is None:
-        begun = search.greedy(data, Parameters(np.ones(1), data.centre[None], data.cov[None].copy()), k, GridCells(data))
+        summary = Summary(data)
+        begun = search.greedy(summary, Parameters(np.ones(1), data.centre[None], data.cov[None].copy()), k, GridCells(data))
         beginnings = ([begun, *search.variants(begun)] if begun is not None else []) + sampled_starts(data, k, starts, seed)
-        left = search.race(data, beginnings, cap=40)
-        if not left:
+        rested = [search.accelerated(summary, p, 1e-10, 300) for p in beginnings if p.feasible()]
+        best = None
+        for p in distinct([(q, v) for q, v in rested if q.feasible() and math.isfinite(v)], data.cov):
+            if best is None or search.limit(data, p) >= best[1]:
+                got = finished(data, p, 1e-9)[:2]
+                best = got if best is None or got[1] > best[1] else best
+        if best is None:
             raise ValueError("no start is feasible")
-        start, value = max((finished(data, p, 1e-9)[:2] for *_, p in left), key=lambda v: v[1])
+        start, value = best
         if k >= 3:
             start, value = search.split_merge(data, start, value, 1e-9, full=lambda q: finished(data, q, 1e-9)[:2])[:2]
     p, value, status = finished(data, start, eta)
